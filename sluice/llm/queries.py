@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import mixing, tokens
+from sluice.llm import mixing, pii, tokens, urls
 from sluice.llm.common import read_table
 
 
@@ -15,6 +15,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of the same number: bad if of low quality or toxic."""
+    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge(read_table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, added = [k.name for k in pii.BASE], [k.name for k in pii.ADDED]
+    found = pii.detect(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(base + added).alias("spans"),
+    )
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,4 +39,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_mixing, op10_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_mixing, op6_urls, op9_pii, op10_tokens)}
