@@ -34,4 +34,63 @@ SELECT doc_id, size, source_size, target,
 FROM running
 """
 
-ORACLE_SQL = {"op4_mixing": OP4}
+OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP6 = r"""
+WITH split AS (
+  SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw, rest FROM split),
+hp AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM parts),
+outcome AS (
+  SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INTEGER) AS bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
+hosts AS (
+  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+         count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad
+  FROM hp LEFT JOIN outcome USING (page_id) GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY suffix),
+levels AS (
+  SELECT 'host' AS level, n, bad FROM hosts UNION ALL SELECT 'domain', n, bad FROM domains UNION ALL SELECT 'suffix', n, bad FROM suffixes),
+sums AS (
+  SELECT level, count(*) AS g, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n) AS bbn
+  FROM levels WHERE n > 0 GROUP BY level),
+moments AS (
+  SELECT *, bad / n AS mean, bad / n * (1 - bad / n) AS chance, (bbn - bad / n * (bad / n) * n) / (g - 1) AS spread,
+         (n - nn / n) / (g - 1) AS each FROM sums WHERE g >= 2),
+strengths AS (
+  SELECT level, CASE WHEN NOT (bad > 0 AND bad < n) OR each <= 1 OR spread <= chance THEN 1000.0
+    ELSE round(least(1000.0, greatest(1.0, 1 / least(1.0, (spread - chance) / (chance * (each - 1))) - 1)), 6) END AS k FROM moments),
+k AS (
+  SELECT coalesce(max(k) FILTER (level = 'host'), 1000.0)::DOUBLE AS kh, coalesce(max(k) FILTER (level = 'domain'), 1000.0)::DOUBLE AS kd,
+         coalesce(max(k) FILTER (level = 'suffix'), 1000.0)::DOUBLE AS ks FROM strengths),
+overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
+s AS (SELECT suffix, (bad + ks * m) / (n + ks) AS of_suffix FROM suffixes, k, overall),
+d AS (SELECT domain, (bad + kd * of_suffix) / (n + kd) AS of_domain FROM domains JOIN s USING (suffix), k),
+p AS (SELECT host, (bad + kh * of_domain) / (n + kh) AS mean, n + kh AS n FROM hosts JOIN d USING (domain), k),
+bounds AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + 1)) AS bound FROM p),
+ruled AS (
+  SELECT hp.*, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM hp)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN bounds USING (host)
+"""
+
+ORACLE_SQL = {"op2_topk": OP2, "op4_mixing": OP4, "op6_urls": OP6}
