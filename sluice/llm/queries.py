@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import mixing, pii, tokens, topk, urls
+from sluice.llm import decontam, lines, mixing, pii, tokens, topk, urls
 from sluice.llm.common import read_table
 
 
@@ -25,6 +25,14 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, added = [k.name for k in pii.BASE], [k.name for k in pii.ADDED]
     found = pii.detect(read_table(spark, sf_dir, "documents"))
@@ -43,4 +51,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op4_mixing, op6_urls, op9_pii, op10_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op4_mixing, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}

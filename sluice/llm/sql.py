@@ -93,4 +93,35 @@ SELECT page_id, host, path, rule,
 FROM ruled JOIN bounds USING (host)
 """
 
-ORACLE_SQL = {"op2_topk": OP2, "op4_mixing": OP4, "op6_urls": OP6}
+OP7 = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
+b AS (
+  SELECT *, CASE WHEN (coalesce(lag(h) OVER d, 0) * 31 + h) % 3 = 0 THEN 1 ELSE 0 END AS ends FROM h
+  WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
+c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM b),
+chunks AS (SELECT doc_id, i, count(*) AS n, string_agg(line, chr(10) ORDER BY j) AS chunk FROM c GROUP BY doc_id, i),
+seen AS (
+  SELECT *, CASE WHEN n >= 2 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') THEN row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) ELSE 1 END AS nth FROM chunks),
+kept AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_lines, (sum(n) - coalesce(sum(n) FILTER (nth = 1), 0))::BIGINT AS n_removed,
+         coalesce(string_agg(chunk, chr(10) ORDER BY i) FILTER (nth = 1), '') AS text FROM seen GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN kept.text END AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+_SHINGLES = r"""
+  SELECT id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END) AS s
+  FROM (SELECT id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {t})"""
+
+OP8 = f"""
+WITH d AS ({_SHINGLES.format(t="(SELECT doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL)")}),
+b AS ({_SHINGLES.format(t="(SELECT item_id AS id, text FROM benchmark WHERE item_id IS NOT NULL)")}),
+m AS (SELECT id, count(*)::BIGINT AS n_item FROM b GROUP BY id),
+shared AS (SELECT d.id AS doc_id, b.id AS item_id, count(*)::BIGINT AS n_shared FROM d JOIN b USING (s) GROUP BY d.id, b.id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM shared JOIN m ON m.id = item_id WHERE n_shared * 100 >= n_item * 80
+"""
+
+ORACLE_SQL = {"op2_topk": OP2, "op4_mixing": OP4, "op6_urls": OP6, "op7_lines": OP7, "op8_decontamination": OP8}
