@@ -124,4 +124,16 @@ SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
 FROM shared JOIN m ON m.id = item_id WHERE n_shared * 100 >= n_item * 80
 """
 
-ORACLE_SQL = {"op2_topk": OP2, "op4_mixing": OP4, "op6_urls": OP6, "op7_lines": OP7, "op8_decontamination": OP8}
+OP3 = f"""
+WITH RECURSIVE g AS MATERIALIZED ({_SHINGLES.format(t="(SELECT doc_id AS id, text FROM documents)")}),
+n AS MATERIALIZED (SELECT id, count(*)::BIGINT AS n FROM g GROUP BY id),
+pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM g x JOIN g y ON x.s = y.s AND x.id < y.id GROUP BY x.id, y.id),
+linked AS MATERIALIZED (SELECT a, b FROM pairs JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE common * 100 >= (na.n + nb.n - common) * 80),
+e AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.id = a GROUP BY a
+"""
+
+ORACLE_SQL = {
+    "op2_topk": OP2, "op3_ngram_join": OP3, "op4_mixing": OP4, "op6_urls": OP6, "op7_lines": OP7, "op8_decontamination": OP8,
+}
