@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontam, lines, mixing, ngram_join, pii, tokens, topk, urls
+from sluice.llm import decontam, langid, lines, mixing, ngram_join, pii, tokens, topk, urls
 from sluice.llm.common import read_table
 
 
@@ -23,6 +23,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document of the same number: bad if of low quality or toxic."""
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -55,4 +60,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_ngram_join, op4_mixing, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}
