@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontam, langid, lines, mixing, ngram_join, pii, tokens, topk, urls
+from sluice.llm import decontam, langid, lines, mixing, ngram_join, pii, suffix_dedup, tokens, topk, urls
 from sluice.llm.common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -60,4 +64,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}
