@@ -227,6 +227,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return train(*sample(docs, key, text, lang))
 
 
+def _labelled(run: Runner, texts: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    langs = np.array([*run.m.langs, UNKNOWN], dtype=object)
+    has = letters.to_numpy(zero_copy_only=False).astype(bool)
+    if len(langs) == 1:
+        return langs[np.zeros(len(has), int)], np.zeros(len(has))
+    p = run.pooled(texts)
+    return langs[np.where(has, p.argmax(1), len(langs) - 1)], np.where(has, np.clip(p.max(1), 0, 1), 0.0)
+
+
+def _has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, held_out, lang_pred, score`` for every row; a narrow pass over whole texts.
 
@@ -240,17 +253,25 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = Runner(shared.value)
-        langs = np.array([*shared.value.langs, UNKNOWN], dtype=object)
         for b in batches:
-            letters = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if len(langs) == 1:
-                best, score = np.zeros(len(letters), int), np.zeros(len(letters))
-            else:
-                p = run.pooled(b.column(1))
-                best = np.where(letters, p.argmax(1), len(langs) - 1)
-                score = np.where(letters, np.clip(p.max(1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs[best], pa.string()), pa.array(score, pa.float64())], ["k", "lang_pred", "score"])
-
-    read = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"), F.coalesce(docs[text].rlike(r"\p{L}"), F.lit(False)).alias("has"))
+            best, score = _labelled(run, b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["k", "lang_pred", "score"])
+
+    read = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"), _has_letter(docs[text]).alias("has"))
     out = read.mapInArrow(label, f"k {kind}, lang_pred string, score double")
     return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = Runner(shared.value)
+        for b in batches:
+            best, score = _labelled(run, b.column(at), b.column(b.num_columns - 1))
+            yield b.select(range(b.num_columns - 1)).filter(pa.array((best != UNKNOWN) & (score >= least)))
+
+    return docs.select(*docs.columns, _has_letter(docs[text]).alias("_has_letter")).mapInArrow(keep, docs.schema)

@@ -187,3 +187,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     alone = sets.where("n = 0").select("id", "n", F.col("id").alias("component"))
     out = linked.select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")).unionByName(alone)
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the least id of their component; rows of a null id stay."""
+    later = link(docs, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct()
+    later = cut(later, "near-duplicates")
+    if later.count() <= BROADCAST_ROWS:
+        later = F.broadcast(later)
+    return docs.join(later, docs[key] == later["_later"], "left_anti")
