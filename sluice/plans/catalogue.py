@@ -1,6 +1,6 @@
 """All named queries of the library."""
 
-from sluice.plans import search_queries  # noqa: F401
+from sluice.plans import analytics_queries, search_queries  # noqa: F401
 from sluice.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
