@@ -339,7 +339,7 @@ def silence_alerts(t):
     return health.silent(health.daily(t.events, "user_id", "ts"))
 
 
-FOUND_SQL = "f AS (SELECT user_id AS source, event_id AS "at", CASE WHEN event_id % 4 = 0 THEN 0 ELSE (value / 20)::BIGINT END * (CASE WHEN user_id % 5 = 0 AND event_id > 9000 THEN 0 ELSE 1 END) AS found FROM events)"
+FOUND_SQL = "f AS (SELECT user_id AS source, event_id AS seen_at, CASE WHEN event_id % 4 = 0 THEN 0 ELSE (value / 20)::BIGINT END * (CASE WHEN user_id % 5 = 0 AND event_id > 9000 THEN 0 ELSE 1 END) AS found FROM events)"
 
 
 def found(t: Tables) -> DataFrame:
@@ -349,7 +349,7 @@ def found(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {FOUND_SQL}, s AS (SELECT *, sum((found > 0)::INTEGER) OVER (PARTITION BY source ORDER BY "at" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS later FROM f),
+WITH {FOUND_SQL}, s AS (SELECT *, sum((found > 0)::INTEGER) OVER (PARTITION BY source ORDER BY seen_at DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS later FROM f),
 p AS (SELECT source, max(found) AS peak, count(*) FILTER (later = 0) AS zeros FROM s GROUP BY source)
 SELECT source, peak, zeros, CASE WHEN peak < 5 THEN 'no-history' WHEN zeros >= 3 THEN 'breached' ELSE 'ok' END AS verdict FROM p""")
 def discovery_floor(t):
@@ -357,7 +357,7 @@ def discovery_floor(t):
 
 
 @query(f"""
-WITH {FOUND_SQL} SELECT source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "at" DESC) AS r FROM f) WHERE r <= 3 GROUP BY source HAVING bool_and(found <= 1) AND count(*) = 3""")
+WITH {FOUND_SQL} SELECT source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seen_at DESC) AS r FROM f) WHERE r <= 3 GROUP BY source HAVING bool_and(found <= 1) AND count(*) = 3""")
 def zero_activity(t):
     return health.last_runs(found(t), F.col("found") <= 1)
 
