@@ -207,7 +207,7 @@ def closing_moment(text: Column, zone: str = "Europe/Amsterdam") -> Column:
 
 def skills(raw: Column, most: int = 40, length: int = 80) -> Column:
     """Trimmed names of at most ``length`` characters, the first of each whatever its case, ``most`` of them."""
-    clean = F.filter(F.transform(raw, F.trim), lambda s: (s != "") & (F.length(s) <= length))
+    clean = F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: (s != "") & (F.length(s) <= length))
     first = lambda s, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda e: F.lower(e) == F.lower(s))
     return F.slice(F.filter(clean, first), 1, most)
 
