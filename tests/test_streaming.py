@@ -68,7 +68,7 @@ def test_missed_polls_stream_equals_window(spark, tmp_path):
 def test_windows_close_behind_the_watermark(spark, tmp_path):
     at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
     source = str(tmp_path / "e")
-    for k, rows in enumerate([[(at(1),), (at(2),)], [(at(40),)], [(at(3),), (at(41),)]]):
+    for k, rows in enumerate([[(at(1),), (at(2),)], [(at(40),)], [(at(42),)], [(at(3),), (at(43),)]]):
         spark.createDataFrame(rows, "ts timestamp").coalesce(1).write.parquet(f"{source}/part={k}")
         time.sleep(1.1)  # files are taken by age
     events = spark.readStream.schema("ts timestamp, part int").option("maxFilesPerTrigger", 1).parquet(source)
