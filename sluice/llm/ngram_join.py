@@ -8,6 +8,7 @@
    that share a shingle, so a shingle of ``k`` documents gives ``k - 1`` pairs.  Verified links give components.
    In a second round documents of different components that share a shingle meet; what is in one component
    already needs no further link.  So the components are exact, though most pairs of a hot group never arise.
+   Shingles of many documents are dealt to pairs of blocks, and pairs that fail a filter are never written.
 4. A pair must pass the length filter, the positional filter (what precedes and follows a common shingle in both
    sets bounds the overlap) and the suffix filter (the difference of counts in ``RANGES`` ranges of hash values
    bounds the Hamming distance from below); pairs are made distinct, then verified once from the two texts.
@@ -32,7 +33,9 @@ from sluice.shipping import ship
 NUMER, DENOM = 80, 100
 #: Counters of the table of shingle counts, in blocks that are summed apart; ranges of the suffix filter.
 SLOTS, BLOCK = 1 << 20, 1 << 14
-RANGES = 64
+RANGES = 128
+#: Documents of a shingle that meet in one group of the second round; more are dealt to pairs of blocks.
+MEETING = 512
 #: Ids (8 bytes) up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -79,7 +82,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 for i in (0, 1):
                     if some.any():
                         sums[i, some] = np.add.reduceat(shingling.mix(h, i + 2), begin[some])
-                at = owner * RANGES + (h >> np.uint64(58)).astype(np.int64)
+                at = owner * RANGES + (h >> np.uint64(57)).astype(np.int64)
                 ranges = np.minimum(np.bincount(at, minlength=docs_here * RANGES), 255).astype(np.uint8).reshape(docs_here, RANGES)
                 rare = (scale.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 order = np.argsort(rare, kind="stable")
@@ -108,17 +111,56 @@ def _may_link(a: str, b: str) -> Column:
     return (col(a, "n") * DENOM >= col(b, "n") * NUMER) & (F.least(col(a, "pos"), col(b, "pos")) + rest >= _least_overlap(col(a, "n"), col(b, "n")))
 
 
+def _suffix_filter(ra: np.ndarray, rb: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether counts by range (pairs x RANGES) leave room for the overlap that sets of ``total`` shingles need."""
+    apart = np.abs(ra.astype(np.int16) - rb.astype(np.int16)).sum(1)
+    return apart <= total - 2 * -(-total * NUMER // (NUMER + DENOM))
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that pass all filters among rows sorted by group; a group that a batch cuts is carried over."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if not len(b):
+            continue
+        last = (b[["h", "x", "y"]] == b[["h", "x", "y"]].iloc[-1]).all(axis=1).to_numpy()
+        rest = b[last]
+        yield _pairs(b[~last])
+    if rest is not None:
+        yield _pairs(rest)
+
+
+def _pairs(b: pd.DataFrame) -> pd.DataFrame:
+    found = [np.empty((2, 0), np.int64)]
+    h, x, y, own, ids, n, pos, component = (b[c].to_numpy() for c in ("h", "x", "y", "own", "id", "n", "pos", "component"))
+    ranges = np.frombuffer(b"".join(b["ranges"]), np.uint8).reshape(len(b), RANGES)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    i, step = np.arange(len(b)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(b)]
+        j = i + step
+        same = (h[i] == h[j]) & (x[i] == x[j]) & (y[i] == y[j])
+        i, j = i[same], j[same]
+        least = -(-(n[i] + n[j]) * NUMER // (NUMER + DENOM))
+        may = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * DENOM >= np.maximum(n[i], n[j]) * NUMER)
+        may &= (own[i] != own[j]) | (x[i] == y[i])
+        may &= np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+        a, c = i[may], j[may]
+        near = _suffix_filter(ranges[a], ranges[c], n[a] + n[c])
+        found.append(np.stack([np.minimum(ids[a[near]], ids[c[near]]), np.maximum(ids[a[near]], ids[c[near]])]))
+    return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"]).drop_duplicates()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The distinct ``a, b`` of ``pairs`` whose texts' shingle sets are similar."""
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                x, y = np.frombuffer(b"".join(p["ra"]), np.uint8), np.frombuffer(b"".join(p["rb"]), np.uint8)
-                apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).reshape(len(p), RANGES).sum(1)
-                total = (p["na"] + p["nb"]).to_numpy().astype(np.int64)
-                least = -(-total * NUMER // (NUMER + DENOM))
-                yield p.loc[apart <= total - 2 * least, ["a", "b"]]
+                x, y = (np.frombuffer(b"".join(p[r]), np.uint8).reshape(len(p), RANGES) for r in ("ra", "rb"))
+                yield p.loc[_suffix_filter(x, y, (p["na"] + p["nb"]).to_numpy().astype(np.int64)), ["a", "b"]]
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,13 +212,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     first = cut(verified(pairs, sizes, docs, key, text), "links")
 
     label = cut(components(first), "first-components")
-    left = shared.where("k > 2").select("h", "id", "n", "pos").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left = shared.where("k > 2").select("h", "k", "id", "n", "pos").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = left.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
     left = cut(left.join(mixed, "h", "left_semi"), "mixed-shingles")
-    side = lambda s: left.select("h", F.col("id").alias(s), F.col("n").alias(f"{s}n"), F.col("pos").alias(f"{s}pos"), F.col("component").alias(f"{s}c"))
-    ordered = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    met = side("a").join(side("b"), "h").where((F.col("ac") != F.col("bc")) & ordered & _may_link("a", "b"))
-    more = met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).withColumnRenamed("x", "a").distinct().join(pairs, ["a", "b"], "left_anti")
+    blocks = F.ceil(F.col("k") / MEETING).cast("int")
+    left = left.join(sizes.select("id", "n", "ranges"), ["id", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    dealt = left.drop("k", "other").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    more = dealt.mapInPandas(_meet, "a long, b long").where("a <> b").distinct().join(pairs, ["a", "b"], "left_anti")
     second = cut(verified(more, sizes, docs, key, text), "more-links")
 
     stars = label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second)

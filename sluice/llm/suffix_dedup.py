@@ -114,6 +114,14 @@ def _sent(kind: int, to: int, rows: dict[str, np.ndarray]) -> dict:
     return {"kind": kind, "to": to} | {c: rows[c].astype(t).tobytes() for c, t in COLUMNS.items()}
 
 
+def _dealt(kind: int, to: np.ndarray, rows: dict[str, np.ndarray], parts: int) -> list[dict]:
+    """One row for each partition that something goes to; columns that are empty stay so."""
+    order = np.argsort(to.astype(np.int64), kind="stable")
+    edges = np.searchsorted(to.astype(np.int64)[order], np.arange(parts + 1))
+    each = ((k, order[edges[k] : edges[k + 1]]) for k in range(parts) if edges[k] < edges[k + 1])
+    return [_sent(kind, k, {c: v[at] if len(v) else v for c, v in rows.items()}) for k, at in each]
+
+
 def _marks(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """Marked windows by document: id, hash of its text, and pairs of first window and number of windows."""
     if not len(rows["doc"]):
@@ -158,13 +166,9 @@ def mark_contexts(docs: DataFrame, parts: int) -> DataFrame:
             rows, first = _firsts(rows)
             known = _take(rows, np.flatnonzero(~first & ~_same_place(rows, first)))
             rows = _take(rows, np.flatnonzero(first))
-            to = ((rows["minimizer"] >> _U(20)) % _U(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(parts + 1))
-            out = [_sent(0, k, _take(rows, order[edges[k] : edges[k + 1]])) for k in range(parts) if edges[k] < edges[k + 1]]
-            if len(known["doc"]):
-                out.append(_sent(1, int(known["doc"][0]) % parts, known))
-            yield pd.DataFrame(out)
+            known["minimizer"] = known["context"] = np.empty(0, np.uint64)  # a mark is a place
+            out = _dealt(0, (rows["minimizer"] >> _U(20)) % _U(parts), rows, parts)
+            yield pd.DataFrame(out + _dealt(1, known["doc"] % parts, known, parts))
 
         for b in batches:
             ids, twins = b.column(0).to_numpy(), b.column(1).to_numpy()
