@@ -5,10 +5,13 @@
 2. Documents of equal sets are one class, represented by its least id.  A class orders its shingles rare first
    and keeps the prefix in which two similar sets must share one: ``n - ceil(0.8 n) + 1`` of them.
 3. Prefix shingles meet by shuffle.  In a first round each document meets only its neighbour by size among those
-   that share a shingle, so a shingle of ``k`` documents gives ``k - 1`` pairs.  Verified links give components.
+   that share a shingle and the one of least id, mostly the text that the others are copies of, so a shingle
+   of ``k`` documents gives fewer than ``2 k`` pairs.  Verified links give components.
    In a second round documents of different components that share a shingle meet; what is in one component
    already needs no further link.  So the components are exact, though most pairs of a hot group never arise.
-   Shingles of many documents are dealt to pairs of blocks, and pairs that fail a filter are never written.
+   Shingles of many documents are dealt to pairs of blocks, pairs that fail a filter are never written, and
+   those that pass are written at the least shingle they have in common, as far as sketches of ``SKETCH``
+   shingles tell it.
 4. A pair must pass the length filter, the positional filter (what precedes and follows a common shingle in both
    sets bounds the overlap) and the suffix filter (the difference of counts in ``RANGES`` ranges of hash values
    bounds the Hamming distance from below); pairs are made distinct, then verified once from the two texts.
@@ -36,6 +39,8 @@ SLOTS, BLOCK = 1 << 20, 1 << 14
 RANGES = 128
 #: Documents of a shingle that meet in one group of the second round; more are dealt to pairs of blocks.
 MEETING = 512
+#: Least shared shingles of a document that its rows carry in the second round, and what stands for none.
+SKETCH, NONE = 16, 2**63 - 1
 #: Ids (8 bytes) up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -135,6 +140,7 @@ def _pairs(b: pd.DataFrame) -> pd.DataFrame:
     found = [np.empty((2, 0), np.int64)]
     h, x, y, own, ids, n, pos, component = (b[c].to_numpy() for c in ("h", "x", "y", "own", "id", "n", "pos", "component"))
     ranges = np.frombuffer(b"".join(b["ranges"]), np.uint8).reshape(len(b), RANGES)
+    least_shared = np.concatenate(b["sketch"].to_numpy()).reshape(len(b), SKETCH)
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     i, step = np.arange(len(b)), 0
     while len(i):
@@ -149,6 +155,9 @@ def _pairs(b: pd.DataFrame) -> pd.DataFrame:
         may &= np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
         a, c = i[may], j[may]
         near = _suffix_filter(ranges[a], ranges[c], n[a] + n[c])
+        one, two = least_shared[a[near]], least_shared[c[near]]
+        earlier = (one[:, :, None] == two[:, None, :]) & (one < h[a[near], None])[:, :, None]
+        near[near] = ~earlier.any((1, 2))
         found.append(np.stack([np.minimum(ids[a[near]], ids[c[near]]), np.maximum(ids[a[near]], ids[c[near]])]))
     return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"]).drop_duplicates()
 
@@ -203,11 +212,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own = real.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
     shared = own.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
     by_size = Window.partitionBy("h").orderBy("n", "id")
-    shared = shared.withColumns({"pid": F.lag("id").over(by_size), "pn": F.lag("n").over(by_size), "ppos": F.lag("pos").over(by_size), "k": F.count("*").over(Window.partitionBy("h"))})
+    shared = shared.withColumns({"pid": F.lag("id").over(by_size), "pn": F.lag("n").over(by_size), "ppos": F.lag("pos").over(by_size), "k": F.count("*").over(Window.partitionBy("h")), "first": F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("h"))})
     shared = cut(shared.where("k > 1"), "shared-shingles")
     names = {"a": ("pn", "ppos"), "b": ("n", "pos")}
     chain = shared.where("pid IS NOT NULL AND pid <> id").select(F.col("pid").alias("a"), F.col("id").alias("b"), *(F.col(n).alias(f"{s}{c}") for s, cs in names.items() for n, c in zip(cs, ("n", "pos"))))
-    pairs = chain.where(_may_link("a", "b")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).withColumnRenamed("x", "a").distinct()
+    sides = F.array_sort(F.array(F.struct("n", "id", "pos"), F.struct("first.n", "first.id", "first.pos")))
+    star = shared.where("k > 2 AND first.id <> id").select(sides.alias("s")).select(*(F.col("s")[i][c].alias(s if c == "id" else f"{s}{c}") for i, s in enumerate("ab") for c in ("id", "n", "pos")))
+    pairs = chain.unionByName(star).where(_may_link("a", "b")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("b")).withColumnRenamed("x", "a").distinct()
     sizes = own.select("id", "n", "ranges")
     first = cut(verified(pairs, sizes, docs, key, text), "links")
 
@@ -215,6 +226,10 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     left = shared.where("k > 2").select("h", "k", "id", "n", "pos").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = left.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
     left = cut(left.join(mixed, "h", "left_semi"), "mixed-shingles")
+    several = own.groupBy("id").count().where("count > 1").select("id")  # texts of one id: no sketch, as each counts
+    sorted_h = F.concat(F.array_sort(F.collect_set("h")), F.array_repeat(F.lit(NONE), SKETCH))
+    sketches = left.join(several, "id", "left_anti").groupBy("id").agg(F.slice(sorted_h, 1, SKETCH).alias("sketch"))
+    left = left.join(sketches, "id", "left").withColumn("sketch", F.coalesce("sketch", F.array_repeat(F.lit(NONE), SKETCH)))
     blocks = F.ceil(F.col("k") / MEETING).cast("int")
     left = left.join(sizes.select("id", "n", "ranges"), ["id", "n"]).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
