@@ -52,6 +52,31 @@ def lag(events: DataFrame, processed: DataFrame, now: str) -> DataFrame:
     return waiting.agg(F.count("*").alias("waiting"), age.alias("oldest_seconds"))
 
 
+def repairs(differing: DataFrame, source: DataFrame) -> DataFrame:
+    """``aggregate, action, hash, partition``: what makes the projection equal its source again, from the aggregates that differ."""
+    gone = F.col("hash").isNull() & F.col("partition").isNull()
+    joined = differing.select("aggregate").join(source.select("aggregate", "hash", "partition"), "aggregate", "left")
+    return joined.select("aggregate", F.when(gone, "delete").otherwise("upsert").alias("action"), "hash", "partition")
+
+
+def rebuild_event_id(generation: str, aggregate: Column) -> Column:
+    """The id of an aggregate's event in a rebuild, in the form of a UUID of version 5: the same in every try, so replays meet."""
+    h = F.sha2(F.concat(F.lit(generation + ":"), aggregate.cast("string")), 256)
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    parts = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)]
+    return F.concat_ws("-", *parts)
+
+
+def rebuild(documents: DataFrame, path: str, generation: str) -> str:
+    """A new generation of the projection in a folder of its own, ready for :func:`current`; returns that folder.
+
+    Readers turn to it when it is whole.  A rebuild that runs again overwrites itself; rows of the old generation stay.
+    """
+    rows = documents.select("aggregate", F.lit(0).cast("long").alias("sequence"), "hash", "partition", F.lit(False).alias("deleted"), F.lit(-1).cast("long").alias("batch"))
+    rows.write.mode("overwrite").parquet(f"{path}/generation={generation}/batch--1")
+    return f"{path}/generation={generation}"
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The projection: the mutation of the highest sequence of each aggregate, without deleted ones.
 

@@ -75,3 +75,12 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     q = polls.windowed_counts(events, "ts", "10 minutes", "5 minutes").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["start"], r["n"]) for r in spark.table("windows").collect()] == [(at(0), 2)]
+
+
+def test_a_rebuild_equals_its_documents_and_goes_on(spark, tmp_path):
+    docs = documents(spark, 6)
+    folder = outbox.rebuild(docs, str(tmp_path), "2")
+    assert outbox.rebuild(docs, str(tmp_path), "2") == folder
+    assert state(spark, folder) == sorted(map(tuple, docs.collect()))
+    outbox.apply_batch(spark.createDataFrame([(7, 3, "delete", None)], EVENTS), 0, docs, folder)
+    assert [r[0] for r in state(spark, folder)] == [0, 1, 2, 4, 5]
