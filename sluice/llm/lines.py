@@ -7,6 +7,12 @@ blank, that occurs more than once in the whole table stays where it is first (by
 place) and is removed everywhere else.  Hashes only find the chunks that may repeat; what decides is
 equality of their bytes, by grouping and joining on the text itself.
 
+A short passage rarely holds a whole chunk, as its first and last boundary depend on what surrounds it.  So chunks
+alone are one form (``passages=False``, the rows of op7's SQL), and by default two more things are looked for in
+the same way: two lines that follow each other, with the blank lines between them, which cover every repeated
+passage of two or more lines from its first to its last, and single lines of ``LONG`` words or more.  All that is
+removed occurs at an earlier place (by document id, then line), so every removed line is left somewhere.
+
 Counting is partially aggregated, so a chunk may occur in any share of the documents; the join that finds
 its occurrences has nothing above it that needs them together, and Spark may split a hot chunk.
 """
@@ -16,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bound, cut
+from sluice.llm.common import WORD, bound, cut
 
 WINDOW, DIVISOR = 2, 3
+#: Words from which a single line is a passage.
+LONG = 50
 #: Rows (ids and hashes of some 30 bytes) up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -29,7 +37,7 @@ def line_hash(line: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """``array<struct<i, n, text>>``: the chunks of a text in order, with their numbers of lines; none for null."""
+    """``array<struct<i, at, n, text>>``: the chunks of a text in order, with their first lines and numbers of lines; none for null."""
     lines = F.split(text, "\n", -1)
     hashes = F.transform(lines, line_hash)
 
@@ -38,28 +46,49 @@ def chunks(text: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == F.size(lines) - 1) | ((before(i) * 31 + F.get(hashes, i)) % DIVISOR == 0))
         starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
         bounds = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.transform(bounds, lambda x, i: F.struct(i.alias("i"), (x["b"] - x["a"] + 1).alias("n"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1), "\n").alias("text")))
+        return F.transform(bounds, lambda x, i: F.struct(i.alias("i"), x["a"].alias("at"), (x["b"] - x["a"] + 1).alias("n"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1), "\n").alias("text")))
 
     parts = bound(F.struct(lines.alias("lines"), hashes.alias("hashes")), lambda x: assembled(x["lines"], x["hashes"]))
     return F.when(text.isNotNull(), parts)
 
 
+INK = r"[^\x20\x09-\x0D]"
+
+
 def removable(chunk: Column) -> Column:
-    return (chunk["n"] >= 2) & chunk["text"].rlike(r"[^\x20\x09-\x0D]")
+    return (chunk["n"] >= 2) & chunk["text"].rlike(INK)
+
+
+def grams(text: Column) -> Column:
+    """``array<struct<i, n, text>>``: what is removed where it isn't first, each with its first line and number of lines; none for null."""
+
+    def neighbours(x: Column) -> Column:
+        lines, full = x["lines"], x["full"]
+        piece = lambda a, n: F.struct(a.alias("i"), n.alias("n"), F.array_join(F.slice(lines, a + 1, n), "\n").alias("text"))
+        pairs = F.zip_with(F.slice(full, F.lit(1), F.greatest(F.size(full) - 1, F.lit(0))), F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0))), lambda a, b: piece(a, b - a + 1))
+        wide = F.filter(full, lambda j: (F.length(F.get(lines, j)) >= 2 * LONG - 1) & (F.regexp_count(F.get(lines, j), F.lit(WORD)) >= LONG))
+        return F.concat(pairs, F.transform(wide, lambda j: piece(j, F.lit(1))))
+
+    lines = F.split(text, "\n", -1)
+    near = bound(lines, lambda ls: bound(F.struct(ls.alias("lines"), F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda j: F.get(ls, j).rlike(INK)).alias("full")), neighbours))
+    place = lambda c: F.struct(c["at"].alias("i"), c["n"].alias("n"), c["text"].alias("text"))
+    return F.when(text.isNotNull(), F.concat(F.transform(F.filter(chunks(text), removable), place), near))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` less its repeated chunks, and ``n_lines``, ``n_removed``.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+    """All rows and columns of ``docs`` with ``text`` less what it repeats, and ``n_lines``, ``n_removed``.
 
     Null texts stay null, with 0 lines; an empty text is one empty line and stays.  A text that loses all its
-    chunks becomes empty.  Rows equal in id and text are one document, so a repeated row keeps the same
-    chunks as its twin; a null id comes before all others.  An empty table gives an empty result.  Columns of
+    lines becomes empty.  Rows equal in id and text are one document, so a repeated row keeps the same
+    lines as its twin; a null id comes before all others.  An empty table gives an empty result.  Columns of
     other names are passed on, whatever they are, except that ``n_lines`` and ``n_removed`` are replaced.
     """
     k1, k2 = F.coalesce(docs[key].cast("long"), F.lit(-(2**63))), F.xxhash64(docs[text])
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2, "_chunks": chunks(docs[text].cast("string"))})
-    parts = keyed.select("_k1", "_k2", F.explode(F.filter("_chunks", removable)).alias("c"))
-    parts = parts.select("_k1", "_k2", F.col("c")["i"].alias("i"), F.xxhash64(F.col("c")["text"]).alias("h"), F.col("c")["text"].alias("chunk"))
+    whole = docs[text].cast("string")
+    looked = grams(whole) if passages else F.filter(chunks(whole), removable)
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    parts = keyed.select("_k1", "_k2", F.explode(looked).alias("c"))
+    parts = parts.select("_k1", "_k2", F.col("c")["i" if passages else "at"].alias("i"), F.col("c")["n"].alias("n"), F.xxhash64(F.col("c")["text"]).alias("h"), F.col("c")["text"].alias("chunk"))
     places = parts.select("h", F.struct("_k1", "_k2", "i").alias("at"))
     more = cut(places.groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("h"), "repeated-hashes")
     if more.count() <= BROADCAST_ROWS:
@@ -67,13 +96,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     maybe = cut(parts.join(more, "h"), "repeated-chunks")
     first = maybe.groupBy("h", "chunk").agg(F.min(F.struct("_k1", "_k2", "i")).alias("low"), F.max(F.struct("_k1", "_k2", "i")).alias("high"))
     later = maybe.join(first.where("low <> high").drop("high"), ["h", "chunk"]).where(F.struct("_k1", "_k2", "i") != F.col("low"))
-    gone = cut(later.groupBy("_k1", "_k2").agg(F.collect_set("i").alias("_gone")), "removed-chunks")
+    gone = later.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i", "n")).alias("runs"))
+    gone = cut(gone.select("_k1", "_k2", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))).alias("_gone")), "removed-lines")
     if gone.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    out = keyed.drop("_chunks").join(gone, ["_k1", "_k2"], "left").withColumn("_chunks", chunks(F.col(text).cast("string")))
-    kept = F.filter("_chunks", lambda c: F.col("_gone").isNull() | ~F.array_contains("_gone", c["i"]))
-    lines = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + c["n"]).cast("long")
-    n_lines = F.coalesce(lines(F.col("_chunks")), F.lit(0))
-    whole = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n"))
+    out = keyed.join(gone, ["_k1", "_k2"], "left").withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
+    n_lines = F.when(F.col(text).isNotNull(), F.size("_lines")).otherwise(0).cast("long")
+    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda j: F.get(ls, j))
+    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(bound(F.col("_lines"), left), "\n"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
-    return out.select(*columns, whole.alias(text), n_lines.alias("n_lines"), (n_lines - F.coalesce(lines(kept), F.lit(0))).alias("n_removed"))
+    return out.select(*columns, kept.alias(text), n_lines.alias("n_lines"), n_removed.alias("n_removed"))

@@ -39,6 +39,12 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks only, as its SQL says."""
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents"), passages=False).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, repeated neighbouring lines and long lines: what the pipeline removes."""
     return lines.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
@@ -64,4 +70,4 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op7_passages, op8_decontamination, op9_pii, op10_tokens)}

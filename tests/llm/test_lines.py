@@ -1,4 +1,12 @@
-from sluice.llm import lines
+import hashlib
+import re
+
+import duckdb
+
+from sluice.llm import lines, queries
+from sluice.llm.sql import ORACLE_SQL
+
+SF = "/root/testdata/sf0.001"
 
 
 def run(spark, rows):
@@ -33,6 +41,61 @@ def test_copies_of_a_document(spark):
     assert len({g[1:] for g in got[1:]}) == 1 and got[1][3] > 20
 
 
+def test_short_passages_go_whatever_surrounds_them(spark):
+    for n in (1, 2, 3, 4, 6):
+        passage = [" ".join(f"w{n}x{i}x{j}" for j in range(60 // n + 1 if n > 1 else 60)) for i in range(n)]
+        if n == 4:
+            passage.insert(2, "")
+        rows = [(k, "\n".join([f"own {n} {k} {j}" for j in range(k % 5)] + passage + [f"end {n} {k} {j}" for j in range(k % 3)])) for k in range(1, 21)]
+        for (k, text, _, removed), (_, whole) in zip(run(spark, rows), rows):
+            assert removed == (0 if k == 1 else len(passage)), (n, k)
+            assert text == "\n".join(x for x in whole.split("\n") if k == 1 or x not in passage)
+
+
+def brute(docs):
+    """What is left by places of pairs of lines, long lines and chunks, with Python's dicts."""
+    ink = re.compile(r"[^\x20\x09-\x0D]")
+    found, per = {}, {}
+    for k, text in sorted(docs):
+        ls = text.split("\n")
+        full = [j for j, x in enumerate(ls) if ink.search(x)]
+        per[k] = [(a, b) for a, b in zip(full, full[1:])] + [(j, j) for j in full if len(re.findall(r"[^\x20\x09-\x0D]+", ls[j])) >= 50]
+        h = [lines_hash(x) for x in ls]
+        a = 0
+        for j in range(len(ls)):
+            if j == len(ls) - 1 or ((h[j - 1] if j else 0) * 31 + h[j]) % 3 == 0:
+                if j > a and ink.search("".join(ls[a : j + 1])):
+                    per[k].append((a, j))
+                a = j + 1
+        for a, b in per[k]:
+            s = "\n".join(ls[a : b + 1])
+            found[s] = min(found.get(s, (k, a)), (k, a))
+    out = {}
+    for k, text in docs:
+        ls = text.split("\n")
+        gone = {j for a, b in per[k] if found["\n".join(ls[a : b + 1])] != (k, a) for j in range(a, b + 1)}
+        out[k] = (len(ls), len(gone), "\n".join(x for j, x in enumerate(ls) if j not in gone))
+    return out
+
+
+def lines_hash(line):
+    return int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+
+
+def test_table_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op7_passages(spark, SF).collect()} == brute(docs)
+    # Nothing is lost altogether: a removed line is left in some document.
+    left = {x for _, _, t in brute(docs).values() for x in t.split("\n")}
+    assert {x for _, t in docs for x in t.split("\n") if x.strip()} <= left
+
+
+def test_chunks_alone_equal_their_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert sorted(map(tuple, queries.op7_lines(spark, SF).collect())) == sorted(con.execute(ORACLE_SQL["op7_lines"]).fetchall())
+
+
 def test_odd_rows(odd_documents, no_documents):
     out = lines.dedup_lines(odd_documents)
     assert out.count() == odd_documents.count() and out.where("text IS NULL").count() == odd_documents.where("text IS NULL").count()
