@@ -19,6 +19,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import bound
+
 #: Characters on either side of a span in which context words count, and the score that a span needs.
 CONTEXT_CHARS, NEEDED = 48, 0.6
 
@@ -32,7 +34,9 @@ class Kind:
 
     Base kinds have no ``score``: what passes counts.  For the others ``score`` grows by ``CHECKED`` if
     the checksum ``checked`` holds and by ``NEAR`` if one of ``words`` stands near, and must reach
-    ``NEEDED``.  ``needs`` is a substring without which no match can exist.
+    ``NEEDED``.  ``needs`` is a substring without which no match can exist.  With ``whole`` the pattern
+    matches only how a string begins; ``whole`` gives, from the text at that place, the string to be checked
+    (null for none), so that a start that comes to nothing hides no later one.
     """
 
     name: str
@@ -42,6 +46,7 @@ class Kind:
     needs: str | None = None
     score: float | None = None
     words: tuple[str, ...] = ()
+    whole: Check | None = None
 
 
 def digits(s: Column) -> Column:
@@ -69,6 +74,22 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step) == 1
 
 
+#: Characters of an account number by country, as in the IBAN registry (ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def account_number(rest: Column) -> Column:
+    """The account number that a text begins with: as long as its country's are, or for a prefix in no registry the longest run."""
+    size = F.create_map(*(F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)))[F.substr(rest, F.lit(1), F.lit(2))]
+    counted = F.concat(F.lit("^(?:[A-Z0-9] ?){"), (size - 1).cast("string"), F.lit("}[A-Z0-9](?![A-Za-z0-9])"))
+    return F.regexp_substr(rest, F.coalesce(counted, F.lit("^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")))
+
+
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 BASE = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", needs="@"),
@@ -79,7 +100,7 @@ BASE = (
 )
 ADDED = (
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", whole=account_number,
         checked=mod97, score=0.2, words=("iban", "account", "konto", "compte", "cuenta", "bank"),
     ),
     Kind(
@@ -91,6 +112,8 @@ ADDED = (
         valid=lambda s: ~s.rlike("^(?:000|666|9)|-00-|-0000$"), score=0.3, words=("ssn", "social security", "taxpayer"),
     ),
 )
+#: Characters of the longest account number with a space after each, and the one behind it.
+WHOLE_CHARS = 68
 #: What a passed checksum and a context word add to a score.
 CHECKED, NEAR = 0.4, 0.3
 
@@ -121,8 +144,9 @@ def placed(text: Column, kind: Kind, found: Column) -> Column:
         near = reduce(or_, [around.contains(w) for w in kind.words])
         return F.lit(kind.score) + F.when(kind.checked(s) if kind.checked else F.lit(False), CHECKED).otherwise(0.0) + F.when(near, NEAR).otherwise(0.0)
 
+    strings = F.transform(starts, lambda b: kind.whole(F.substr(text, b + 1, F.lit(WHOLE_CHARS)))) if kind.whole else found
     spans = F.zip_with(
-        found,
+        strings,
         starts,
         lambda s, b: F.struct(
             F.lit(kind.name).alias("kind"),
@@ -132,9 +156,17 @@ def placed(text: Column, kind: Kind, found: Column) -> Column:
         ),
     )
     kept = F.filter(spans, lambda x: x["score"] >= NEEDED)
+    if kind.whole:
+        kept = bound(kept, apart)
     return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
+def apart(spans: Column) -> Column:
+    """Spans by start less those that begin before the one kept last has ended."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    return F.aggregate(spans, none, lambda kept, x: F.when((F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= x["start"]), F.array_append(kept, x)).otherwise(kept))
+
+
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and one column of spans for each kind, ``array<struct<kind, start, end, score>>``.
 

@@ -65,6 +65,16 @@ def test_checksums_and_context_decide_added_kinds(spark):
     assert [len(got[i]["ssn"]) for i in (6, 7)] == [1, 0]
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    nl, de = "NL91 ABNA 0417 1643 00", "DE89370400440532013000"
+    rows = [
+        (1, f"IBAN {nl} BIC ABNANL2A"), (2, f"{de} {nl} 2024"), (3, "PAY TO GB82 WEST 1234 5698 7654 32 REF 77 NOW"), (4, f"AB12 CODE 0000 1111 {nl} TOTAL 12"),
+        (5, f"{de}A"), (6, "NL91 ABNA 0417 1643 01 BIC ABNANL2A"), (7, f"DE12 3456 {nl} X"), (8, f"{nl}00"), (9, "NO93 8601 1117 947 KONTO"),
+    ]
+    got = {r["doc_id"]: [dict(rows)[r["doc_id"]][x["start"] : x["end"]] for x in r["iban"]] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [nl], 2: [de, nl], 3: ["GB82 WEST 1234 5698 7654 32"], 4: [nl], 5: [], 6: [], 7: [nl], 8: [], 9: ["NO93 8601 1117 947"]}
+
+
 def test_odd_rows(odd_documents, no_documents):
     assert pii.detect(odd_documents).count() == odd_documents.count()
     assert pii.detect(no_documents).count() == 0
