@@ -115,6 +115,13 @@ def weekly_volume_zero_filled(t):
     return runs.weekly(t.events.where("event_id % 400 = 0"), "ts")
 
 
+@query("""
+WITH c AS (SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n FROM events GROUP BY 1)
+SELECT week, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(week) FROM c), (SELECT max(week) FROM c), INTERVAL 7 DAY))::DATE AS week) LEFT JOIN c USING (week)""")
+def weekly_volume_all(t):
+    return runs.weekly(t.events, "ts")
+
+
 @query("""
 WITH c AS (SELECT (floor(p_retailprice / 10) * 10)::BIGINT AS bucket, count(*) AS n FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1)
 SELECT bucket, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(bucket) FROM c), (SELECT max(bucket) FROM c) + 1, 10)) AS bucket) LEFT JOIN c USING (bucket)""")
