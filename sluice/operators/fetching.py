@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +30,25 @@ def resume_order(listed: DataFrame, history: DataFrame, key: str) -> DataFrame:
     return listed.join(history, key, "left").orderBy(F.asc_nulls_first("fetched"), "listed")
 
 
+def positions(rows: DataFrame, order: list, label: str = "positions") -> DataFrame:
+    """``rows`` with ``pos``, 1 for the first by ``order``, which must decide every tie.
+
+    Rows are dealt by range and written with their partition; a partition's rows are numbered by themselves
+    and the rows of the partitions before it are added, so that no task orders all of them.
+    """
+    spark = rows.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    dealt = spark.read.schema(ranged.schema).parquet(path)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    counts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("pos", at).join(F.broadcast(counts), "_part").withColumn("pos", F.col("pos") + F.col("_before")).drop("_part", "_before")
+
+
 def distrusted(probes: DataFrame, most: float = 0.01) -> DataFrame:
     """Sources whose probes show a changed page under an unchanged date more often than ``most``."""
     per = probes.groupBy("source").agg(F.count("*").alias("probes"), F.count_if("dishonest").alias("dishonest"))

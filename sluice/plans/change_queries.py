@@ -76,6 +76,13 @@ def fetch_resume_order(t):
     return ranking.rank_by(top, [], [F.asc_nulls_first("fetched"), F.asc("listed")]).select("page_id", F.col("rank").alias("pos"))
 
 
+@query("SELECT page_id, row_number() OVER (ORDER BY CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 11 END NULLS FIRST, page_id) AS pos FROM pages")
+def fetch_resume_positions(t):
+    listed = t.pages.select("page_id", F.col("page_id").alias("listed"))
+    history = t.pages.where("page_id % 3 <> 0").select("page_id", (F.col("page_id") % 11).alias("fetched"))
+    return fetching.positions(listed.join(history, "page_id", "left"), [F.asc_nulls_first("fetched"), F.asc("listed")]).select("page_id", "pos")
+
+
 @query("SELECT event_type AS source, count(*) AS probes, count(*) FILTER (value > 98) AS dishonest, count(*) FILTER (value > 98) > count(*) * 0.01 AS distrusted FROM events GROUP BY 1")
 def fetch_honesty(t):
     return fetching.distrusted(t.events.select(F.col("event_type").alias("source"), (F.col("value") > 98).alias("dishonest")))
@@ -141,6 +148,18 @@ def rrf_fusion(t):
     return ranking.fuse([one, two], "vec_id")
 
 
+OTHER_VECTOR = [((i * 23) % 13 - 6) / 6 for i in range(64)]
+
+
+@query(f"""
+WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM ({COSINE_SQL})),
+b AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM ({COSINE_SQL.replace(str(QUERY_VECTOR), str(OTHER_VECTOR))}))
+SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id""")
+def rrf_fusion_nearest(t):
+    near = lambda q: ranking.rank_by(ranking.nearest(t.embeddings, q, 15, "vec_id", "embedding"), [], [F.desc("similarity"), F.asc("vec_id")])
+    return ranking.fuse([near(QUERY_VECTOR), near(OTHER_VECTOR)], "vec_id")
+
+
 @query("""
 WITH r AS (SELECT label AS query, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
 j AS (SELECT label AS query, vec_id AS id FROM embeddings WHERE vec_id % 3 = 0),
