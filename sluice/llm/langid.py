@@ -227,6 +227,22 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return train(*sample(docs, key, text, lang))
 
 
+def threshold(model: Model, windows: list[bytes], labels: list[str], otherwise: float) -> float:
+    """The score that a document must reach: halfway between chance, ``1 / K`` for ``K`` languages, and the 5% quantile of the rightly predicted sample.
+
+    So it moves with the number of languages and with what the model can tell.  With one language every score is
+    1 and nothing is asked; ``otherwise`` holds where the sample has nothing that is predicted rightly.
+    """
+    if len(model.langs) == 1:
+        return 0.0
+    if not windows or not model.langs:
+        return otherwise
+    p = Runner(model).pooled(pa.array([w.decode(errors="ignore") for w in windows], pa.string()))
+    right = p.max(1)[np.array(model.langs, dtype=object)[p.argmax(1)] == np.array(labels, dtype=object)]
+    chance = 1 / len(model.langs)
+    return float(chance + max(np.quantile(right, 0.05) - chance, 0.0) / 2) if len(right) else otherwise
+
+
 def _labelled(run: Runner, texts: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     langs = np.array([*run.m.langs, UNKNOWN], dtype=object)
     has = letters.to_numpy(zero_copy_only=False).astype(bool)
