@@ -1,36 +1,42 @@
 """The same rows as the numbered queries in SQL, where SQL can express the operator."""
 
 OP4 = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS no_src,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-per AS (
-  SELECT src, no_src, sum(size)::BIGINT AS source_size,
+per AS MATERIALIZED (
+  SELECT src, no_src, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
          (row_number() OVER (ORDER BY no_src, src) - 1) % 3 + 1 AS w
   FROM sized GROUP BY src, no_src),
-levels AS (
-  SELECT *, sum(source_size) OVER ()::BIGINT AS total, 3 * source_size AS cap,
-         (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w, no_src, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-           / (sum(w) OVER (ORDER BY 3 * source_size / w, no_src, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
-  FROM per),
-goal0 AS (
-  SELECT src, no_src, source_size,
-         least(cap::DOUBLE, coalesce((SELECT min(level) FROM levels WHERE level * w <= cap) * w, cap::DOUBLE)) AS target
-  FROM levels),
-goal AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS sure FROM goal0),
+shared AS (  -- what is above three times a source's size is shared again by weight, until nothing is above
+  SELECT 0 AS step, src, no_src, source_size, cap, w, sum(source_size) OVER ()::DOUBLE / sum(w) OVER ()::DOUBLE * w AS target, false AS closed FROM per
+  UNION ALL
+  SELECT step + 1, src, no_src, source_size, cap, w,
+         CASE WHEN full_ THEN cap::DOUBLE ELSE (sum(source_size) OVER () - coalesce(sum(cap) FILTER (full_) OVER (), 0))::DOUBLE / (sum(w) FILTER (NOT full_) OVER ())::DOUBLE * w END, full_
+  FROM (SELECT *, closed OR target > cap AS full_ FROM shared) WHERE step < (SELECT count(*) FROM per)),
+goal AS MATERIALIZED (
+  SELECT *, greatest(target - sure * source_size, 0.0) AS rest FROM (
+    SELECT src, no_src, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS sure
+    FROM shared WHERE step = (SELECT max(step) FROM shared))),
+drawn AS (  -- probabilities by size; those that would pass 1 are certain, and the others share the rest again
+  SELECT 0 AS step, doc_id, src, no_src, size, u, source_size, target, sure, rest, rest AS wanted,
+         size * (rest / sum(size::HUGEINT * size) OVER (PARTITION BY src, no_src)::DOUBLE) AS p, false AS closed
+  FROM sized JOIN goal USING (src, no_src)
+  UNION ALL
+  SELECT step + 1, doc_id, src, no_src, size, u, source_size, target, sure, rest,
+         rest - coalesce(sum(size) FILTER (full_) OVER s, 0)::DOUBLE,
+         CASE WHEN full_ THEN 1 ELSE size * ((rest - coalesce(sum(size) FILTER (full_) OVER s, 0)::DOUBLE) / (sum(size::HUGEINT * size) FILTER (NOT full_) OVER s)::DOUBLE) END, full_
+  FROM (SELECT *, closed OR coalesce(p > 1, false) AS full_, max((NOT closed AND coalesce(p > 1, false))::INT) OVER () AS any_ FROM drawn)
+  WHERE any_ = 1 WINDOW s AS (PARTITION BY src, no_src)),
 odds AS (
-  SELECT *, target / source_size - sure AS p FROM sized JOIN goal USING (src, no_src)),
-ranked AS (
-  SELECT *, CASE WHEN source_size > 0 AND p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE NULL END AS q FROM odds),
-z AS (
-  SELECT *, coalesce(q / (1 + q), 1.0) AS z FROM ranked),
-running AS (
-  SELECT *, sum(size) OVER (PARTITION BY src, no_src ORDER BY z, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM z)
+  SELECT *, CASE WHEN size > 0 AND p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM drawn WHERE step = (SELECT max(step) FROM drawn)),
+running AS (  -- rows alike in rank are taken together
+  SELECT *, sum(size) OVER (PARTITION BY src, no_src, q, doc_id, size) AS alike,
+         sum(size) OVER (PARTITION BY src, no_src, q IS NULL ORDER BY q, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM odds)
 SELECT doc_id, size, source_size, target,
-       (size * (sure + CASE WHEN upto - size / 2 <= target - sure * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (sure + CASE WHEN size > 0 AND p >= 1 THEN 1 ELSE 0 END + CASE WHEN q IS NOT NULL AND upto - alike / 2 <= wanted THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM running
 """
 

@@ -1,6 +1,11 @@
+import random
 import re
 
+import duckdb
+import pytest
+
 from sluice.llm import mixing
+from sluice.llm.sql import ORACLE_SQL
 
 
 def water(sizes):
@@ -33,15 +38,53 @@ def test_targets_and_taken(spark, odd_documents):
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(odd_documents.repartition(7)).collect()))
 
 
-def test_words_come_near_targets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sums = {}
-    for r in mixing.mix(docs).collect():
-        s = sums.setdefault((r["target"], r["source_size"]), [0, 0])
-        s[0] += r["taken"]
-        s[1] = max(s[1], r["size"])
-    for (target, _), (taken, largest) in sums.items():
-        assert abs(taken - target) <= largest / 2 + 1
+def count(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def held_to_water(docs):
+    """Sizes, targets and taken words of every row against Python's own count and resharing."""
+    rows = {r["doc_id"]: (r["source"], count(r["text"])) for r in docs.select("doc_id", "source", "text").collect()}
+    sizes, largest, taken = {}, {}, {}
+    for s, n in rows.values():
+        sizes[s] = sizes.get(s, 0) + n
+        largest[s] = max(largest.get(s, 0), n)
+    want = water(sizes)
+    got = mixing.mix(docs).collect()
+    assert {r["doc_id"] for r in got} == set(rows)
+    for r in got:
+        source, size = rows[r["doc_id"]]
+        assert r["size"] == size and r["source_size"] == sizes[source] and abs(r["target"] - want[source]) < 1e-6 * max(1, want[source])
+        assert 0 <= r["taken"] <= 3 * size and (not size or r["taken"] % size == 0)
+        taken[source] = taken.get(source, 0) + r["taken"]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_tables_against_resharing(spark, sf):
+    held_to_water(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+
+
+def test_capped_sources(spark):
+    rng = random.Random(3)
+    for case in range(3):
+        rows = [(i, " w" * int(2 ** rng.uniform(0, 9)), rng.choices(["a", "b", "c", None], [1, 2 if case else 0, 40, 1])[0]) for i in range(300)]
+        held_to_water(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE_SQL["op4_mixing"]).fetchall())
+
+
+def test_longer_documents_are_likelier(spark):
+    df = spark.range(8000).selectExpr("id doc_id", "repeat('w ', IF(id % 2 = 0, 2, 6)) text", "CASE WHEN id % 4 < 2 THEN 'a' ELSE 'b' END source")
+    got = mixing.mix(df).where("target < source_size").collect()
+    often = lambda n: sum(r["taken"] > 0 for r in got if r["size"] == n) / sum(r["size"] == n for r in got)
+    assert len(got) == 4000 and 2.5 < often(6) / often(2) < 3.6
 
 
 def test_pareto_keeps_inclusion_probability(spark):
