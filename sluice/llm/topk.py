@@ -1,16 +1,18 @@
 """Exact top-k search by inner product.
 
-Vectors are dealt into blocks by a hash; every block of queries meets every block of candidates in a task
-of its own, so memory is that of two blocks.  A task takes its candidates by descending length.  Both
-sides are rotated by the right singular vectors of all vectors (from the d x d matrix of second moments),
+Candidates are sorted by descending length over the whole table and cut into blocks; a query meets a block in
+a task that holds this block and one block of queries.  The ``SEEDS`` longest vectors give each query a first
+k-th best, and a block whose longest vector can't reach it by ``|q| |c|`` is never sent to it: queries
+are blocked by how far down they have to look, so most pairs of blocks are skipped before the shuffle.  A task
+takes its candidates by descending length.  Both sides are rotated by the right singular vectors of all vectors (from the d x d matrix of second moments),
 which puts most of a product into the first few coordinates; with the lengths of what is left,
 Cauchy-Schwarz bounds each product from above:
 
     q.c  <=  (first coordinates of q) . (first coordinates of c) + |rest of q| |rest of c|
 
 Only products whose bound reaches the query's k-th best so far are computed, in exact integers, and a task
-stops when even ``|q| |c|`` of the longest vector left can't reach it.  The k-th best starts from the
-``SEEDS`` longest vectors of the whole table.  A bound never drops a tie: ties go to the smaller id.
+stops when even ``|q| |c|`` of the longest vector left can't reach it.  A bound never drops a tie: ties go to
+the smaller id.  Scores and k-th bests are 64-bit integers throughout; only bounds are doubles.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ SEEDS = 1024
 #: Vectors in a block of candidates and of queries: at least, at most, and blocks aimed at in between.
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1024, 65_536, 48
 QUERY_BLOCK = 2048
+#: Lengths that tell queries how far down to look: one for each of so many equal shares of the blocks.
+LEVELS = 1024
+#: The ends of a long, at which components and scores beyond it are held.
+MOST = 2**63 - 1
 #: Candidates taken at once, and rotated coordinates used for the bound.
 STEP, HEAD = 1024, 24
 #: Relative slack for the rounding of bounds, far above that of d-term sums of doubles.
@@ -37,52 +43,67 @@ SLACK = 1e-9
 
 
 def scaled(vector: Column, factor: int = 64) -> Column:
-    """``floor(factor * x)`` of each component as long; null unless every component is a finite number."""
+    """``floor(factor * x)`` of each component as long, held at the ends of a long; null unless every component is a finite number."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
     sound = F.forall(doubles, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return F.when(F.coalesce(sound, F.lit(False)), F.transform(doubles, lambda x: F.floor(x * factor)))
+    held = lambda x: F.when(x >= float(MOST), F.lit(MOST)).when(x <= -float(MOST), F.lit(-MOST)).otherwise(F.floor(x))
+    return F.when(F.coalesce(sound, F.lit(False)), F.transform(doubles, lambda x: held(x * factor)))
 
 
-def _matrix(rows: pd.Series) -> np.ndarray:
-    return np.array(rows.tolist(), dtype=np.float64) if len(rows) else np.empty((0, 0))
+def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
+    return np.array(rows.tolist(), dtype=np.int64).reshape(len(rows), dim)
 
 
 def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Right singular vectors of all vectors of one dimension, strongest first; sums of d x d numbers only."""
+    """Right singular vectors of all vectors, strongest first; what reaches the driver are ``dim`` arrays of ``dim`` numbers."""
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dim, dim))
         for b in batches:
-            m = _matrix(b["v"])
-            if m.size:
-                total += m.T @ m
+            m = _matrix(b["v"], dim).astype(np.float64)
+            total += m.T @ m
         yield pd.DataFrame({"i": np.arange(dim), "row": list(total)})
 
-    parts = vectors.where(F.col("dim") == dim).select("v").mapInPandas(moments, "i int, row array<double>")
-    sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"i": [key[0]], "row": [sum(np.stack(p["row"].to_list()).sum(0) for p in parts)]})
+
+    rows = vectors.select("v").mapInPandas(moments, "i int, row array<double>").groupBy("i").applyInPandas(add, "i int, row array<double>").toPandas()
     gram = np.zeros((dim, dim))
-    for r in sums:
-        gram[r["i"], r["j"]] = r["x"]
-    return np.linalg.eigh(gram)[1][:, ::-1]
+    for i, row in zip(rows["i"], rows["row"]):
+        gram[i] = row
+    return np.linalg.eigh(gram / max(1.0, np.abs(gram).max()))[1][:, ::-1]
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of integer matrices: in doubles where sums stay below 2^53, else in Python integers."""
-    if q.size and c.size and np.abs(q).max() * np.abs(c).max() * q.shape[1] >= 2.0**53:
-        return q.astype(object) @ c.astype(object).T
-    return q @ c.T
+    """Inner products of integer matrices as 64-bit integers, held at the ends of a long.
+
+    In doubles where sums stay below 2^53, in 64-bit integers below 2^63, else in Python's.
+    """
+    size = lambda m: int(max(m.max(initial=0), -int(m.min(initial=0))))
+    most = size(q) * size(c) * q.shape[1]
+    if most < 2**53:
+        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    if most < MOST:
+        return q @ c.T
+    return np.clip(q.astype(object) @ c.astype(object).T, -MOST, MOST).astype(np.int64)
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row, the least of them first; rows are at least k long."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k :]
 
 
 def search_block(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, least: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query, candidate, score) that may be among a query's k best: all that reach its k-th best here."""
-    order = np.argsort(-np.einsum("ij,ij->i", c, c), kind="stable")
-    ci, c = ci[order], c[order]
-    cr, qr = c @ turn, q @ turn
+    """Rows (query, candidate, score) of each query's k best here, among those that reach ``least``."""
+    cf, qf = c.astype(np.float64), q.astype(np.float64)
+    order = np.argsort(-np.einsum("ij,ij->i", cf, cf), kind="stable")
+    ci, c, cf = ci[order], c[order], cf[order]
+    cr, qr = cf @ turn, qf @ turn
     head = min(HEAD, c.shape[1])
-    c_len, q_len = np.sqrt((c * c).sum(1)), np.sqrt((q * q).sum(1))
+    c_len, q_len = np.sqrt((cf * cf).sum(1)), np.sqrt((qf * qf).sum(1))
     c_rest, q_rest = np.sqrt((cr[:, head:] ** 2).sum(1)), np.sqrt((qr[:, head:] ** 2).sum(1))
-    floor = least.astype(np.float64).copy()
-    best = np.full((len(q), k), -np.inf)
+    floor = least.astype(np.int64).copy()
+    best = np.full((len(q), k), -MOST)
     out_q, out_c, out_s = [], [], []
     for at in range(0, len(c), STEP):
         to = min(at + STEP, len(c))
@@ -91,7 +112,7 @@ def search_block(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, l
         if not len(live):
             break
         bound = qr[live, :head] @ cr[at:to, :head].T + np.outer(q_rest[live], c_rest[at:to]) + slack[live, None]
-        may = bound >= floor[live, None]
+        may = (bound >= floor[live, None]) | (floor[live, None] == -MOST)
         rows = np.flatnonzero(may.any(1))
         if not len(rows):
             continue
@@ -101,16 +122,15 @@ def search_block(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, l
         a, b = np.nonzero(keep & (scores >= floor[live[rows], None]))
         found, who = scores[a, b], live[rows][a]
         out_q.append(who), out_c.append(ci[at:to][cols][b]), out_s.append(found)
-        merged = np.concatenate([best[live[rows]], np.where(keep, scores, -np.inf).astype(np.float64)], axis=1)
-        best[live[rows]] = -np.partition(-merged, k - 1, axis=1)[:, :k]
+        best[live[rows]] = _kth(np.concatenate([best[live[rows]], np.where(keep, scores, -MOST)], axis=1), k)
         floor = np.maximum(floor, best.min(1))
     if not out_q:
-        return np.empty(0, int), np.empty(0, ci.dtype), np.empty(0)
+        return np.empty(0, int), np.empty(0, ci.dtype), np.empty(0, np.int64)
     who, ids, scores = np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
     reach = scores >= floor[who]
     who, ids, scores = who[reach], ids[reach], scores[reach]
-    # The k best of each query here, ties to the smaller id.
-    order = np.lexsort((ids, -scores.astype(np.float64), who))
+    # The k best of each query here, ties to the smaller id; scores are above -2^63, so they can be negated.
+    order = np.lexsort((ids, -scores, who))
     who, ids, scores = who[order], ids[order], scores[order]
     first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.empty(0, bool)
     rank = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
@@ -120,56 +140,74 @@ def search_block(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, l
 def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", factor: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer products for each row whose id ``every`` divides.
 
-    Components become ``floor(factor * x)``.  Vectors that are null, or hold null or non-finite components,
-    take no part, nor do rows of a null id; vectors of different dimension are never compared; empty vectors
-    score 0 with each other.  A query is not compared with rows of its own id; repeated rows of another id
-    appear as often as they are there, in one order or the other.  Queries with fewer than k candidates
-    return all.  An empty table gives an empty result.  Only the two named columns are read.
+    Components become ``floor(factor * x)``.  Components and scores beyond a long are held at its ends, and scores
+    held there tie.  Vectors that are null, or hold null or non-finite components, take no part, nor do rows
+    of a null id; vectors of different dimension are never compared; empty vectors score 0 with each other.  A
+    query is not compared with rows of its own id; repeated rows of another id appear as often as they are
+    there, in one order or the other.  Equal rows of one query id ask once; different vectors of one query id ask
+    together, and the k best over all of them are returned.  Queries with fewer than k candidates return all.
+    Long vectors cost ``dimension`` squared numbers in the driver and each task.  An empty table gives an empty
+    result.  Only the two named columns are read, so other columns may have any name.  There is one plan for each
+    different dimension.
     """
     spark = df.sparkSession
     ship(spark)
     vectors = df.select(df[key].cast("long").alias("id"), scaled(df[vector], factor).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    vectors = cut(vectors.withColumn("dim", F.size("v")), "vectors")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    vectors = cut(vectors.select("id", "v", F.size("v").alias("dim"), length.alias("length")), "vectors")
     sizes = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    found = [_of_dimension(vectors, dim, n, k, every) for dim, n in sorted(sizes.items())]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = empty
-    for f in found:
-        out = out.unionByName(f)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for dim, n in sorted(sizes.items()):
+        out = out.unionByName(_of_dimension(vectors.where(F.col("dim") == dim).drop("dim"), dim, n, k, every))
     return out
 
 
-def _of_dimension(vectors: DataFrame, dim: int, n: int, k: int, every: int) -> DataFrame:
-    spark = vectors.sparkSession
-    own = vectors.where(F.col("dim") == dim).select("id", "v")
-    turn = rotation(vectors, dim) if dim else np.empty((0, 0))
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    longest = own.orderBy(length.desc(), "id").limit(SEEDS).toPandas()
-    seeds = spark.sparkContext.broadcast((longest["id"].to_numpy(), _matrix(longest["v"]), turn))
+def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataFrame:
+    spark = own.sparkSession
+    turn = rotation(own, dim) if dim else np.empty((0, 0))
+    longest = own.orderBy(F.col("length").desc(), "id").limit(SEEDS).select("id", "v").toPandas()
     size = min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS)))
-    c_blocks, q_blocks = -(-n // size), max(1, -(-n // (every * QUERY_BLOCK)))
-    block = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    spread = lambda side, name, m: side.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    candidates = spread(own.withColumn("cb", block("c", c_blocks)), "qb", q_blocks)
-
-    def first_floor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        si, s, _ = seeds.value
+    dealt = own.repartitionByRange(max(1, -(-n // size)), F.col("length").desc(), "id").select("id", "v", "length", F.spark_partition_id().alias("cb"))
+    candidates = cut(dealt, "candidates")
+    # A block's number grows as lengths fall; empty blocks leave gaps, which change nothing.
+    c_blocks = candidates.agg(F.max("cb")).first()[0] + 1
+    levels = min(LEVELS, c_blocks)
+    tops = candidates.groupBy(F.floor(F.col("cb") * levels / c_blocks).cast("int").alias("level")).agg(F.max("length").alias("top")).collect()
+    top = np.full(levels, 0.0)
+    for r in tops:
+        top[r["level"]] = r["top"]
+    top = np.maximum.accumulate(top[::-1])[::-1]  # of this level and all below
+    shared = spark.sparkContext.broadcast((longest["id"].to_numpy(), _matrix(longest["v"], dim), turn, top))
+
+    def look_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each query's first k-th best and the last block that it has to see."""
+        si, s, _, top = shared.value
         for b in batches:
-            if len(b):
-                scores = _exact(_matrix(b["v"]).reshape(len(b), dim), s.reshape(len(si), dim)).astype(np.float64)
-                scores[b["id"].to_numpy()[:, None] == si[None, :]] = -np.inf
-                yield b.assign(least=-np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else -np.inf)
+            if not len(b):
+                continue
+            scores = _exact(_matrix(b["v"], dim), s)
+            scores[b["id"].to_numpy()[:, None] == si[None, :]] = -MOST
+            least = _kth(scores, k)[:, 0] if scores.shape[1] >= k else np.full(len(b), -MOST)
+            reach = b["length"].to_numpy()[:, None] * top[None, :]
+            seen = (reach + SLACK * (reach + 1) >= least[:, None]) | (least[:, None] == -MOST)
+            last = seen.sum(1) - 1  # tops fall, so these are the first ones
+            yield b[["id", "v"]].assign(least=least, last=-(-(last + 1) * c_blocks // levels) - 1)
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        qi, q = left["id"].to_numpy(), _matrix(left["v"]).reshape(len(left), dim)
-        ci, c = right["id"].to_numpy(), _matrix(right["v"]).reshape(len(right), dim)
-        who, ids, scores = search_block(qi, q, ci, c, left["least"].to_numpy(), seeds.value[2], k)
-        return pd.DataFrame({"query_id": qi[who], "vec_id": ids, "score": scores.astype(np.int64)})
-
-    asked = own.where(F.col("id") % every == 0).mapInPandas(first_floor, "id long, v array<bigint>, least double")
-    queries = spread(asked.withColumn("qb", block("q", q_blocks)), "cb", c_blocks)
-    hits = queries.groupBy("cb", "qb").cogroup(candidates.groupBy("cb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
+        qi, ci = left["id"].to_numpy(), right["id"].to_numpy()
+        who, ids, scores = search_block(qi, _matrix(left["v"], dim), ci, _matrix(right["v"], dim), left["least"].to_numpy(), shared.value[2], k)
+        return pd.DataFrame({"query_id": qi[who], "vec_id": ids, "score": scores})
+
+    asked = own.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).mapInPandas(look_down, "id long, v array<bigint>, least long, last long")
+    asked = asked.repartitionByRange(max(1, -(-n // (every * QUERY_BLOCK))), F.col("last").desc(), "id")
+    queries = cut(asked.select("*", F.spark_partition_id().alias("qb")), "queries").where("last >= 0")
+    # Query blocks by falling depth, so those that must see a block are the first ones.
+    depth = queries.groupBy("qb").agg(F.max("last").alias("deepest"))
+    upto = depth.select(F.col("qb").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), "deepest")).alias("cb"))
+    candidates = candidates.join(upto, "cb")
+    queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    hits = queries.groupBy("cb", "qb").cogroup(candidates.groupBy("cb", "of")).applyInPandas(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
