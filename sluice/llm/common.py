@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -24,15 +22,25 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """``df`` with its columns renamed ``c0``, ``c1``, ..., so that no helper column clashes, and the new column of an old name."""
+    names = [c.lower() for c in df.columns]
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain, lambda name: F.col(f"c{names.index(name.lower())}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, one machine) a folder of this process is used.
+    Where it is unset, a session that runs in one process (tests) uses its warehouse folder; on a cluster that is an
+    error, as a folder of the driver's machine can't be read elsewhere.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/cut-tables"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -41,10 +49,3 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch(df: DataFrame, path: str) -> None:
-    """Remove a folder that :func:`cut` wrote, through the Hadoop file system it lies on."""
-    jvm = df.sparkSession._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)

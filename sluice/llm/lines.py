@@ -1,20 +1,20 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A text is its lines.  Every line is hashed, and a rolling hash over ``WINDOW`` line hashes ends a chunk
-where it is divisible by ``DIVISOR``: boundaries depend on the lines around them alone, so that lines
-inserted before a shared passage don't shift its chunks.  A chunk of two or more lines, one of them not
-blank, that occurs more than once in the whole table stays where it is first (by document id, then
-place) and is removed everywhere else.  Hashes only find the chunks that may repeat; what decides is
-equality of their bytes, by grouping and joining on the text itself.
-
-A short passage rarely holds a whole chunk, as its first and last boundary depend on what surrounds it.  So chunks
-alone are one form (``passages=False``, the rows of op7's SQL), and by default two more things are looked for in
-the same way: two lines that follow each other, with the blank lines between them, which cover every repeated
-passage of two or more lines from its first to its last, and single lines of ``LONG`` words or more.  All that is
-removed occurs at an earlier place (by document id, then line), so every removed line is left somewhere.
-
-Counting is partially aggregated, so a chunk may occur in any share of the documents; the join that finds
-its occurrences has nothing above it that needs them together, and Spark may split a hot chunk.
+A text is its lines.  A rolling hash runs over the hashes of the lines that aren't blank, ``WINDOW`` of them at a
+time, and is counted over the whole table.  A chunk ends where the rolling hash occurs once only: there the text
+goes on in a way that it goes on nowhere else.  So boundaries follow from the lines around them, never from
+their places, and lines inserted before a passage don't shift its chunks.  What lies between two boundaries, a run
+of two or more lines in which every window repeats, is compared byte by byte, window by window (with the
+blank lines inside), with where each window is first, by document id, then line: lines of a window that has
+an earlier equal are removed, the others stay.  A line of ``LONG`` words or more is a passage by itself and a
+chunk of its own.  Shorter single lines never go.  All that is removed occurs at an earlier place, so every removed
+line is left somewhere.
+
+(Boundaries at every hash that a divisor divides were tried first: a passage of one to four lines rarely holds a
+whole chunk of that kind, as its first and last boundary depend on what surrounds it.)
+
+Counting is partially aggregated, so a window may occur in any share of the documents; places of a frequent one meet
+its first place by a salted join.
 """
 
 from __future__ import annotations
@@ -22,88 +22,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import WORD, bound, cut
+from sluice.llm.common import WORD, bound, cut, numbered
 
-WINDOW, DIVISOR = 2, 3
+#: Lines of a window, and what the hash of the earlier one is multiplied by.
+WINDOW, BASE = 2, 2**31 - 1
 #: Words from which a single line is a passage.
 LONG = 50
 #: Rows (ids and hashes of some 30 bytes) up to which a table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 300_000
-
-
-def line_hash(line: Column) -> Column:
-    """32 bits of a line."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
-
-
-def chunks(text: Column) -> Column:
-    """``array<struct<i, at, n, text>>``: the chunks of a text in order, with their first lines and numbers of lines; none for null."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, line_hash)
-
-    def assembled(lines: Column, hashes: Column) -> Column:
-        before = lambda i: F.when(i > 0, F.get(hashes, i - 1)).otherwise(F.lit(0))
-        ends = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == F.size(lines) - 1) | ((before(i) * 31 + F.get(hashes, i)) % DIVISOR == 0))
-        starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
-        bounds = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.transform(bounds, lambda x, i: F.struct(i.alias("i"), x["a"].alias("at"), (x["b"] - x["a"] + 1).alias("n"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1), "\n").alias("text")))
-
-    parts = bound(F.struct(lines.alias("lines"), hashes.alias("hashes")), lambda x: assembled(x["lines"], x["hashes"]))
-    return F.when(text.isNotNull(), parts)
-
-
+#: A text is hot from this many places and this share of all places on (so at most 100,000 are), and its places are dealt to so many tasks.
+HOT_PLACES, HOT_SHARE, SALTS = 1000, 1e-5, 64
 INK = r"[^\x20\x09-\x0D]"
 
 
-def removable(chunk: Column) -> Column:
-    return (chunk["n"] >= 2) & chunk["text"].rlike(INK)
+def rolled(before: Column, line: Column) -> Column:
+    """Rolling hash of two lines that follow each other: 31 bits of each, so that their order counts."""
+    bits = lambda s: F.shiftrightunsigned(F.xxhash64(s), 33)
+    return bits(before) * F.lit(BASE) + bits(line)
 
 
-def grams(text: Column) -> Column:
-    """``array<struct<i, n, text>>``: what is removed where it isn't first, each with its first line and number of lines; none for null."""
+def pieces(text: Column) -> Column:
+    """``array<struct<i, n, h>>``: first line, number of lines and hash of each window and each long line; none for null."""
 
-    def neighbours(x: Column) -> Column:
+    def found(x: Column) -> Column:
         lines, full = x["lines"], x["full"]
-        piece = lambda a, n: F.struct(a.alias("i"), n.alias("n"), F.array_join(F.slice(lines, a + 1, n), "\n").alias("text"))
-        pairs = F.zip_with(F.slice(full, F.lit(1), F.greatest(F.size(full) - 1, F.lit(0))), F.slice(full, F.lit(2), F.greatest(F.size(full) - 1, F.lit(0))), lambda a, b: piece(a, b - a + 1))
-        wide = F.filter(full, lambda j: (F.length(F.get(lines, j)) >= 2 * LONG - 1) & (F.regexp_count(F.get(lines, j), F.lit(WORD)) >= LONG))
-        return F.concat(pairs, F.transform(wide, lambda j: piece(j, F.lit(1))))
+        at = lambda j: F.get(lines, j)
+        piece = lambda i, n, h: F.struct(i.alias("i"), n.alias("n"), h.alias("h"))
+        rest = F.greatest(F.size(full) - WINDOW + 1, F.lit(0))
+        windows = F.zip_with(F.slice(full, F.lit(1), rest), F.slice(full, F.lit(WINDOW), rest), lambda a, b: piece(a, b - a + 1, rolled(at(a), at(b))))
+        wide = F.filter(full, lambda j: (F.length(at(j)) >= 2 * LONG - 1) & (F.regexp_count(at(j), F.lit(WORD)) >= LONG))
+        own = F.transform(wide, lambda j: piece(j, F.lit(1), -1 - F.shiftrightunsigned(F.xxhash64(at(j)), 1)))
+        return F.concat(windows, own)
 
     lines = F.split(text, "\n", -1)
-    near = bound(lines, lambda ls: bound(F.struct(ls.alias("lines"), F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda j: F.get(ls, j).rlike(INK)).alias("full")), neighbours))
-    place = lambda c: F.struct(c["at"].alias("i"), c["n"].alias("n"), c["text"].alias("text"))
-    return F.when(text.isNotNull(), F.concat(F.transform(F.filter(chunks(text), removable), place), near))
+    inked = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda j: F.get(ls, j).rlike(INK))
+    return F.when(text.isNotNull(), bound(lines, lambda ls: bound(F.struct(ls.alias("lines"), inked(ls).alias("full")), found)))
+
+
+def written(text: Column, i: Column, n: Column) -> Column:
+    """Lines ``i`` to ``i + n - 1`` of a text as they stand."""
+    return F.array_join(F.slice(F.split(text, "\n", -1), i + 1, n), "\n")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with ``text`` less what it repeats, and ``n_lines``, ``n_removed``.
 
-    Null texts stay null, with 0 lines; an empty text is one empty line and stays.  A text that loses all its
-    lines becomes empty.  Rows equal in id and text are one document, so a repeated row keeps the same
-    lines as its twin; a null id comes before all others.  An empty table gives an empty result.  Columns of
-    other names are passed on, whatever they are, except that ``n_lines`` and ``n_removed`` are replaced.
+    Null texts stay null, with 0 lines; an empty text is one empty line and stays; very long texts are taken whole.
+    A text that loses all its lines becomes empty.  Rows equal in id and text are one document, so a repeated row
+    keeps the same lines as its twin; ties of one id go by a hash of the text; a null id comes before all others.
+    An empty table gives an empty result.  Columns of other names are passed on, whatever they are, except that
+    columns called ``n_lines`` and ``n_removed``, in any case, are replaced.
     """
-    k1, k2 = F.coalesce(docs[key].cast("long"), F.lit(-(2**63))), F.xxhash64(docs[text])
-    whole = docs[text].cast("string")
-    looked = grams(whole) if passages else F.filter(chunks(whole), removable)
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    parts = keyed.select("_k1", "_k2", F.explode(looked).alias("c"))
-    parts = parts.select("_k1", "_k2", F.col("c")["i" if passages else "at"].alias("i"), F.col("c")["n"].alias("n"), F.xxhash64(F.col("c")["text"]).alias("h"), F.col("c")["text"].alias("chunk"))
-    places = parts.select("h", F.struct("_k1", "_k2", "i").alias("at"))
-    more = cut(places.groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low <> high").select("h"), "repeated-hashes")
+    plain, column = numbered(docs)
+    whole = column(text).cast("string")
+    keyed = plain.withColumns({"k1": F.coalesce(column(key).cast("long"), F.lit(-(2**63))), "k2": F.xxhash64(column(text)), "whole": whole})
+    parts = keyed.select("k1", "k2", "whole", F.explode(pieces(F.col("whole"))).alias("c")).select("k1", "k2", "whole", "c.i", "c.n", "c.h")
+    place = F.struct("k1", "k2", "i")
+    counted = parts.select("h", place.alias("at")).groupBy("h").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    more = cut(counted.where("low <> high").select("h"), "repeated-hashes")
     if more.count() <= BROADCAST_ROWS:
         more = F.broadcast(more)
-    maybe = cut(parts.join(more, "h"), "repeated-chunks")
-    first = maybe.groupBy("h", "chunk").agg(F.min(F.struct("_k1", "_k2", "i")).alias("low"), F.max(F.struct("_k1", "_k2", "i")).alias("high"))
-    later = maybe.join(first.where("low <> high").drop("high"), ["h", "chunk"]).where(F.struct("_k1", "_k2", "i") != F.col("low"))
-    gone = later.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("i", "n")).alias("runs"))
-    gone = cut(gone.select("_k1", "_k2", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))).alias("_gone")), "removed-lines")
-    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS:
+    maybe = parts.join(more, "h").select("h", "k1", "k2", "i", "n", written(F.col("whole"), F.col("i"), F.col("n")).alias("chunk"))
+    maybe = cut(maybe, "repeated-chunks")
+    first = cut(maybe.groupBy("h", "chunk").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("places")).where("low <> high").drop("high"), "first-chunks")
+    hot = F.col("places") >= max(HOT_PLACES, int(HOT_SHARE * maybe.count()))
+    frequent = F.broadcast(first.where(hot).select("h").distinct().withColumn("hot", F.lit(True)))
+    salted = maybe.join(frequent, "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k1", "k2", "i"), F.lit(SALTS)).cast("int")).otherwise(0))
+    # A hash that is hot by one text spreads the others as well.
+    spread = first.join(frequent, "h", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    later = salted.join(spread.select("h", "chunk", "salt", "low"), ["h", "chunk", "salt"]).where(place != F.col("low"))
+    gone = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "n")).alias("runs"))
+    gone = cut(gone.select("k1", "k2", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))).alias("gone")), "removed-lines")
+    if gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    out = keyed.join(gone, ["_k1", "_k2"], "left").withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
-    n_lines = F.when(F.col(text).isNotNull(), F.size("_lines")).otherwise(0).cast("long")
-    n_removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda j: F.get(ls, j))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(bound(F.col("_lines"), left), "\n"))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", text)]
-    return out.select(*columns, kept.alias(text), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    out = keyed.join(gone, ["k1", "k2"], "left").withColumn("lines", F.split("whole", "\n", -1))
+    n_lines = F.when(F.col("whole").isNotNull(), F.size("lines")).otherwise(0).cast("long")
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda j: F.get(ls, j))
+    kept = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(bound(F.col("lines"), left), "\n"))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", text.lower())]
+    return out.select(*map(column, names), kept, n_lines, n_removed).toDF(*names, text, "n_lines", "n_removed")

@@ -100,19 +100,19 @@ FROM ruled JOIN bounds USING (host)
 """
 
 OP7 = r"""
-WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-b AS (
-  SELECT *, CASE WHEN (coalesce(lag(h) OVER d, 0) * 31 + h) % 3 = 0 THEN 1 ELSE 0 END AS ends FROM h
-  WINDOW d AS (PARTITION BY doc_id ORDER BY j)),
-c AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM b),
-chunks AS (SELECT doc_id, i, count(*) AS n, string_agg(line, chr(10) ORDER BY j) AS chunk FROM c GROUP BY doc_id, i),
-seen AS (
-  SELECT *, CASE WHEN n >= 2 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') THEN row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) ELSE 1 END AS nth FROM chunks),
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS j FROM d),
+inked AS (SELECT doc_id, ls, j, lead(j) OVER (PARTITION BY doc_id ORDER BY j) AS after_ FROM l WHERE regexp_matches(ls[j], '[^\x20\x09-\x0D]')),
+pieces AS (
+  SELECT doc_id, j AS a, after_ AS b, array_to_string(ls[j:after_], chr(10)) AS chunk FROM inked WHERE after_ IS NOT NULL
+  UNION ALL
+  SELECT doc_id, j, j, ls[j] FROM inked WHERE len(regexp_extract_all(ls[j], '[^\x20\x09-\x0D]+')) >= 50),
+seen AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS nth FROM pieces),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS j FROM seen WHERE nth > 1),
 kept AS (
-  SELECT doc_id, sum(n)::BIGINT AS n_lines, (sum(n) - coalesce(sum(n) FILTER (nth = 1), 0))::BIGINT AS n_removed,
-         coalesce(string_agg(chunk, chr(10) ORDER BY i) FILTER (nth = 1), '') AS text FROM seen GROUP BY doc_id)
+  SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(gone.j)::BIGINT AS n_removed,
+         coalesce(string_agg(l.ls[l.j], chr(10) ORDER BY l.j) FILTER (gone.j IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.j = l.j GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN kept.text END AS text
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
