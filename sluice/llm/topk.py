@@ -162,15 +162,21 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vect
     return out
 
 
+def _in_blocks(rows: DataFrame, blocks: int, by: list, name: str) -> tuple[DataFrame, int]:
+    """Rows sorted into at most ``blocks`` blocks by range, written with their block's number, and the number of blocks."""
+    ranges = cut(rows.repartitionByRange(max(1, blocks), *by).withColumn("range", F.spark_partition_id()), f"{name}-ranges")
+    many = (ranges.agg(F.max("range")).first()[0] or 0) + 1
+    blocks = max(1, min(blocks, many))
+    return ranges.withColumn(name, F.floor(F.col("range") * blocks / many)).drop("range"), blocks
+
+
 def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataFrame:
     spark = own.sparkSession
     turn = rotation(own, dim) if dim else np.empty((0, 0))
     longest = own.orderBy(F.col("length").desc(), "id").limit(SEEDS).select("id", "v").toPandas()
     size = min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS)))
-    dealt = own.repartitionByRange(max(1, -(-n // size)), F.col("length").desc(), "id").select("id", "v", "length", F.spark_partition_id().alias("cb"))
-    candidates = cut(dealt, "candidates")
     # A block's number grows as lengths fall; empty blocks leave gaps, which change nothing.
-    c_blocks = candidates.agg(F.max("cb")).first()[0] + 1
+    candidates, c_blocks = _in_blocks(own, -(-n // size), [F.col("length").desc(), "id"], "cb")
     levels = min(LEVELS, c_blocks)
     tops = candidates.groupBy(F.floor(F.col("cb") * levels / c_blocks).cast("int").alias("level")).agg(F.max("length").alias("top")).collect()
     top = np.full(levels, 0.0)
@@ -201,8 +207,7 @@ def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataF
         return pd.DataFrame({"query_id": qi[who], "vec_id": ids, "score": scores})
 
     asked = own.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).mapInPandas(look_down, "id long, v array<bigint>, least long, last long")
-    asked = asked.repartitionByRange(max(1, -(-n // (every * QUERY_BLOCK))), F.col("last").desc(), "id")
-    queries = cut(asked.select("*", F.spark_partition_id().alias("qb")), "queries").where("last >= 0")
+    queries = _in_blocks(asked, -(-n // (every * QUERY_BLOCK)), [F.col("last").desc(), "id"], "qb")[0].where("last >= 0")
     # Query blocks by falling depth, so those that must see a block are the first ones.
     depth = queries.groupBy("qb").agg(F.max("last").alias("deepest"))
     upto = depth.select(F.col("qb").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), "deepest")).alias("cb"))
