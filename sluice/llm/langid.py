@@ -3,7 +3,9 @@
 The network is trained here, in numpy, by backpropagation through time on windows of ``SPAN`` bytes from a
 bounded sample of labelled documents, and every position of a window is trained to say the language.  A
 prediction runs it over every byte of the whole text, window after window, labels each position with
-probabilities, and pools them over the document by their mean.
+probabilities, and pools them over the document by their mean.  A window that ends before ``SPAN`` is padded, and both
+directions keep the state zero in the padding, so that the backward one starts at the last byte of the text.  A
+window's first bytes may be the rest of a character that the window before began.
 """
 
 from __future__ import annotations
@@ -16,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.llm.common import numbered
 from sluice.llm.shingling import _buffers as text_buffers
 from sluice.shipping import ship
 
 #: Bytes of a window, units of each direction, windows that are run side by side.
-SPAN, UNITS, BESIDE = 64, 8, 1024
+SPAN, UNITS, BESIDE = 64, 12, 1024
 #: The sample that is learned from: at most so many documents in all, so many windows of each.
 SAMPLE_DOCUMENTS, WINDOWS = 2000, 8
+#: Languages that are learned at most, the most frequent ones.
+MOST_LANGUAGES = 200
 #: Training: steps, windows in a step, and Adam's rate at the start and the end.
 STEPS, BATCH, RATES = 400, 160, (0.03, 0.003)
 UNKNOWN = "und"
@@ -54,8 +59,8 @@ def fresh(langs: list[str], seed: int = 7) -> Model:
 SLOPE = np.float32(0.25)
 
 
-def _learn_direction(inputs: np.ndarray, turn: np.ndarray, shift: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list]:
-    """States (T x H x B) of one direction and what its gradient needs."""
+def _learn_direction(inputs: np.ndarray, turn: np.ndarray, shift: np.ndarray, x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, list]:
+    """States (T x H x B) of one direction, zero where not ``inside`` (T x B) the text, and what its gradient needs."""
     h, kept, states = np.zeros((UNITS, x.shape[1]), np.float32), [], []
     for t in range(len(x)):
         a, u = inputs[:, x[t]], turn @ h
@@ -65,18 +70,18 @@ def _learn_direction(inputs: np.ndarray, turn: np.ndarray, shift: np.ndarray, x:
         n = a[2 * UNITS :] + r * u[2 * UNITS :]
         n /= 1 + np.abs(n)
         kept.append((h, r, z, n, u[2 * UNITS :]))
-        h = n + z * (h - n)
+        h = (n + z * (h - n)) * inside[t]
         states.append(h)
     return np.stack(states), kept
 
 
-def _direction_gradient(turn: np.ndarray, x: np.ndarray, kept: list, dstates: np.ndarray) -> list[np.ndarray]:
+def _direction_gradient(turn: np.ndarray, x: np.ndarray, inside: np.ndarray, kept: list, dstates: np.ndarray) -> list[np.ndarray]:
     """Gradients of inputs, turn and shift, going back through time."""
     dturn, dshift, dh = np.zeros_like(turn), 0.0, 0.0
     da = np.empty((len(x), 3 * UNITS, x.shape[1]), np.float32)
     for t in range(len(x) - 1, -1, -1):
         h, r, z, n, u = kept[t]
-        dh = dh + dstates[t]
+        dh = (dh + dstates[t]) * inside[t]
         dn = dh * (1 - z) * (1 - np.abs(n)) ** 2
         slope = lambda gate: SLOPE * ((gate > 0) & (gate < 1))
         da[t] = np.concatenate([dn * u * slope(r), dh * (h - n) * slope(z), dn])
@@ -90,8 +95,8 @@ def _direction_gradient(turn: np.ndarray, x: np.ndarray, kept: list, dstates: np
 
 def loss_and_gradient(m: Model, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy over positions of windows ``x`` (T x B), and gradients in the order of ``weights``."""
-    hf, kf = _learn_direction(m.inputs[0], m.turns[0], m.shift[0], x)
-    hb, kb = _learn_direction(m.inputs[1], m.turns[1], m.shift[1], x[::-1])
+    hf, kf = _learn_direction(m.inputs[0], m.turns[0], m.shift[0], x, mask)
+    hb, kb = _learn_direction(m.inputs[1], m.turns[1], m.shift[1], x[::-1], mask[::-1])
     both = np.concatenate([hf, hb[::-1]], axis=1)
     logits = m.out @ both + m.bias
     p = np.exp(logits - logits.max(1, keepdims=True))
@@ -101,8 +106,8 @@ def loss_and_gradient(m: Model, x: np.ndarray, mask: np.ndarray, y: np.ndarray)
     loss = -float((np.log(np.take_along_axis(p, np.broadcast_to(y, (len(x), 1, x.shape[1])), 1)[:, 0] + 1e-9) * weight).sum())
     d = (p - want) * weight[:, None]
     dboth = np.einsum("lh,tlb->thb", m.out, d, optimize=True).astype(np.float32)
-    gf = _direction_gradient(m.turns[0], x, kf, dboth[:, :UNITS])
-    gb = _direction_gradient(m.turns[1], x[::-1], kb, dboth[::-1, UNITS:])
+    gf = _direction_gradient(m.turns[0], x, mask, kf, dboth[:, :UNITS])
+    gb = _direction_gradient(m.turns[1], x[::-1], mask[::-1], kb, dboth[::-1, UNITS:])
     return loss, [gf[0], gb[0], gf[1], gb[1], gf[2], gb[2], np.einsum("tlb,thb->lh", d, both, optimize=True), d.sum((0, 2))[:, None]]
 
 
@@ -143,8 +148,8 @@ class Runner:
         self.inputs = [np.ascontiguousarray(w * scale + middle) for w in m.inputs]
         self.turns = [np.ascontiguousarray(w * scale) for w in m.turns]
 
-    def states(self, way: int, x: np.ndarray, out: np.ndarray) -> None:
-        """Fills ``out`` (T x H x B) with the states of one direction over ``x`` (T x B)."""
+    def states(self, way: int, x: np.ndarray, inside: np.ndarray | None, out: np.ndarray) -> None:
+        """Fills ``out`` (T x H x B) with the states of one direction over ``x`` (T x B); ``inside`` (T x B) is None if all of it is text."""
         h2, b = 2 * UNITS, x.shape[1]
         inputs, turn, shift = self.inputs[way], self.turns[way], self.m.shift[way]
         a, u = np.empty((3 * UNITS, b), np.float32), np.empty((3 * UNITS, b), np.float32)
@@ -167,6 +172,8 @@ class Runner:
             np.subtract(h, n, out=new)
             new *= gate[UNITS:]
             new += n
+            if inside is not None:
+                new *= inside[t]
             h = new
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
@@ -179,6 +186,8 @@ class Runner:
         owner = np.repeat(np.arange(len(size)), per)
         begin = off[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * SPAN
         length = np.minimum(SPAN, off[1:][owner] - begin)
+        whole_first = np.argsort(length < SPAN, kind="stable")  # padding costs a step more
+        owner, begin, length = owner[whole_first], begin[whole_first], length[whole_first]
         total = np.zeros((len(size), len(self.m.langs)))
         step = np.arange(SPAN)[:, None]
         states = np.empty((SPAN, 2 * UNITS, BESIDE), np.float32)
@@ -187,8 +196,8 @@ class Runner:
             inside = step < length[own]
             x = np.where(inside, data[np.minimum(begin[own] + step, max(len(data) - 1, 0))], 0).astype(np.intp)
             both = states[:, :, : x.shape[1]]
-            self.states(0, x, both[:, :UNITS])
-            self.states(1, x[::-1], both[::-1, UNITS:])
+            self.states(0, x, None, both[:, :UNITS])
+            self.states(1, x[::-1], None if inside.all() else inside[::-1].astype(np.float32), both[::-1, UNITS:])
             p = np.matmul(self.m.out, both)
             p += self.m.bias
             p -= p.max(1, keepdims=True)
@@ -206,9 +215,14 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[bytes], list[str]]:
-    """Windows and labels from at most ``SAMPLE_DOCUMENTS`` labelled documents that aren't held out, spread evenly over languages by a hash of the id."""
+    """Windows and labels from at most ``SAMPLE_DOCUMENTS`` labelled documents that aren't held out, spread evenly over languages by a hash of the id.
+
+    Languages are the ``MOST_LANGUAGES`` most frequent, ties by code point.  Null texts, labels and ids teach nothing;
+    long texts give windows from their beginning to their end; an empty table gives nothing.
+    """
     usable = docs.select(docs[key].alias("id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("t")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in known.collect()}
     if not counts:
         return [], []
     each = max(1, SAMPLE_DOCUMENTS // len(counts))
@@ -224,6 +238,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """A model from :func:`sample`; one that knows no language if nothing is labelled, always the one language if all labels are equal."""
     return train(*sample(docs, key, text, lang))
 
 
@@ -279,10 +294,18 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more."""
+    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more.
+
+    Null and empty texts and those without any letter go.  If the model knows no language, as nothing was labelled,
+    no text can be told from another and all rows stay.  Long texts are judged whole; repeated rows and null keys are
+    judged one by one; other columns are passed on, whatever their names; an empty table gives an empty result.
+    """
+    if not model.langs:
+        return docs
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    plain, column = numbered(docs)
+    at = [c.lower() for c in docs.columns].index(text.lower())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = Runner(shared.value)
@@ -290,4 +313,4 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
             best, score = _labelled(run, b.column(at), b.column(b.num_columns - 1))
             yield b.select(range(b.num_columns - 1)).filter(pa.array((best != UNKNOWN) & (score >= least)))
 
-    return docs.select(*docs.columns, _has_letter(docs[text]).alias("_has_letter")).mapInArrow(keep, docs.schema)
+    return plain.withColumn("has", _has_letter(column(text))).mapInArrow(keep, plain.schema).toDF(*docs.columns)

@@ -63,9 +63,11 @@ outcome AS (
   SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INTEGER) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id),
 hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-         count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad
-  FROM hp LEFT JOIN outcome USING (page_id) GROUP BY host),
+  SELECT host, array_to_string(string_split(host, '.')[-(1 + depth):], '.') AS domain, array_to_string(string_split(host, '.')[-depth:], '.') AS suffix, n, bad
+  FROM (SELECT host, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (
+      'ac.jp', 'ac.uk', 'co.id', 'co.il', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.co', 'com.hk',
+      'com.mx', 'com.my', 'com.sg', 'com.tr', 'com.tw', 'com.ua', 'gov.au', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.uk') THEN 2 ELSE 1 END AS depth,
+      count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad FROM hp LEFT JOIN outcome USING (page_id) GROUP BY host)),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY suffix),
 levels AS (
@@ -86,7 +88,7 @@ overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m
 s AS (SELECT suffix, (bad + ks * m) / (n + ks) AS of_suffix FROM suffixes, k, overall),
 d AS (SELECT domain, (bad + kd * of_suffix) / (n + kd) AS of_domain FROM domains JOIN s USING (suffix), k),
 p AS (SELECT host, (bad + kh * of_domain) / (n + kh) AS mean, n + kh AS n FROM hosts JOIN d USING (domain), k),
-bounds AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + 1)) AS bound FROM p),
+bounds AS (SELECT host, mean - 1.0 * sqrt(mean * (1 - mean) / (n + 1)) AS bound, m AS overall FROM p, overall),
 ruled AS (
   SELECT hp.*, CASE
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
@@ -95,7 +97,7 @@ ruled AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM hp)
 SELECT page_id, host, path, rule,
-       CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > overall THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN bounds USING (host)
 """
 

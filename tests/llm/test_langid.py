@@ -32,8 +32,8 @@ def slow(m, text):
     data, parts = text.encode(), []
     for at in range(0, len(data), langid.SPAN):
         x = np.frombuffer(data[at : at + langid.SPAN], np.uint8)[:, None]
-        hf, _ = langid._learn_direction(m.inputs[0], m.turns[0], m.shift[0], x)
-        hb, _ = langid._learn_direction(m.inputs[1], m.turns[1], m.shift[1], x[::-1])
+        hf, _ = langid._learn_direction(m.inputs[0], m.turns[0], m.shift[0], x, np.ones(x.shape))
+        hb, _ = langid._learn_direction(m.inputs[1], m.turns[1], m.shift[1], x[::-1], np.ones(x.shape))
         logits = m.out @ np.concatenate([hf, hb[::-1]], axis=1) + m.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         parts.append((p / p.sum(1, keepdims=True))[:, :, 0])
@@ -42,10 +42,7 @@ def slow(m, text):
 
 def test_runner_equals_position_by_position():
     m = langid.fresh(["a", "b", "c"])
-    # Windows are padded at their end; the backward direction starts in the padding, so whole windows are compared.
-    texts = ["x" * 64, "héllo wörld, " * 128, "ab" * 320]
-    texts = [t.encode()[: len(t.encode()) // 64 * 64].decode(errors="ignore") for t in texts]
-    texts = [t for t in texts if len(t.encode()) % 64 == 0]
+    texts = ["x" * 64, "héllo wörld, " * 128, "ab" * 320, "short", "ü" * 33, "é" * 700 + "x", "a"]
     got = langid.Runner(m).pooled(pa.array(texts))
     for row, t in zip(got, texts):
         assert np.allclose(row, slow(m, t), atol=1e-4)
@@ -61,6 +58,21 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
 
 
+def test_short_texts(spark):
+    """Pieces of held-out documents of 30 to 60 characters."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = docs.where(langid.held_out(F.col("doc_id")) & (F.length("text") > 400)).select("doc_id", "lang", F.expr("substr(text, 200, 30 + doc_id % 30)").alias("text"))
+    got = langid.predict(pieces, langid.fit(docs)).join(pieces.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.85
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, "some words here", f"l{i % 5}") for i in range(50)] + [(50 + i, "more", "l4") for i in range(30)]
+    _, labels = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(labels)) == 3 and "l4" in labels
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(i, "aaaa bbbb " * 20, "x" if zlib.crc32(str(i).encode()) % 3 != 1 else "never") for i in range(60)]
     windows, labels = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -75,3 +87,9 @@ def test_odd_rows(odd_documents, no_documents, spark):
     assert langid.predict(no_documents, model).count() == 0
     none = langid.fit(no_documents)
     assert {r["lang_pred"] for r in langid.predict(odd_documents, none).collect()} == {"und"}
+    assert sorted(map(repr, langid.accepted(odd_documents, none, 0.3).collect())) == sorted(map(repr, odd_documents.collect()))
+    assert langid.accepted(no_documents, model, 0.3).count() == 0
+    kept = langid.accepted(odd_documents, model, 0.0)
+    assert kept.columns == odd_documents.columns and kept.where("text IS NULL OR NOT text RLIKE '[a-zA-Zü漢]'").count() == 0
+    twice = odd_documents.unionAll(odd_documents).withColumn("_has_letter", F.lit(3)).withColumn("T", F.lit(None).cast("string"))
+    assert langid.accepted(twice, model, 0.0).count() == 2 * kept.count()

@@ -53,8 +53,11 @@ def test_order_and_columns(stages):
 
 
 def test_language_keeps_what_it_can_tell(stages):
-    got = langid.predict(stages[0], langid.fit(stages[0])).collect()
-    want = {r["doc_id"] for r in got if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SCORE}
+    windows, labels = langid.sample(stages[0])
+    model = langid.train(windows, labels)
+    least = langid.threshold(model, windows, labels, corpus_pipeline.LEAST_SCORE)
+    got = langid.predict(stages[0], model).collect()
+    want = {r["doc_id"] for r in got if r["lang_pred"] != "und" and r["score"] >= least}
     assert {k for k, _ in pairs(stages[1])} == want and len(want) > 0.97 * len(got)
 
 
@@ -79,3 +82,34 @@ def test_mix_takes_from_all_that_is_left(stages, spark):
     assert {r["doc_id"] for r in stages[5].collect()} == {k for k, _ in pairs(stages[4])}
     whole = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert whole == sorted(map(tuple, stages[5].collect()))
+
+
+def through(spark, docs):
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, out[-1], SF)
+        out.append(spark.createDataFrame(rows.collect(), rows.schema))
+    return out
+
+
+def test_odd_rows_pass_every_stage(spark, odd_documents):
+    clashing = odd_documents.withColumn("_gone", F.lit(1)).withColumn("_later", F.lit("x")).withColumn("_held", F.lit(2)).withColumn("taken", F.lit(3))
+    out = through(spark, clashing)
+    assert all(df.columns == clashing.columns for df in out[:-1])
+    counts = [df.count() for df in out]
+    assert counts[2] == counts[1] and counts[5] == counts[4] <= counts[3] <= counts[2]
+    assert {(r["doc_id"], r["taken"] <= 3 * r["size"]) for r in out[5].collect()} == {(k, True) for k, in out[4].select("doc_id").collect()}
+
+
+def test_no_labels_and_no_rows(spark, no_documents):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, docs, SF).count() == docs.count()
+    assert [df.count() for df in through(spark, no_documents)] == [0] * 6
+
+
+def test_mixing_takes_words_near_targets(stages):
+    rows = stages[5].collect()
+    assert rows and all(0 <= r["taken"] <= 3 * r["size"] and r["target"] >= 0 for r in rows)
+    for size, target in {(r["source_size"], r["target"]) for r in rows}:
+        of = [r for r in rows if (r["source_size"], r["target"]) == (size, target)]
+        assert abs(sum(r["taken"] for r in of) - target) <= max(r["size"] for r in of) / 2 + 1
