@@ -2,9 +2,11 @@
 
 Candidates are sorted by descending length over the whole table and cut into blocks; a query meets a block in
 a task that holds this block and one block of queries.  The ``SEEDS`` longest vectors give each query a first
-k-th best, and a block whose longest vector can't reach it by ``|q| |c|`` is never sent to it: queries
-are blocked by how far down they have to look, so most pairs of blocks are skipped before the shuffle.  A task
-takes its candidates by descending length.  Both sides are rotated by the right singular vectors of all vectors (from the d x d matrix of second moments),
+k-th best.  Blocks are then met in rounds, each of as many blocks as all rounds before it, and the k-th best
+is raised after each, so a round gives few more than k rows for a query.  A block whose longest vector can't reach
+the k-th best by ``|q| |c|`` is never sent to the query: queries are blocked by how far down they have to look,
+so pairs of blocks are skipped before the shuffle.  A task takes its candidates by descending length.  Both sides are
+rotated by the right singular vectors of all vectors (from the d x d matrix of second moments),
 which puts most of a product into the first few coordinates; with the lengths of what is left,
 Cauchy-Schwarz bounds each product from above:
 
@@ -30,7 +32,7 @@ from sluice.shipping import ship
 #: Longest vectors that give each query its first k-th best: a table of fixed size.
 SEEDS = 1024
 #: Vectors in a block of candidates and of queries: at least, at most, and blocks aimed at in between.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1024, 65_536, 48
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4096, 65_536, 24
 QUERY_BLOCK = 2048
 #: Lengths that tell queries how far down to look: one for each of so many equal shares of the blocks.
 LEVELS = 1024
@@ -183,11 +185,11 @@ def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataF
     for r in tops:
         top[r["level"]] = r["top"]
     top = np.maximum.accumulate(top[::-1])[::-1]  # of this level and all below
-    shared = spark.sparkContext.broadcast((longest["id"].to_numpy(), _matrix(longest["v"], dim), turn, top))
+    shared = spark.sparkContext.broadcast((longest["id"].to_numpy(), _matrix(longest["v"], dim), turn))
 
     def look_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each query's first k-th best and the last block that it has to see."""
-        si, s, _, top = shared.value
+        """Each query's first k-th best and the last level that it has to see."""
+        si, s, _ = shared.value
         for b in batches:
             if not len(b):
                 continue
@@ -196,8 +198,7 @@ def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataF
             least = _kth(scores, k)[:, 0] if scores.shape[1] >= k else np.full(len(b), -MOST)
             reach = b["length"].to_numpy()[:, None] * top[None, :]
             seen = (reach + SLACK * (reach + 1) >= least[:, None]) | (least[:, None] == -MOST)
-            last = seen.sum(1) - 1  # tops fall, so these are the first ones
-            yield b[["id", "v"]].assign(least=least, last=-(-(last + 1) * c_blocks // levels) - 1)
+            yield b[["id", "v", "length"]].assign(least=least, depth=seen.sum(1))  # tops fall, so these are the first levels
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -206,13 +207,25 @@ def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataF
         who, ids, scores = search_block(qi, _matrix(left["v"], dim), ci, _matrix(right["v"], dim), left["least"].to_numpy(), shared.value[2], k)
         return pd.DataFrame({"query_id": qi[who], "vec_id": ids, "score": scores})
 
-    asked = own.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).mapInPandas(look_down, "id long, v array<bigint>, least long, last long")
-    queries = _in_blocks(asked, -(-n // (every * QUERY_BLOCK)), [F.col("last").desc(), "id"], "qb")[0].where("last >= 0")
-    # Query blocks by falling depth, so those that must see a block are the first ones.
-    depth = queries.groupBy("qb").agg(F.max("last").alias("deepest"))
-    upto = depth.select(F.col("qb").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), "deepest")).alias("cb"))
-    candidates = candidates.join(upto, "cb")
-    queries = queries.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    hits = queries.groupBy("cb", "qb").cogroup(candidates.groupBy("cb", "of")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    asked = own.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).mapInPandas(look_down, "id long, v array<bigint>, length double, least long, depth int")
+    queries, _ = _in_blocks(asked, -(-n // (every * QUERY_BLOCK)), [F.col("depth").desc(), "id"], "qb")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    tops = F.array(*map(F.lit, top.tolist()))
+    reach = F.col("length") * F.get(tops, F.floor(F.col("cb") * levels / c_blocks).cast("int"))
+    best, begin = None, 0
+    while begin < c_blocks:
+        end = min(c_blocks, max(1, 2 * begin))
+        asking = queries
+        if best is not None:
+            raised = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
+            asking = queries.join(raised, "id", "left").withColumn("least", F.greatest("least", F.coalesce("score", F.lit(-MOST)))).drop("score")
+        asking = asking.withColumn("cb", F.explode(F.sequence(F.lit(begin), F.lit(end - 1)).cast("array<bigint>")))
+        asking = asking.where((F.col("least") == -MOST) | (reach + SLACK * (reach + 1) >= F.col("least")))
+        needed = asking.select("cb", F.col("qb").alias("of")).distinct()
+        facing = candidates.where(F.col("cb").between(begin, end - 1)).select("id", "v", "cb").join(needed, "cb")
+        hits = asking.select("id", "v", "least", "cb", "qb").groupBy("cb", "qb").cogroup(facing.groupBy("cb", "of")).applyInPandas(meet, "query_id long, vec_id long, score long")
+        if best is not None:
+            hits = hits.unionByName(best.drop("rank"))
+        best = cut(hits.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        begin = end
+    return best.select("query_id", "rank", "vec_id", "score")
