@@ -1,3 +1,5 @@
+import random
+
 from sluice.llm import decontam
 
 
@@ -37,6 +39,21 @@ def test_shuffled_paths(spark, monkeypatch):
     test_equals_brute_force(spark)
 
 
+def test_long_items_by_part_of_their_hashes(spark):
+    """Items of up to 3,000 shingles, of which signatures hold some 32 to 64, in documents of up to 20,000."""
+    rng = random.Random(9)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [(i, word(n)) for i, n in enumerate([70, 90, 130, 300, 900, 3000] * 5)]
+    docs = []
+    for i, w in items:
+        for share in (0.7, 0.79, 0.82, 0.9, 1.0):
+            begin = w[: int(len(w) * share)]
+            docs.append((len(docs), " ".join(word(rng.randrange(2000)) + begin + word(rng.randrange(18000)))))
+    want = brute(docs, [(i, " ".join(w)) for i, w in items])
+    got = decontam.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) >= 80
+
+
 def test_odd_rows(odd_documents, no_documents, spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta eps")], "item_id long, text string")
     assert decontam.decontaminate(odd_documents, items).count() >= 8
