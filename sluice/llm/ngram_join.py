@@ -14,11 +14,16 @@
    shingles tell it.
 4. A pair must pass the length filter, the positional filter (what precedes and follows a common shingle in both
    sets bounds the overlap) and the suffix filter (the difference of counts in ``RANGES`` ranges of hash values
-   bounds the Hamming distance from below); pairs are made distinct, then verified once from the two texts.
+   bounds the Hamming distance from below); pairs are made distinct, then verified once from the two texts: by their
+   hashed sets, and if these are similar by the shingles themselves.
+
+Shingles that the count-min table shows as frequent are dealt to ``SALTS`` tasks; their count and least document come
+from a partial aggregate.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +42,8 @@ NUMER, DENOM = 80, 100
 #: Counters of the table of shingle counts, in blocks that are summed apart; ranges of the suffix filter.
 SLOTS, BLOCK = 1 << 20, 1 << 14
 RANGES = 128
+#: A shingle may be hot from this many documents and this many times the mean counter on; it is then dealt to so many tasks.
+HOT_DOCUMENTS, HOT_TIMES, SALTS = 1000, 8, 16
 #: Documents of a shingle that meet in one group of the second round; more are dealt to pairs of blocks.
 MEETING = 512
 #: Least shared shingles of a document that its rows carry in the second round, and what stands for none.
@@ -73,9 +80,12 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n, s1, s2, prefix, ranges`` for every row: size and hash of the set, its rare-first prefix, and its counts by range."""
+    """``id, n, s1, s2, prefix, often, ranges`` for every row: size and hash of the set, its rare-first prefix, which of it is hot, and its counts by range."""
     spark = docs.sparkSession
-    scale = spark.sparkContext.broadcast(shingle_counts(docs, text))
+    counts = shingle_counts(docs, text)
+    mean = float(np.mean(np.exp2(counts / 8.0) - 1))
+    hot = 8 * np.log2(1.0 + HOT_DOCUMENTS + HOT_TIMES * mean)
+    scale = spark.sparkContext.broadcast(counts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,14 +105,16 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 length = np.where(some, n - -(-n * NUMER // DENOM) + 1, 0)
                 in_prefix = np.arange(len(h)) - np.repeat(begin, n) < np.repeat(length, n)
                 values = h[order][in_prefix].view(np.int64)
-                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(values))
+                edges = pa.array(np.r_[0, np.cumsum(length)].astype(np.int32))
+                prefix = pa.ListArray.from_arrays(edges, pa.array(values))
+                often = pa.ListArray.from_arrays(edges, pa.array((rare[order][in_prefix] >> np.uint64(56)) >= hot))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, docs_here), pa.array(n.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), prefix, pa.array([r.tobytes() for r in ranges], pa.binary())],
-                    ["id", "n", "s1", "s2", "prefix", "ranges"],
+                    [b.column(0).slice(first, docs_here), pa.array(n.astype(np.int32)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), prefix, often, pa.array([r.tobytes() for r in ranges], pa.binary())],
+                    ["id", "n", "s1", "s2", "prefix", "often", "ranges"],
                 )
 
     read = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
-    return read.mapInArrow(sign, "id long, n int, s1 long, s2 long, prefix array<bigint>, ranges binary")
+    return read.mapInArrow(sign, "id long, n int, s1 long, s2 long, prefix array<bigint>, often array<boolean>, ranges binary")
 
 
 def _least_overlap(n1: Column, n2: Column) -> Column:
@@ -178,6 +190,10 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
             for x, y in zip(one, two):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and both * DENOM >= (len(x) + len(y) - both) * NUMER)
+            for i in np.flatnonzero(keep):
+                x, y = (_written(b.column(c)[int(i)].as_py()) for c in (2, 3))
+                both = len(x & y)
+                keep[i] = both > 0 and both * DENOM >= (len(x) + len(y) - both) * NUMER
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     info = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}"))
@@ -191,6 +207,12 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
     return both.mapInArrow(similar, "a long, b long").distinct()
 
 
+def _written(text: str) -> set[bytes]:
+    """The distinct shingles of a text as bytes, words joined by spaces; fewer than five words are one."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    return {b" ".join(words[i : i + shingling.N]) for i in range(max(len(words) - shingling.N + 1, 1))} if words else set()
+
+
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
     for _, _, h, n in shingling.steps(texts):
         yield from np.split(h, np.cumsum(n)[:-1])
@@ -210,9 +232,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     real = sets.where("id IS NOT NULL AND n > 0")
     classes = cut(real.groupBy("s1", "s2").agg(F.min("id").alias("id")), "classes")
     own = real.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
-    shared = own.select("id", "n", F.posexplode("prefix").alias("pos", "h"))
-    by_size = Window.partitionBy("h").orderBy("n", "id")
-    shared = shared.withColumns({"pid": F.lag("id").over(by_size), "pn": F.lag("n").over(by_size), "ppos": F.lag("pos").over(by_size), "k": F.count("*").over(Window.partitionBy("h")), "first": F.min(F.struct("id", "n", "pos")).over(Window.partitionBy("h"))})
+    shared = own.select("id", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "p")).select("id", "n", "pos", F.col("p.prefix").alias("h"), F.col("p.often").alias("often"))
+    least = F.min(F.struct("id", "n", "pos"))
+    # Hot shingles are no more than counters by HOT_TIMES: a table of fixed size.
+    hot = cut(shared.where("often").groupBy("h").agg(F.count("*").alias("all"), least.alias("least")), "hot-shingles")
+    shared = shared.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    together = Window.partitionBy("h", "salt")
+    by_size = together.orderBy("n", "id")
+    shared = shared.withColumns({"pid": F.lag("id").over(by_size), "pn": F.lag("n").over(by_size), "ppos": F.lag("pos").over(by_size), "k": F.coalesce("all", F.count("*").over(together)), "first": F.coalesce("least", least.over(together))})
+    shared = shared.drop("salt", "often", "all", "least")
     shared = cut(shared.where("k > 1"), "shared-shingles")
     names = {"a": ("pn", "ppos"), "b": ("n", "pos")}
     chain = shared.where("pid IS NOT NULL AND pid <> id").select(F.col("pid").alias("a"), F.col("id").alias("b"), *(F.col(n).alias(f"{s}{c}") for s, cs in names.items() for n, c in zip(cs, ("n", "pos"))))
