@@ -55,14 +55,16 @@ def digits(s: Column) -> Column:
 
 def luhn(s: Column) -> Column:
     """The Luhn sum of the digits ends in 0: from the right every second digit counts double, less 9 above 9."""
-    d = digits(s)
 
-    def worth(i: Column) -> Column:
-        digit = F.ascii(F.substr(d, i, F.lit(1))) - 48
-        double = digit * 2
-        return F.when((F.length(d) - i) % 2 == 0, digit).when(double > 9, double - 9).otherwise(double)
+    def holds(d: Column) -> Column:
+        def worth(i: Column) -> Column:
+            digit = F.ascii(F.substr(d, i, F.lit(1))) - 48
+            double = digit * 2
+            return F.when((F.length(d) - i) % 2 == 0, digit).when(double > 9, double - 9).otherwise(double)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), lambda total, i: total + worth(i)) % 10 == 0
+        return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), lambda total, i: total + worth(i)) % 10 == 0
+
+    return bound(digits(s), holds)
 
 
 def mod97(s: Column) -> Column:
