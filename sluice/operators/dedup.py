@@ -48,3 +48,18 @@ def survivors(rows: DataFrame, group: list[str], order: list[Column], key: str)
     w = Window.partitionBy(*group).orderBy(*order)
     marked = rows.withColumns({"rank": F.row_number().over(w), "survivor": F.first(key).over(w), "group_size": F.count("*").over(Window.partitionBy(*group))})
     return marked.where("group_size > 1")
+
+
+def group_kinds(rows: DataFrame, group: str, legacy: str) -> DataFrame:
+    """``kind, groups, rows``: how many groups of two or more rows are legacy only, live only or mixed."""
+    per = rows.groupBy(group).agg(F.count("*").alias("n"), F.bool_and(legacy).alias("old"), F.bool_or(legacy).alias("some")).where("n > 1")
+    kind = F.when(F.col("old"), "only legacy").when(~F.col("some"), "only live").otherwise("mixed")
+    return per.groupBy(kind.alias("kind")).agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+
+
+def guarded_pairs(rows: DataFrame, source: str, group: str, key: str, left_out: list, share: float) -> DataFrame:
+    """``source, group, survivor`` of groups that may be merged without a look: two rows of two keys, a source that isn't
+    ``left_out``, and no more than ``share`` of the source's rows."""
+    live = rows.groupBy(source).agg(F.count("*").alias("_live"))
+    pairs = rows.where(~F.col(source).isin(left_out)).groupBy(source, group).agg(F.count("*").alias("_n"), F.countDistinct(key).alias("_keys"), F.min(key).alias("survivor"))
+    return pairs.where("_n = 2 AND _keys = 2").join(live, source).where(F.lit(2.0) / F.col("_live") <= share).select(source, group, "survivor")

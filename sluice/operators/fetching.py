@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.shared import shared_dir
+
 
 def unknown_listings(listed: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     """Listings whose key and hash aren't stored yet."""
@@ -20,9 +20,21 @@ def bucket(url: Column, buckets: int = 7) -> Column:
     return F.conv(F.substring(F.sha2(url, 256), 1, 8), 16, 10).cast("long") % buckets
 
 
-def due(url: Column, modified: Column, fetched: Column, today: Column, settle: int = 2) -> Column:
-    """Never fetched, changed since (a day counts as settled after ``settle`` days), or due this weekday."""
-    return F.coalesce(F.date_add(modified, settle) >= fetched, F.lit(True)) | (bucket(url) == F.unix_date(today) % 7)
+def due(url: Column, modified: Column, seen: Column, today: Column, settle: int = 2) -> Column:
+    """Whether a page is fetched: without a date or never seen, its date is another than the one ``seen`` last (in either direction),
+    a date younger than ``settle`` days, or this weekday's turn."""
+    young = F.datediff(today, modified) < settle
+    return F.coalesce((modified != seen) | young, F.lit(True)) | (bucket(url) == F.unix_date(today) % 7)
+
+
+def probed(url: Column, today: Column, percent: int = 2) -> Column:
+    """Whether a page that would be skipped is fetched today to see if its date is honest: another ``percent`` of pages each day."""
+    return bucket(F.concat_ws("@", url, today.cast("string")), 100) < percent
+
+
+def merged_counters(counts: DataFrame) -> DataFrame:
+    """Counters of the parts of runs added up: ``run_id`` and every other column's sum."""
+    return counts.groupBy("run_id").agg(*(F.sum(c).alias(c) for c in counts.columns if c != "run_id"))
 
 
 def resume_order(listed: DataFrame, history: DataFrame, key: str) -> DataFrame:
@@ -37,9 +49,8 @@ def positions(rows: DataFrame, order: list, label: str = "positions") -> DataFra
     and the rows of the partitions before it are added, so that no task orders all of them.
     """
     spark = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
     ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     ranged.write.parquet(path)
     dealt = spark.read.schema(ranged.schema).parquet(path)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))

@@ -71,11 +71,18 @@ def follow(chain: DataFrame) -> DataFrame:
 
 
 def lookup(rows: DataFrame, key: str, wanted: list) -> DataFrame:
-    """The rows of the wanted keys in the order asked, each position once."""
-    asked = rows.sparkSession.createDataFrame([(list(wanted),)], f"w array<{rows.schema[key].dataType.simpleString()}>")
+    """The rows of the wanted keys in the order asked, each row once, at the first place that asks for it."""
+    asked = rows.sparkSession.createDataFrame([(list(dict.fromkeys(wanted)),)], f"w array<{rows.schema[key].dataType.simpleString()}>")
     return asked.select(F.posexplode("w").alias("pos", key)).join(rows, key).orderBy("pos")
 
 
+def live_lookup(rows: DataFrame, chain: DataFrame, key: str, wanted: list) -> DataFrame:
+    """As :func:`lookup`, with superseded keys (``id, next``) followed to the row that lives; it is listed once."""
+    asked = lookup(follow(chain), "id", wanted)
+    first = asked.groupBy("final").agg(F.min("pos").alias("pos"))
+    return first.select("pos", F.col("final").alias(key)).join(rows, key).orderBy("pos")
+
+
 def same_members(a: Column, b: Column, ordered: bool) -> Column:
     """Two arrays hold the same members, in the same order if asked."""
     return a == b if ordered else F.array_sort(a) == F.array_sort(b)

@@ -47,6 +47,11 @@ class Filters:
 
     sources: list[str] = field(default_factory=list)
     statuses: list[str] = field(default_factory=list)
+    countries: list[str] = field(default_factory=list)
+    locations: list[str] = field(default_factory=list)
+    provinces: list[str] = field(default_factory=list)
+    work_forms: list[str] = field(default_factory=list)
+    rate_units: list[str] = field(default_factory=list)
     langs: list[str] = field(default_factory=list)
     contracts: list[str] = field(default_factory=list)
     skills: list[str] = field(default_factory=list)
@@ -67,12 +72,24 @@ def overlaps(low: Column, high: Column, wanted: tuple[float | None, float | None
     return F.coalesce(test, F.lit(False))
 
 
+def shown_location() -> Column:
+    """What a document is filtered and counted by: its location, else its country, but nothing if ``location_unknown`` says so."""
+    return F.when(~F.coalesce("location_unknown", F.lit(False)), F.coalesce("location", "country"))
+
+
 def predicate(f: Filters, now: datetime) -> Column:
     """All filters that are set, as one condition."""
     test = F.lit(True)
     for column, values in (("source", f.sources), ("status", f.statuses), ("lang", f.langs)):
         if values:
             test &= F.coalesce(F.col(column).isin(values), F.lit(False))
+    for column, values in (("province", f.provinces), ("work_form", f.work_forms), ("rate_unit", f.rate_units)):
+        if values:
+            test &= F.coalesce(F.col(column).isin(values), F.lit(False))
+    if f.locations:
+        test &= F.coalesce(shown_location().isin(f.locations), F.lit(False))
+    if f.countries:
+        test &= F.coalesce(F.col("country").isin(f.countries) & ~F.coalesce("location_unknown", F.lit(False)), F.lit(False))
     if f.contracts:
         test &= F.coalesce("contract", F.lit("")).isin(f.contracts)
     if f.skills:
@@ -90,12 +107,36 @@ def predicate(f: Filters, now: datetime) -> Column:
     return test
 
 
-def partition(now: datetime) -> Column:
-    """``archive`` for closed or stale documents and those whose deadline has passed, else ``active``."""
+def partition(now: datetime, recent_days: int | None = None) -> Column:
+    """``archive`` for closed or stale documents, those whose deadline has passed and, if asked, those not seen for long; else ``active``."""
     passed = F.coalesce(F.unix_timestamp("closing") < F.lit(int(now.timestamp())), F.lit(False))
+    if recent_days is not None:
+        passed |= F.coalesce(F.unix_timestamp("last_seen") < F.lit(int(now.timestamp()) - recent_days * 86_400), F.lit(False))
     return F.when(F.col("status").isin("closed", "stale") | passed, "archive").otherwise("active")
 
 
+def store(documents: DataFrame, path: str, now: datetime, recent_days: int | None = None) -> None:
+    """Search documents written by partition, so that a search of the active ones reads no other files."""
+    placed = documents.withColumn("partition", partition(now, recent_days))
+    placed.repartition("partition", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode("overwrite").partitionBy("partition").parquet(path)
+
+
+def scope(stored: DataFrame, name: str) -> DataFrame:
+    """The stored documents of a scope: ``active`` prunes the archive's files, ``all`` reads both."""
+    return stored.where(F.col("partition") == "active") if name == "active" else stored
+
+
+#: Facts under which a column is found where it is empty itself.
+FALLBACKS = {"rate_unit": ("tarief_eenheid", "tariefEenheid"), "contract": ("contracttype", "contract_type"), "work_form": ("werkvorm",)}
+
+
+def projected(rows: DataFrame, facts: str = "facts", fallbacks: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Rows as search documents: a column that is blank takes the first fact that isn't."""
+    fallbacks = FALLBACKS if fallbacks is None else fallbacks
+    said = lambda c: F.when(F.trim(c) != "", c)
+    return rows.withColumns({c: F.coalesce(said(F.col(c)), *(said(F.col(facts)[k]) for k in keys)) for c, keys in fallbacks.items()})
+
+
 def before_deadline(now: datetime) -> Column:
     """The deadline is later than now, floored to five minutes; documents without one pass."""
     fence = int(now.timestamp()) // FENCE_SECONDS * FENCE_SECONDS
@@ -138,11 +179,17 @@ SORTS = {
 
 
 def ordered(matched: DataFrame, mode: str) -> list[Column]:
-    """Sort keys of a mode: unknown values last, ids break ties; ``relevance`` leaves the ids only."""
+    """Sort keys of a mode: unknown values last, ids break ties; ``relevance`` leaves the ids only.
+
+    Rates are compared where their unit is known, if the documents have ``rate_unit`` at all.
+    """
     if mode == "relevance":
         return [F.col("id").asc()]
     by, column = SORTS[mode]
-    return [by(column), F.col("id").asc()]
+    value = F.col(column)
+    if column.startswith("rate") and "rate_unit" in matched.columns:
+        value = F.when(F.col("rate_unit").isNotNull(), value)
+    return [by(value), F.col("id").asc()]
 
 
 def page(matched: DataFrame, mode: str, offset: int, limit: int) -> DataFrame:

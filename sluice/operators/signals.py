@@ -1,118 +1,116 @@
-"""Independent health signals of a source, and the one conclusion drawn from them.
+"""Independent health signals of a source, and the one conclusion drawn from them, as tables of rules.
 
-Each signal is ``struct<state, reason, age>`` from nullable columns of a row; ages are seconds before ``now``
-(never negative), and a limit that is null is an unknown policy, not a passed one.
+A rule is ``(condition, state, reason, age)``; the first that holds gives the signal, ``struct<state, reason, age>``.  Four of
+the five signals watch a moment that should not be older than a limit and differ in their names alone (``WATCHES``) and
+in what is asked before.  Ages are seconds before now, never negative; a limit that is null is an unknown policy, not a
+passed one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Reasons of a watched moment: never seen, without a limit, too old, in time; and its state in time (fixed values).
+WATCHES = {
+    "process": ("never_reported", "process_policy_unknown", "heartbeat_stale", "heartbeat_fresh", "ok"),
+    "lock": ("lock_not_reported", "lock_policy_unknown", "lock_observation_stale", "lock_held", "ok"),
+    "progress": ("progress_not_reported", "progress_policy_unknown", "progress_stalled", "progressing", "progressing"),
+    "freshness": ("never_succeeded", "freshness_policy_unknown", "last_full_success_stale", "last_full_success_fresh", "ok"),
+}
+#: What each state of a signal, in this order of signals, lets conclude; a reason of None is the signal's own (fixed values).
+CONCLUSIONS = (
+    ("database", "unknown", "unknown", "database_unknown"),
+    ("process", "stale", "red", "worker_dead"),
+    ("process", "unknown", "unknown", "process_telemetry_unknown"),
+    ("lock", "failed", "red", "advisory_lock_not_owned"),
+    ("lock", "stale", "red", "advisory_lock_not_owned"),
+    ("lock", "unknown", "unknown", "advisory_lock_unknown"),
+    ("progress", "stale", "red", None),
+    ("progress", "unknown", "unknown", "progress_unknown"),
+    ("progress", "progressing", "progressing", None),
+    ("freshness", "stale", "red", "freshness_stale"),
+    ("freshness", "unknown", "unknown", "freshness_unknown"),
+)
+
+Rule = tuple[Column, "Column | str", "Column | str", "Column | None"]
+
+
+def first_rule(rules: list[Rule]) -> Column:
+    """The signal of the first rule that holds."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    made = lambda state, reason, age: F.struct(text(state).alias("state"), text(reason).alias("reason"), (F.lit(None) if age is None else age).cast("long").alias("age"))
+    out = F.lit(None)
+    for condition, *signal in reversed(rules):
+        out = F.when(condition, made(*signal)).otherwise(out)
+    return out
+
 
-def _age(at: Column, now: Column) -> Column:
+def age(at: Column, now: Column) -> Column:
     return F.greatest(F.unix_timestamp(now) - F.unix_timestamp(at), F.lit(0))
 
 
-def _signal(state: Column | str, reason: Column | str, age: Column | None = None) -> Column:
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(text(state).alias("state"), text(reason).alias("reason"), (F.lit(None) if age is None else age).cast("long").alias("age"))
-
-
-def _aged(at: Column, limit: Column, now: Column, fresh: tuple[str, str], stale: tuple[str, str]) -> Column:
-    age = _age(at, now)
-    return F.when(age > limit, _signal(*stale, age)).otherwise(_signal(*fresh, age))
-
-
-def _unless_active(source: Column, signal: Column) -> Column:
-    off = F.when(source == "inactive", "source_inactive").otherwise("source_blocked")
-    return F.when(source != "active", _signal(source, off)).otherwise(signal)
-
-
-def database(available: Column, at: Column, now: Column) -> Column:
-    age = _age(at, now)
-    return F.when(~available, _signal("unknown", "database_unavailable", age)).when(at.isNull(), _signal("unknown", "probe_not_observed")).otherwise(_signal("ok", "database_available", age))
-
-
-def process(source: Column, db: Column, heartbeat: Column, limit: Column, now: Column) -> Column:
-    own = (
-        F.when(db["state"] == "unknown", _signal("unknown", "database_unavailable"))
-        .when(heartbeat.isNull(), _signal("unknown", "never_reported"))
-        .when(limit.isNull(), _signal("unknown", "process_policy_unknown", _age(heartbeat, now)))
-        .otherwise(_aged(heartbeat, limit, now, ("ok", "heartbeat_fresh"), ("stale", "heartbeat_stale")))
-    )
-    return _unless_active(source, own)
-
-
-def lock(source: Column, db: Column, observed: Column, at: Column, limit: Column, now: Column) -> Column:
-    """``observed`` is held, waiting, lost or anything else for not reported."""
-    age = _age(at, now)
-    held = (
-        F.when(at.isNull(), _signal("unknown", "lock_not_reported"))
-        .when(limit.isNull(), _signal("unknown", "lock_policy_unknown", age))
-        .otherwise(_aged(at, limit, now, ("ok", "lock_held"), ("stale", "lock_observation_stale")))
-    )
-    own = (
-        F.when(db["state"] == "unknown", _signal("unknown", "database_unavailable"))
-        .when(observed == "held", held)
-        .when(observed == "waiting", _signal("failed", "waiting_for_advisory_lock", age))
-        .when(observed == "lost", _signal("failed", "lock_lost", age))
-        .otherwise(_signal("unknown", "lock_not_reported", age))
-    )
-    return _unless_active(source, own)
-
-
-def progress(source: Column, active: Column, started: Column, at: Column, limit: Column, now: Column) -> Column:
-    """Of a run under way: ``at`` is its last milestone, ``started`` what it has waited since while there is none."""
-    waited = _age(started, now)
-    first = (
-        F.when(limit.isNull(), _signal("unknown", "progress_policy_unknown"))
-        .when(waited > limit, _signal("stale", "first_progress_overdue", waited))
-        .otherwise(_signal("unknown", "progress_not_reported"))
-    )
-    own = (
-        F.when(~active, _signal("ok", "no_active_run"))
-        .when(at.isNull(), first)
-        .when(limit.isNull(), _signal("unknown", "progress_policy_unknown", _age(at, now)))
-        .otherwise(_aged(at, limit, now, ("progressing", "progressing"), ("stale", "progress_stalled")))
-    )
-    return _unless_active(source, own)
-
-
-def freshness(source: Column, current: Column, at: Column, limit: Column, now: Column) -> Column:
-    """``current`` is the state of the latest run, ``at`` the last success of a whole run."""
-    age = _age(at, now)
-    open_ = current.isin("incomplete", "backlogged", "parked", "unknown")
-    own = (
-        F.when(open_, _signal(F.when(current == "unknown", "unknown").otherwise("stale"), F.concat(F.lit("current_run_"), current), age))
-        .when(at.isNull(), _signal("unknown", "never_succeeded"))
-        .when(limit.isNull(), _signal("unknown", "freshness_policy_unknown", age))
-        .otherwise(_aged(at, limit, now, ("ok", "last_full_success_fresh"), ("stale", "last_full_success_stale")))
-    )
-    return _unless_active(source, own)
-
-
-def conclusion(source: Column, db: Column, proc: Column, held: Column, prog: Column, fresh: Column) -> Column:
-    """``struct<state, reason, age>``: the first that speaks of source, database, process, lock, progress, freshness.
-
-    A dead process counts before any progress that its row claims, and a run that is getting on before an old
-    last success.
-    """
+def watched(name: str, at: Column, limit: Column, now: Column) -> list[Rule]:
+    """Rules of a moment that should not be older than a limit."""
+    unseen, unlimited, late, fresh, state = WATCHES[name]
+    old = age(at, now)
+    return [(at.isNull(), "unknown", unseen, None), (limit.isNull(), "unknown", unlimited, old), (old > limit, "stale", late, old), (F.lit(True), state, fresh, old)]
 
-    def unknown(s: Column, policy: str, other: str) -> Column:
-        return _signal("unknown", F.when(s["reason"] == policy, policy).otherwise(other), s["age"])
-
-    return (
-        F.when(source != "active", _signal(source, F.concat(F.lit("source_"), source)))
-        .when(db["state"] == "unknown", _signal("unknown", "database_unknown", db["age"]))
-        .when(proc["state"] == "stale", _signal("red", "worker_dead", proc["age"]))
-        .when(proc["state"] == "unknown", unknown(proc, "process_policy_unknown", "process_telemetry_unknown"))
-        .when(held["state"].isin("failed", "stale"), _signal("red", "advisory_lock_not_owned", held["age"]))
-        .when(held["state"] == "unknown", unknown(held, "lock_policy_unknown", "advisory_lock_unknown"))
-        .when(prog["state"] == "stale", _signal("red", prog["reason"], prog["age"]))
-        .when(prog["state"] == "unknown", unknown(prog, "progress_policy_unknown", "progress_unknown"))
-        .when(prog["state"] == "progressing", _signal("progressing", "progressing", prog["age"]))
-        .when(fresh["state"] == "stale", _signal("red", "freshness_stale", fresh["age"]))
-        .when(fresh["state"] == "unknown", unknown(fresh, "freshness_policy_unknown", "freshness_unknown"))
-        .otherwise(_signal("green", "healthy"))
-    )
+
+def observed(rows: DataFrame, now: Column, **names: str) -> DataFrame:
+    """``rows`` with the signals ``database, process, lock, progress, freshness``, each a column.
+
+    Read are ``source`` (its state), ``available``, ``probed``, ``heartbeat``, ``heartbeat_limit``, ``lock`` (held, waiting,
+    lost, or else not reported), ``lock_at``, ``lock_limit``, ``running``, ``started``, ``progress_at``, ``progress_limit``,
+    ``run_state`` (of the latest run), ``success_at``, ``success_limit``; ``names`` gives columns of other names.
+    """
+    c = lambda name: F.col(names.get(name, name))
+    off = [(c("source") != "active", c("source"), F.when(c("source") == "inactive", "source_inactive").otherwise("source_blocked"), None)]
+    blind = [(~c("available") | c("probed").isNull(), "unknown", "database_unavailable", None)]
+    held, waited = c("lock"), age(c("started"), now)
+    seen, no_mark = age(c("lock_at"), now), c("progress_at").isNull()
+    open_run = c("run_state").isin("incomplete", "backlogged", "parked", "unknown")
+    tables = {
+        "database": [
+            (~c("available"), "unknown", "database_unavailable", age(c("probed"), now)),
+            (c("probed").isNull(), "unknown", "probe_not_observed", None),
+            (F.lit(True), "ok", "database_available", age(c("probed"), now)),
+        ],
+        "process": [*off, *blind, *watched("process", c("heartbeat"), c("heartbeat_limit"), now)],
+        "lock": [
+            *off,
+            *blind,
+            (held == "waiting", "failed", "waiting_for_advisory_lock", seen),
+            (held == "lost", "failed", "lock_lost", seen),
+            (~held.eqNullSafe("held"), "unknown", "lock_not_reported", seen),
+            *watched("lock", c("lock_at"), c("lock_limit"), now),
+        ],
+        # Without a milestone the run's own start is what must not be too long ago.
+        "progress": [
+            *off,
+            (~c("running"), "ok", "no_active_run", None),
+            (no_mark & c("progress_limit").isNull(), "unknown", "progress_policy_unknown", None),
+            (no_mark & (waited > c("progress_limit")), "stale", "first_progress_overdue", waited),
+            *watched("progress", c("progress_at"), c("progress_limit"), now),
+        ],
+        "freshness": [
+            *off,
+            (open_run, F.when(c("run_state") == "unknown", "unknown").otherwise("stale"), F.concat(F.lit("current_run_"), c("run_state")), age(c("success_at"), now)),
+            *watched("freshness", c("success_at"), c("success_limit"), now),
+        ],
+    }
+    return rows.select("*", *(first_rule(rules).alias(f"_{name}") for name, rules in tables.items()))
+
+
+def conclusion() -> Column:
+    """``struct<state, reason, age>`` from the columns of :func:`observed`: the first row of ``CONCLUSIONS`` that speaks.
+
+    An unknown policy is told by its own name.
+    """
+    rules: list[Rule] = [(F.col("source") != "active", F.col("source"), F.concat(F.lit("source_"), F.col("source")), None)]
+    for name, state, verdict, reason in CONCLUSIONS:
+        own = F.col(f"_{name}")
+        policy = own["reason"].endswith("_policy_unknown")
+        said = own["reason"] if reason is None else F.when(policy, own["reason"]).otherwise(reason)
+        rules.append((own["state"] == state, verdict, said, own["age"]))
+    return first_rule([*rules, (F.lit(True), "green", "healthy", None)])

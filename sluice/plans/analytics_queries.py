@@ -108,17 +108,10 @@ def durations_nearest_rank(t):
     return runs.nearest_rank(t.events, "event_type", "value", [0.5, 0.95])
 
 
-@query("""
-WITH c AS (SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n FROM events WHERE event_id % 400 = 0 GROUP BY 1)
-SELECT week, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(week) FROM c), (SELECT max(week) FROM c), INTERVAL 7 DAY))::DATE AS week) LEFT JOIN c USING (week)""")
-def weekly_volume_zero_filled(t):
-    return runs.weekly(t.events.where("event_id % 400 = 0"), "ts")
-
-
 @query("""
 WITH c AS (SELECT date_trunc('week', ts)::DATE AS week, count(*) AS n FROM events GROUP BY 1)
 SELECT week, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(week) FROM c), (SELECT max(week) FROM c), INTERVAL 7 DAY))::DATE AS week) LEFT JOIN c USING (week)""")
-def weekly_volume_all(t):
+def weekly_volume_zero_filled(t):
     return runs.weekly(t.events, "ts")
 
 
@@ -210,7 +203,7 @@ def supersede_chain(t):
     return relations.follow(t.documents.select(d.alias("id"), F.when(d % 4 != 0, d - 1 - d % 3).alias("next")))
 
 
-@query("SELECT pos::INTEGER AS pos, doc_id, lang FROM (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 99), (3, 7)) v(pos, doc_id)) JOIN documents USING (doc_id)")
+@query("SELECT pos::INTEGER AS pos, doc_id, lang FROM (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 99)) v(pos, doc_id)) JOIN documents USING (doc_id)")
 def batch_lookup_ordered(t):
     return relations.lookup(t.documents.select("doc_id", "lang"), "doc_id", [7, 3, 99, 7, -1])
 
@@ -336,14 +329,17 @@ def url_dedup_plan(t):
 # Health
 
 DAILY_SQL = """
-d AS (SELECT user_id AS source, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2),
-b AS (SELECT *, round(avg(n) OVER (PARTITION BY source ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 6) AS baseline FROM d)
+d AS (SELECT user_id AS source, ts::DATE AS day, count(*) AS found, count(*) FILTER (value > 30) AS activity FROM events GROUP BY 1, 2),
+every AS (SELECT source, unnest(generate_series(min(day)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY source),
+z AS (SELECT source, day, coalesce(found, 0) AS found, coalesce(activity, 0) AS activity FROM every LEFT JOIN d USING (source, day)),
+b AS (SELECT *, round(avg(found) OVER w, 6) AS found_before, round(avg(activity) OVER w, 6) AS activity_before FROM z WINDOW w AS (PARTITION BY source ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
 """
 
 
-@query(f"WITH {DAILY_SQL} SELECT source, day, n, baseline FROM b WHERE baseline > 0 AND n <= baseline * 0.5")
+@query(f"WITH {DAILY_SQL} SELECT source, day, found, found_before, activity_before FROM b WHERE activity = 0 AND found_before > 0 AND activity_before > 0 AND found <= found_before * 0.5")
 def silence_alerts(t):
-    return health.silent(health.daily(t.events, "user_id", "ts"))
+    days = t.events.groupBy(F.col("user_id").alias("source"), F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("found"), F.count_if(F.col("value") > 30).alias("activity"))
+    return health.silent(days)
 
 
 FOUND_SQL = "f AS (SELECT user_id AS source, event_id AS seen_at, CASE WHEN event_id % 4 = 0 THEN 0 ELSE (value / 20)::BIGINT END * (CASE WHEN user_id % 5 = 0 AND event_id > 9000 THEN 0 ELSE 1 END) AS found FROM events)"
@@ -355,12 +351,17 @@ def found(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("source"), F.col("event_id").alias("at"), (n * quiet).alias("found"))
 
 
-@query(f"""
-WITH {FOUND_SQL}, s AS (SELECT *, sum((found > 0)::INTEGER) OVER (PARTITION BY source ORDER BY seen_at DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS later FROM f),
-p AS (SELECT source, max(found) AS peak, count(*) FILTER (later = 0) AS zeros FROM s GROUP BY source)
-SELECT source, peak, zeros, CASE WHEN peak < 5 THEN 'no-history' WHEN zeros >= 3 THEN 'breached' ELSE 'ok' END AS verdict FROM p""")
+@query("""
+WITH r AS (SELECT user_id AS source, ts AS seen, max(CASE WHEN ts > TIMESTAMP '2024-01-01' + to_days((user_id % 29 + 1)::INTEGER) THEN 0 ELSE (value / 20)::BIGINT END) AS found FROM events GROUP BY 1, 2),
+l AS (SELECT source, max(seen) AS last, arg_max(found, seen) AS now FROM r GROUP BY 1),
+w AS (SELECT r.*, last, now FROM r JOIN l USING (source) WHERE seen < last AND seen >= last - INTERVAL 7 DAY),
+n AS (SELECT source, max(seen) AS filled FROM w WHERE found > 0 GROUP BY 1),
+p AS (SELECT l.source, any_value(l.now) AS now, coalesce(max(w.found), 0) AS peak, count(w.seen) FILTER (n.filled IS NULL OR w.seen > n.filled) + 1 AS zeros FROM l LEFT JOIN w USING (source) LEFT JOIN n USING (source) GROUP BY 1)
+SELECT source, peak, CASE WHEN now > 0 THEN 0 ELSE zeros END AS zeros, CASE WHEN now > 0 THEN 'ok' WHEN peak <= 0 THEN 'no-history' WHEN peak >= 5 AND zeros >= 3 THEN 'breached' ELSE 'ok' END AS verdict FROM p""")
 def discovery_floor(t):
-    return health.discovery_floor(found(t))
+    ends = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("user_id") % 29 + 1).cast("int")).cast("timestamp_ntz")
+    n = F.when(F.col("ts") > ends, 0).otherwise(F.round(F.col("value") / 20).cast("long"))
+    return health.discovery_floor(t.events.groupBy(F.col("user_id").alias("source"), F.col("ts").alias("at")).agg(F.max(n).alias("found")))
 
 
 @query(f"""

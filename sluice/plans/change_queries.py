@@ -29,7 +29,8 @@ def outbox_coalesce(t):
 @query(f"""
 WITH {LOG_SQL},
 state AS (SELECT c_custkey AS aggregate, CASE WHEN c_custkey % 6 = 0 THEN 1000000 ELSE 5 END AS applied, 'h' || c_custkey % 4 AS old_hash, CASE WHEN c_custkey % 2 = 0 THEN 'active' ELSE 'archive' END AS old_partition FROM customer WHERE c_custkey % 5 <> 0),
-docs AS (SELECT c_custkey AS aggregate, 'h' || c_custkey % 3 AS hash, CASE WHEN c_custkey % 4 < 2 THEN 'active' ELSE 'archive' END AS partition FROM customer WHERE c_custkey % 7 <> 0),
+docs0 AS (SELECT c_custkey AS aggregate, 'h' || c_custkey % 3 AS hash, CASE WHEN c_custkey % 4 < 2 THEN 'active' ELSE 'archive' END AS stored FROM customer WHERE c_custkey % 7 <> 0),
+docs AS (SELECT aggregate, hash, CASE WHEN status = 'closed' THEN 'archive' ELSE stored END AS partition FROM docs0 LEFT JOIN c USING (aggregate)),
 p AS (SELECT aggregate, sequence, hash, partition, old_partition, CASE WHEN coalesce(applied >= sequence, false) THEN 'superseded' WHEN kind = 'delete' THEN 'delete' WHEN hash IS NULL THEN 'missing'
   WHEN coalesce(hash = old_hash AND partition = old_partition, false) THEN 'unchanged' ELSE 'upsert' END AS action FROM c LEFT JOIN state USING (aggregate) LEFT JOIN docs USING (aggregate))
 SELECT aggregate, sequence, action, hash, partition, CASE WHEN action = 'upsert' AND old_partition <> partition THEN old_partition END AS previous FROM p""")
@@ -59,25 +60,22 @@ def fetch_known_hash_skip(t):
 
 
 @query("""
-WITH p AS (SELECT page_id, url, CASE WHEN page_id % 4 > 0 THEN DATE '2024-05-01' + (page_id % 40)::INTEGER END AS modified, CASE WHEN page_id % 5 > 0 THEN DATE '2024-05-20' END AS fetched FROM pages)
-SELECT page_id FROM p WHERE coalesce(modified + 2 >= fetched, true) OR ('0x' || substr(sha256(url), 1, 8))::BIGINT % 7 = date_diff('day', DATE '1970-01-01', DATE '2024-06-03') % 7""")
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 4 > 0 THEN DATE '2024-05-01' + (page_id % 40)::INTEGER END AS modified, CASE WHEN page_id % 5 > 0 THEN DATE '2024-05-01' + (page_id % 40 - CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END)::INTEGER END AS seen FROM pages)
+SELECT page_id FROM p WHERE modified IS NULL OR seen IS NULL OR modified <> seen OR date_diff('day', modified, DATE '2024-06-03') < 2 OR ('0x' || substr(sha256(url), 1, 8))::BIGINT % 7 = date_diff('day', DATE '1970-01-01', DATE '2024-06-03') % 7""")
 def fetch_lastmod_due(t):
     i = F.col("page_id")
     modified = F.when(i % 4 > 0, F.date_add(F.lit("2024-05-01").cast("date"), (i % 40).cast("int")))
-    fetched = F.when(i % 5 > 0, F.lit("2024-05-20").cast("date"))
-    return t.pages.where(fetching.due(F.col("url"), modified, fetched, F.lit("2024-06-03").cast("date"))).select("page_id")
+    seen = F.when(i % 5 > 0, F.date_add(F.lit("2024-05-01").cast("date"), (i % 40 - F.when(i % 3 == 0, 1).otherwise(0)).cast("int")))
+    return t.pages.where(fetching.due(F.col("url"), modified, seen, F.lit("2024-06-03").cast("date"))).select("page_id")
 
 
-@query("SELECT page_id, (row_number() OVER (ORDER BY CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 11 END NULLS FIRST, page_id))::INTEGER AS pos FROM pages LIMIT 20")
-def fetch_resume_order(t):
-    listed = t.pages.select("page_id", F.col("page_id").alias("listed"))
-    history = t.pages.where("page_id % 3 <> 0").select("page_id", (F.col("page_id") % 11).alias("fetched"))
-    top = fetching.resume_order(listed, history, "page_id").limit(20)
-    return ranking.rank_by(top, [], [F.asc_nulls_first("fetched"), F.asc("listed")]).select("page_id", F.col("rank").alias("pos"))
+@query("SELECT page_id FROM pages WHERE ('0x' || substr(sha256(url || '@2024-06-03'), 1, 8))::BIGINT % 100 < 2")
+def fetch_honesty_probe(t):
+    return t.pages.where(fetching.probed(F.col("url"), F.lit("2024-06-03").cast("date"))).select("page_id")
 
 
 @query("SELECT page_id, row_number() OVER (ORDER BY CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 11 END NULLS FIRST, page_id) AS pos FROM pages")
-def fetch_resume_positions(t):
+def fetch_resume_order(t):
     listed = t.pages.select("page_id", F.col("page_id").alias("listed"))
     history = t.pages.where("page_id % 3 <> 0").select("page_id", (F.col("page_id") % 11).alias("fetched"))
     return fetching.positions(listed.join(history, "page_id", "left"), [F.asc_nulls_first("fetched"), F.asc("listed")]).select("page_id", "pos")
@@ -138,16 +136,6 @@ def knn_cosine_topk(t):
     return ranking.nearest(t.embeddings, QUERY_VECTOR, 15, "vec_id", "embedding")
 
 
-@query(f"""
-WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM ({COSINE_SQL})),
-b AS (SELECT vec_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM embeddings WHERE vec_id % 9 = 0 AND vec_id < 200)
-SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id""")
-def rrf_fusion(t):
-    one = ranking.rank_by(ranking.nearest(t.embeddings, QUERY_VECTOR, 15, "vec_id", "embedding"), [], [F.desc("similarity"), F.asc("vec_id")])
-    two = ranking.rank_by(t.embeddings.where("vec_id % 9 = 0 AND vec_id < 200"), [], [F.asc("label"), F.asc("vec_id")])
-    return ranking.fuse([one, two], "vec_id")
-
-
 OTHER_VECTOR = [((i * 23) % 13 - 6) / 6 for i in range(64)]
 
 
@@ -155,7 +143,7 @@ OTHER_VECTOR = [((i * 23) % 13 - 6) / 6 for i in range(64)]
 WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM ({COSINE_SQL})),
 b AS (SELECT vec_id, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM ({COSINE_SQL.replace(str(QUERY_VECTOR), str(OTHER_VECTOR))}))
 SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY vec_id""")
-def rrf_fusion_nearest(t):
+def rrf_fusion(t):
     near = lambda q: ranking.rank_by(ranking.nearest(t.embeddings, q, 15, "vec_id", "embedding"), [], [F.desc("similarity"), F.asc("vec_id")])
     return ranking.fuse([near(QUERY_VECTOR), near(OTHER_VECTOR)], "vec_id")
 

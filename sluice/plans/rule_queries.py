@@ -47,17 +47,10 @@ SELECT k, CASE WHEN source <> 'active' THEN source WHEN NOT available THEN 'unkn
     WHEN current = 'parked' THEN 'freshness_stale' WHEN current = 'unknown' OR success IS NULL THEN 'freshness_unknown' WHEN success > 50 THEN 'freshness_stale' ELSE 'healthy' END AS reason
 FROM s""")
 def source_signals(t):
-    c, now = F.col, F.lit(NOW).cast("timestamp")
-    rows = sources(t).withColumn("db", signals.database(c("available"), now, now))
-    rows = rows.select(
-        "k", "source", "db",
-        signals.process(c("source"), c("db"), c("beat"), c("beat_limit"), now).alias("process"),
-        signals.lock(c("source"), c("db"), c("lock"), now, F.lit(60), now).alias("lock"),
-        signals.progress(c("source"), c("active"), c("started"), c("mark"), F.lit(60), now).alias("progress"),
-        signals.freshness(c("source"), c("current"), c("success"), F.lit(50), now).alias("freshness"),
-    )
-    found = signals.conclusion(c("source"), c("db"), c("process"), c("lock"), c("progress"), c("freshness"))
-    return rows.select("k", found.alias("f")).select("k", "f.state", "f.reason")
+    now, minute = F.lit(NOW).cast("timestamp"), F.lit(60)
+    rows = sources(t).withColumns({"probed": F.lit(NOW).cast("timestamp"), "lock_limit": minute, "mark_limit": minute, "success_limit": F.lit(50)})
+    found = signals.observed(rows, now, heartbeat="beat", heartbeat_limit="beat_limit", lock_at="probed", running="active", progress_at="mark", progress_limit="mark_limit", run_state="current", success_at="success")
+    return found.select("k", signals.conclusion().alias("f")).select("k", "f.state", "f.reason")
 
 
 #: Parts as references, order lines as claims on orders; four fields, one of which nobody speaks about.

@@ -1,6 +1,6 @@
 """Incremental projection of a change log: coalescing, planning, applying, with Structured Streaming around it.
 
-An event has ``sequence, aggregate, kind`` (``upsert``, ``delete`` or another aggregate's), ``status``.  The
+An event has ``sequence, aggregate, kind`` (``upsert``, ``close``, ``delete`` or another aggregate's), ``status``.  The
 projection is kept as batches of mutations under one folder; the row of the highest sequence is the current
 one.  A batch writes only what it touched, under its own number, so that a batch that runs twice overwrites
 itself, and readers see whole batches.
@@ -17,23 +17,25 @@ STATE = "aggregate long, sequence long, hash string, partition string, deleted b
 
 def coalesce(events: DataFrame) -> DataFrame:
     """``aggregate, sequence, kind, status, n``: the last event of each aggregate in a batch; other kinds are left out."""
-    own = events.where(F.col("kind").isin("upsert", "delete"))
+    own = events.where(F.col("kind").isin("upsert", "close", "delete"))
     return own.groupBy("aggregate").agg(F.max("sequence").alias("sequence"), F.max_by("kind", "sequence").alias("kind"), F.max_by("status", "sequence").alias("status"), F.count("*").alias("n"))
 
 
-def effective_status(event: Column, stored: Column) -> Column:
-    """The status that an event carries counts before the stored one."""
-    return F.coalesce(event, stored)
+def effective_partition(kind: Column, status: Column, stored: Column) -> Column:
+    """The partition of a document under an event: a status that it carries counts before the stored one, and closing implies closed."""
+    said = F.coalesce(status, F.when(kind == "close", "closed"))
+    return F.when(said.isin("closed", "stale") & stored.isNotNull(), "archive").otherwise(stored)
 
 
 def plan(coalesced: DataFrame, state: DataFrame, documents: DataFrame) -> DataFrame:
     """What to do for each aggregate, checked in this order: ``superseded``, ``delete``, ``missing``, ``unchanged``, ``upsert``.
 
     ``state`` is the current projection (``aggregate, sequence, hash, partition``), ``documents`` what can be loaded
-    (``aggregate, hash, partition``).  ``previous`` is the partition that an upsert leaves behind.
+    (``aggregate, hash, partition``); an event's status moves its document (see :func:`effective_partition`).  ``previous`` is the partition that an upsert leaves behind.
     """
     old = state.select("aggregate", F.col("sequence").alias("applied"), F.col("hash").alias("old_hash"), F.col("partition").alias("old_partition"))
     joined = coalesced.join(old, "aggregate", "left").join(documents.select("aggregate", "hash", "partition"), "aggregate", "left")
+    joined = joined.withColumn("partition", effective_partition(F.col("kind"), F.col("status"), F.col("partition")))
     action = (
         F.when(F.coalesce(F.col("applied") >= F.col("sequence"), F.lit(False)), "superseded")
         .when(F.col("kind") == "delete", "delete")
