@@ -15,23 +15,28 @@ def finished(status: Column) -> Column:
     return status != "running"
 
 
-def run_stats(sources: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each source and one, ``is_total`` 1, for all of them, in one pass of grouping sets.
+def run_stats(sources: DataFrame, runs: DataFrame, items: DataFrame, exact: bool = True) -> DataFrame:
+    """One row for each source and one, ``is_total`` 1, for all of them, in one pass of grouping sets over the runs.
 
-    ``items`` (``source, outcome``) are counted by source before they are joined, so that runs don't multiply
-    them; sources without runs stay.  The 95th percentile of seconds is exact and interpolated.
+    ``items`` (``source, outcome``) are counted by source, and the counts added up for the total, before they are joined, so
+    that runs don't multiply them; sources without runs stay.  The 95th percentile of seconds is exact and interpolated,
+    which keeps every value of a group, or with ``exact`` off a sketch of bounded size.
     """
-    per_source = items.groupBy("source").agg(F.count("*").alias("items"), F.count_if(F.col("outcome") == "new").alias("new_items"))
-    joined = sources.join(runs, "source", "left").join(per_source, "source", "left")
-    first = F.row_number().over(Window.partitionBy("source").orderBy("run_id")) == 1  # an item count belongs to one row
-    joined = joined.withColumns({"items": F.when(first, F.col("items")), "new_items": F.when(first, F.col("new_items"))})
-    joined.createOrReplaceTempView("_run_rows")
-    return joined.sparkSession.sql("""
+    per = items.groupBy("source").agg(F.count("*").alias("items"), F.count_if(F.col("outcome") == "new").alias("new_items"))
+    per = sources.join(per, "source", "left").select(F.lit(0).alias("total"), F.col("source").alias("of"), "items", "new_items")
+    both = per.unionByName(per.agg(F.sum("items").alias("items"), F.sum("new_items").alias("new_items")).select(F.lit(1).alias("total"), F.lit(None).cast("string").alias("of"), "items", "new_items"))
+    percentile = "percentile(seconds, 0.95)" if exact else "percentile_approx(seconds, 0.95, 10000)"
+    counted = sources.sparkSession.sql(
+        f"""
         SELECT source, grouping(source) AS is_total, count(run_id) AS runs,
                count_if(status = 'succeeded') AS succeeded, count_if(status = 'failed') AS failed, count_if(status = 'running') AS running,
-               coalesce(sum(found), 0) AS found, coalesce(sum(items), 0) AS items, coalesce(sum(new_items), 0) AS new_items,
-               round(percentile(seconds, 0.95) FILTER (WHERE status <> 'running'), 6) AS p95_seconds
-        FROM _run_rows GROUP BY GROUPING SETS ((source), ())""")
+               coalesce(sum(found), 0) AS found, round({percentile} FILTER (WHERE status <> 'running'), 6) AS p95_seconds
+        FROM {{rows}} GROUP BY GROUPING SETS ((source), ())""",
+        rows=sources.join(runs, "source", "left"),
+    )
+    joined = counted.join(both, (F.col("is_total") == F.col("total")) & F.col("source").eqNullSafe(F.col("of")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return joined.select("source", "is_total", "runs", "succeeded", "failed", "running", "found", zero("items"), zero("new_items"), "p95_seconds")
 
 
 def success_rate(stats: DataFrame) -> DataFrame:
@@ -47,8 +52,7 @@ def latest(runs: DataFrame, value: str) -> DataFrame:
 
 def top_failures(runs: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` commonest failures of each source and of all (source null), with counts."""
-    runs.where("failure IS NOT NULL").createOrReplaceTempView("_failures")
-    counts = runs.sparkSession.sql("SELECT source, failure, grouping(source) AS is_total, count(*) AS n FROM _failures GROUP BY GROUPING SETS ((source, failure), (failure))")
+    counts = runs.sparkSession.sql("SELECT source, failure, grouping(source) AS is_total, count(*) AS n FROM {rows} GROUP BY GROUPING SETS ((source, failure), (failure))", rows=runs.where("failure IS NOT NULL"))
     rank = F.row_number().over(Window.partitionBy("is_total", "source").orderBy(F.desc("n"), "failure"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -8,6 +8,7 @@ reads only its columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -32,6 +33,11 @@ def term(words: str, scope: Column) -> Column:
     return scope.contains(words.lower())
 
 
+def matches(scope: Column, condition: Callable[[Column], Column]) -> Column:
+    """A condition of several terms over one scope, whose text is put together and lower-cased once for a row."""
+    return F.exists(F.array(scope), condition)
+
+
 def relevance(terms: list[str], title: Column, skills: Column, rest: Column) -> Column:
     """3 for each term in the title, 2 in the skills, 1 elsewhere."""
     points = [F.when(F.lower(c).contains(t.lower()), w).otherwise(0) for t in terms for c, w in ((title, 3), (skills, 2), (rest, 1))]

@@ -147,10 +147,14 @@ m AS (SELECT l_partkey AS "group", s_name AS source, l_orderkey AS item FROM lin
 """
 
 
+def of_supplier(rows: DataFrame, t: Tables) -> DataFrame:
+    named = rows.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return named.select(F.col("l_partkey").alias("group"), F.col("s_name").alias("source"), F.col("l_orderkey").alias("item"))
+
+
 def members(t: Tables) -> DataFrame:
-    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    of = lambda d: d.select(F.col("l_partkey").alias("group"), F.col("s_name").alias("source"), F.col("l_orderkey").alias("item"))
-    return relations.memberships(of(rows.where("l_quantity > 30")), of(rows.where("l_returnflag = 'R'")))
+    """Both ways of belonging in one scan of the lines."""
+    return of_supplier(t.lineitem.where("l_quantity > 30 OR l_returnflag = 'R'"), t).distinct()
 
 
 @query(f'WITH {MEMBERS_SQL} SELECT count(*) AS n FROM (SELECT "group" FROM m GROUP BY 1 HAVING count(DISTINCT source) >= 2)')

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import values
 from sluice.operators import dedup, health, merging, relations, search, sweeping
-from sluice.plans.analytics_queries import members
+from sluice.plans.analytics_queries import of_supplier
 from sluice.plans.registry import Tables, query
 from sluice.plans.search_queries import DOCS_SQL, NOW, docs
 from sluice.shared import shared_dir
@@ -412,4 +412,5 @@ def anti_no_live_claim(t):
 @query("""SELECT "group", source, count(*) AS items FROM (
   SELECT DISTINCT l_partkey AS "group", s_name AS source, l_orderkey AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 30 OR l_returnflag = 'R') GROUP BY 1, 2""")
 def overlap_members(t):
-    return members(t).groupBy("group", "source").agg(F.count("*").alias("items"))
+    direct, linked = (of_supplier(t.lineitem.where(test), t) for test in ("l_quantity > 30", "l_returnflag = 'R'"))
+    return relations.memberships(direct, linked).groupBy("group", "source").agg(F.count("*").alias("items"))

@@ -58,7 +58,8 @@ QUERY_SQL = f"({LIKE.format('the')} OR {LIKE.format('and the')}) AND NOT {LIKE.f
 
 
 def matched(t: Tables) -> DataFrame:
-    return docs(t).where((has("the") | has("and the")) & ~has("und "))
+    scope = search.haystack("title", "text")
+    return docs(t).where(search.matches(scope, lambda h: (search.term("the", h) | search.term("and the", h)) & ~search.term("und ", h)))
 
 
 @query(over(f"SELECT id, lang, status FROM d WHERE {QUERY_SQL}"))
@@ -68,7 +69,7 @@ def search_boolean_and_or_not(t):
 
 @query(over(f"SELECT id FROM d WHERE {LIKE.format('of the')} AND {LIKE.format('with')}"))
 def search_phrase(t):
-    return docs(t).where(has("of the") & has("with")).select("id")
+    return docs(t).where(search.matches(search.haystack("title", "text"), lambda h: search.term("of the", h) & search.term("with", h))).select("id")
 
 
 @query(over("SELECT id, title FROM d WHERE contains(lower(title), 'the') AND NOT contains(lower(title), 'and')"))

@@ -1,9 +1,10 @@
 """Incremental projection of a change log: coalescing, planning, applying, with Structured Streaming around it.
 
 An event has ``sequence, aggregate, kind`` (``upsert``, ``close``, ``delete`` or another aggregate's), ``status``.  The
-projection is kept as batches of mutations under one folder; the row of the highest sequence is the current
-one.  A batch writes only what it touched, under its own number, so that a batch that runs twice overwrites
-itself, and readers see whole batches.
+projection is kept as batches of mutations under one folder, dealt to ``BUCKETS`` by aggregate; the row of the highest
+sequence is the current one.  A batch writes only what it touched, under its own number, so that a batch that runs
+twice overwrites itself, and readers see whole batches; it reads only the buckets that its events fall in.  What older
+batches have left behind goes when a generation is compacted into the next one.
 """
 
 from __future__ import annotations
@@ -12,7 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-STATE = "aggregate long, sequence long, hash string, partition string, deleted boolean, batch long"
+STATE = "aggregate long, sequence long, hash string, partition string, deleted boolean, batch long, bucket int"
+BUCKETS = 64
+
+
+def bucket(aggregate: Column) -> Column:
+    return F.pmod(F.xxhash64(aggregate), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def mutations(spark: SparkSession, path: str) -> DataFrame:
+    """All mutations of a generation; batch and bucket are folders, so conditions on them prune files."""
+    return spark.read.schema(STATE).parquet(path)
+
+
+def put(rows: DataFrame, path: str, batch: int) -> None:
+    """Write a batch of mutations (``aggregate, sequence, hash, partition, deleted``) in place of what it wrote before."""
+    rows.select("aggregate", "sequence", "hash", "partition", "deleted", bucket(F.col("aggregate"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
 
 
 def coalesce(events: DataFrame) -> DataFrame:
@@ -69,37 +85,66 @@ def rebuild_event_id(generation: str, aggregate: Column) -> Column:
     return F.concat_ws("-", *parts)
 
 
-def rebuild(documents: DataFrame, path: str, generation: str) -> str:
+def rebuild(documents: DataFrame, path: str, generation: str, high_water: int = 0) -> str:
     """A new generation of the projection in a folder of its own, ready for :func:`current`; returns that folder.
 
-    Readers turn to it when it is whole.  A rebuild that runs again overwrites itself; rows of the old generation stay.
+    Readers turn to it when it is whole (:func:`point_to`).  Events up to ``high_water`` are in the documents already and
+    are superseded; later ones are replayed on top.  A rebuild that runs again overwrites itself; rows of the old
+    generation stay.
     """
-    rows = documents.select("aggregate", F.lit(0).cast("long").alias("sequence"), "hash", "partition", F.lit(False).alias("deleted"), F.lit(-1).cast("long").alias("batch"))
-    rows.write.mode("overwrite").parquet(f"{path}/generation={generation}/batch--1")
-    return f"{path}/generation={generation}"
+    folder = f"{path}/generation={generation}"
+    put(documents.select("aggregate", F.lit(high_water).cast("long").alias("sequence"), "hash", "partition", F.lit(False).alias("deleted")), folder, -1)
+    return folder
+
+
+def compact(spark: SparkSession, folder: str, path: str, generation: str) -> str:
+    """The last mutation of each aggregate, deletions as well, as a new generation: what it costs to read no longer grows with history."""
+    into = f"{path}/generation={generation}"
+    put(_last(mutations(spark, folder)), into, -1)
+    return into
+
+
+def point_to(spark: SparkSession, path: str, generation: str) -> None:
+    """Make a whole generation the one that readers use; it never goes back to an earlier pointer's file."""
+    turns = spark.createDataFrame([(generation,)], "generation string").withColumn("at", F.current_timestamp())
+    turns.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+
+
+def pointed(spark: SparkSession, path: str) -> str:
+    """The folder of the generation that was pointed to last."""
+    row = spark.read.schema("generation string, at timestamp").parquet(f"{path}/pointer").agg(F.max_by("generation", "at").alias("g")).first()
+    return f"{path}/generation={row['g']}"
+
+
+def watermark(spark: SparkSession, folder: str) -> int:
+    """The highest sequence that has been applied; it never regresses, as mutations are only added."""
+    return mutations(spark, folder).agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("aggregate").agg(F.max_by(F.struct("sequence", "hash", "partition", "deleted"), F.struct("sequence", "batch")).alias("r"))
+    return last.select("aggregate", "r.*")
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The projection: the mutation of the highest sequence of each aggregate, without deleted ones.
+    """The projection: the mutation of the highest sequence of each aggregate.
 
     Mutations are read with the schema given, so an empty folder is an empty projection.
     """
-    rows = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(path)
-    last = rows.groupBy("aggregate").agg(F.max_by(F.struct("sequence", "hash", "partition", "deleted"), F.struct("sequence", "batch")).alias("r"))
-    return last.select("aggregate", "r.*")
+    return _last(mutations(spark, path))
 
 
 def apply_batch(events: DataFrame, batch: int, documents: DataFrame, path: str) -> None:
-    """Plan a batch against what earlier batches have written and write its mutations."""
+    """Plan a batch against what earlier batches have written to its buckets, and write its mutations."""
     spark = events.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
-    rows = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(path).where(F.col("batch") != batch)
-    state = rows.groupBy("aggregate").agg(F.max_by(F.struct("sequence", "hash", "partition"), F.struct("sequence", "batch")).alias("r")).select("aggregate", "r.*")
-    todo = plan(coalesce(events), state, documents).where(F.col("action").isin("delete", "upsert"))
+    due = coalesce(events)
+    touched = [r["bucket"] for r in due.select(bucket(F.col("aggregate"))).distinct().collect()]  # BUCKETS numbers at most
+    state = _last(mutations(spark, path).where(F.col("bucket").isin(touched) & (F.col("batch") != batch)))
+    todo = plan(due, state, documents).where(F.col("action").isin("delete", "upsert"))
     gone = F.col("action") == "delete"
-    out = todo.select("aggregate", "sequence", F.when(~gone, F.col("hash")).alias("hash"), F.when(~gone, F.col("partition")).alias("partition"), gone.alias("deleted"), F.lit(batch).cast("long").alias("batch"))
-    out.write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+    put(todo.select("aggregate", "sequence", F.when(~gone, F.col("hash")).alias("hash"), F.when(~gone, F.col("partition")).alias("partition"), gone.alias("deleted")), path, batch)
 
 
 def project(events: DataFrame, documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

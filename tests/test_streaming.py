@@ -84,3 +84,24 @@ def test_a_rebuild_equals_its_documents_and_goes_on(spark, tmp_path):
     assert state(spark, folder) == sorted(map(tuple, docs.collect()))
     outbox.apply_batch(spark.createDataFrame([(7, 3, "delete", None)], EVENTS), 0, docs, folder)
     assert [r[0] for r in state(spark, folder)] == [0, 1, 2, 4, 5]
+
+
+def test_compaction_pointer_and_high_water(spark, tmp_path):
+    path, docs = str(tmp_path), documents(spark, 8)
+    folder = outbox.rebuild(docs, path, "1", high_water=10)
+    outbox.point_to(spark, path, "1")
+    outbox.apply_batch(spark.createDataFrame([(9, 3, "delete", None), (12, 4, "delete", None), (13, 5, "close", None)], EVENTS), 0, docs, folder)
+    assert outbox.watermark(spark, folder) == 13
+    live = state(spark, folder)
+    assert [r[0] for r in live] == [0, 1, 2, 3, 5, 6, 7] and (5, "h5", "archive") in live
+    into = outbox.compact(spark, outbox.pointed(spark, path), path, "2")
+    outbox.point_to(spark, path, "2")
+    assert outbox.pointed(spark, path) == into and state(spark, into) == live and outbox.mutations(spark, into).count() == 8
+    outbox.apply_batch(spark.createDataFrame([(11, 4, "upsert", None), (14, 4, "upsert", None)], EVENTS), 1, docs, into)
+    assert [r[0] for r in state(spark, into)] == list(range(8))
+
+
+def test_a_batch_reads_the_buckets_of_its_events(spark, tmp_path):
+    path = outbox.rebuild(documents(spark, 200), str(tmp_path), "1")
+    plan = outbox.mutations(spark, path).where("bucket IN (3, 5)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
