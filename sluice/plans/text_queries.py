@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import html, values
-from sluice.plans.registry import query
+from sluice.operators import exporting, history
+from sluice.plans.registry import Tables, query
+from sluice.sources import listings
 
 STRIP = r"trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -32,7 +35,7 @@ def html_links(t):
 def sitemap_urls(t):
     mod = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<lastmod> 2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit(" </lastmod>"))).otherwise("")
     block = F.concat(F.lit("<url>\n<loc>"), "url", F.lit("</loc>"), mod, F.lit("</url>"))
-    maps = t.pages.groupBy((F.col("page_id") % 7).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(block), "\n"), F.lit("</urlset>")).alias("xml"))
+    maps = t.pages.groupBy(F.floor(F.col("page_id") / 1000).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(block), "\n"), F.lit("</urlset>")).alias("xml"))
     return html.sitemap(maps, "xml")
 
 
@@ -80,3 +83,139 @@ def field_coverage(t):
 def enrichment_overlay(t):
     stored = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
     return t.documents.select("doc_id", values.fill(stored, F.lit("filled"), F.col("doc_id") % 100 / 100, 0.85).alias("lang"))
+
+# Functions over varied wordings: each query deals several cases by the row's number
+
+
+def dealt(t: Tables, cases: list, kind: str = "string") -> DataFrame:
+    """``doc_id, x``: case number ``doc_id`` modulo their count."""
+    table = F.array(*(F.lit(c).cast(kind) if not isinstance(c, Column) else c.cast(kind) for c in cases))
+    return t.documents.select("doc_id", F.get(table, (F.col("doc_id") % len(cases)).cast("int")).alias("x"))
+
+
+def expected(column: str, wanted: list, kind: str = "VARCHAR") -> str:
+    """The same in SQL: what each case should give."""
+    cell = lambda w: "NULL" if w is None else str(w) if isinstance(w, (int, float)) else "'" + w.replace("'", "''") + "'"
+    return f"SELECT doc_id, CASE doc_id % {len(wanted)} " + " ".join(f"WHEN {i} THEN {cell(w)}" for i, w in enumerate(wanted)) + f" END::{kind} AS {column} FROM documents"
+
+
+@query("SELECT 'https://x.nl/sitemap-' || page_id || '.xml' AS loc FROM pages ORDER BY page_id DESC LIMIT 5")
+def sitemap_newest_chunks(t):
+    chunks = t.pages.select(F.concat(F.lit("https://x.nl/sitemap-"), F.col("page_id").cast("string"), F.lit(".xml")).alias("loc")).unionByName(t.pages.limit(1).select(F.lit("https://x.nl/news.xml").alias("loc")))
+    return html.newest_chunks(chunks, "loc", 5)
+
+
+@query("""
+WITH p AS (SELECT page_id AS pos, split_part(url, '?', 1) AS url FROM pages)
+SELECT min(pos) AS pos, url FROM p WHERE NOT regexp_matches(url, '/de/') AND NOT regexp_matches(url, '^http://m\\.') GROUP BY url""")
+def listing_excluded(t):
+    listed = t.pages.select(F.col("page_id").alias("pos"), F.split_part("url", F.lit("?"), F.lit(1)).alias("url"))
+    return listings.excluded(listed, "url", ["/de/", r"^http://m\."]).select("pos", "url")
+
+
+@query(expected("text", ["a & b", "é < ü", "A&nope;", "&#xZZ; '", "plain", None]))
+def html_entities(t):
+    rows = dealt(t, ["a &amp; b", "&eacute; &lt; &#252;", "&#x41;&nope;", "&#xZZ; &#39;", "plain", None])
+    return rows.select("doc_id", html.decode(F.col("x"), rows).alias("text"))
+
+
+@query(expected("form", ["interim", None, "freelance", "vast", None, None]))
+def contract_agreed(t):
+    rows = dealt(t, [F.array(F.lit("TEMPORARY"), F.lit("FULL_TIME")), F.array(F.lit("zzp"), F.lit("vast")), F.array(F.lit(" Contractor"), F.lit("freelance")), F.array(F.lit("Permanent")), F.array().cast("array<string>"), F.lit(None)], "array<string>")
+    return rows.select("doc_id", values.agreed_contract(F.col("x")).alias("form"))
+
+
+@query(expected("place", ["Noord-Holland", "Noord-Brabant", "Friesland", None, "Zuid-Holland", "Utrecht", None]))
+def place_province(t):
+    rows = dealt(t, ["Provincie: N-Holland", "NB", "Fryslân", "Nergens", "eerst Utrecht, later in Zuid-Holland.", "Regio UTRECHT (stad)", "Gelderlander, ZH"])
+    return rows.select("doc_id", F.coalesce(values.province(F.col("x")), values.last_province(F.col("x"))).alias("place"))
+
+
+@query(expected("found", ["2026-09-21", None, "2024-02-29", None, "2025-12-01", None]))
+def text_dutch_date(t):
+    rows = dealt(t, ["op 21 september 2026", "30 februari 2026", "uiterlijk 29 Februari 2024!", "1 foo 2026", "start 1 december 2025 of later", None])
+    return rows.select("doc_id", values.dutch_date(F.col("x")).cast("string").alias("found"))
+
+
+@query(expected("closing_ms", [1782943199999, 1767308399999, 1782900000000, 1782907200000, 1782900000000, None], "BIGINT"))
+def text_closing_moment(t):
+    rows = dealt(t, ["2026-07-01", " 2026-01-01", "2026-07-01T12:00:00", "2026-07-01T12:00:00Z", "2026-07-01T12:00:00+02:00", "soon"])
+    return rows.select("doc_id", F.unix_millis(values.closing_moment(F.col("x"))).alias("closing_ms"))
+
+
+@query(expected("value", ["32 uur", None, "Delft", "€ 80", None]))
+def html_labelled_value(t):
+    rows = dealt(t, ["<dl><dt>Uren</dt><dd>32 uur.</dd></dl>", "<p>Uren 32</p>", "<table><tr><th>Uren</th><td>Delft , </td></tr></table>", "x\nUren: € 80;\ny", "Uren:\n"])
+    lines = html.labelled(F.col("x"))
+    plain = F.array_join(F.transform(F.split(lines, "\n"), html.strip), "\n")
+    return rows.select("doc_id", html.value_of(plain, "Uren").alias("value"))
+
+
+@query(expected("body", ["Een baan met genoeg woorden erin", None, None, "Samen bouwen aan een beter spoor", None]))
+def html_usable(t):
+    rows = dealt(t, ["<nav>Menu</nav><p>Een baan met genoeg woorden erin</p>", "<p>te kort</p>", "We use cookies on this big site okay", "<header>X</header>Samen bouwen <b>aan</b> een beter spoor<script>var x</script>", "driewoordenenverderniets aan elkaar"])
+    return rows.select("doc_id", html.usable(F.col("x")).alias("body"))
+
+
+@query("""
+SELECT doc_id, 'Dev ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'uur' ELSE 'maand' END AS salary_unit, doc_id::DOUBLE AS salary_min, (doc_id + 5)::DOUBLE AS salary_max, ['TEMPORARY'] AS employment FROM documents WHERE doc_id % 4 <> 3""")
+def html_linked_data(t):
+    d, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    node = F.concat(
+        F.lit('{"@type": "JobPosting", "title": "Dev <i>'), text, F.lit('</i>", "employmentType": "TEMPORARY", "baseSalary": {"value": {"minValue": '), text, F.lit(', "maxValue": '),
+        (d + 5).cast("string"), F.lit(', "unitText": "'), F.when(d % 2 == 0, "HOUR").otherwise("month"), F.lit('"}}}'),
+    )
+    script = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    broken = script(F.lit("{broken"))
+    page = F.when(d % 4 == 0, script(node)).when(d % 4 == 1, F.concat(broken, script(F.concat(F.lit('[{"@type": "Org"}, '), node, F.lit("]"))))).when(d % 4 == 2, script(F.concat(F.lit('{"@graph": ['), node, F.lit("]}")))).otherwise(broken)
+    nodes = html.linked_data(t.documents.select("doc_id", page.alias("html")), "doc_id", "html")
+    return html.posting_facts(nodes).select("doc_id", "title", "salary_unit", "salary_min", "salary_max", "employment")
+
+
+@query(expected("names", ["Java,Go", "", None, "a,b"]))
+def skills_clean(t):
+    rows = dealt(t, [F.array(F.lit(" Java"), F.lit("java"), F.lit(""), F.lit("x" * 81), F.lit("Go"), F.lit(None)), F.array().cast("array<string>"), F.lit(None), F.array(F.lit("a"), F.lit("b"), F.lit("A "))], "array<string>")
+    return rows.select("doc_id", F.array_join(values.skills(F.col("x")), ",").alias("names"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'keep' WHEN turn % 3 = 1 THEN NULL ELSE role END AS value FROM conversations")
+def absent_keeps_cleared_empties(t):
+    k = F.col("turn") % 3
+    kept = history.keep_or_clear(F.lit("keep"), F.when(k == 2, F.col("role")), k == 1)
+    return t.conversations.select("conv_id", "turn", kept.alias("value"))
+
+
+@query("""
+WITH people AS (SELECT doc_id, unnest([{'name': 'A', 'email': NULL, 'phone': NULL, 'role': CASE WHEN doc_id % 2 = 0 THEN 'lead' END}, {'name': 'B', 'email': 'b@x', 'phone': NULL, 'role': NULL}, {'name': 'B', 'email': 'B@X', 'phone': NULL, 'role': 'twin'},
+  {'name': NULL, 'email': ' ', 'phone': CASE WHEN doc_id % 3 = 0 THEN '06' END, 'role': NULL}]) AS p, generate_subscripts([1, 2, 3, 4], 1) AS i FROM documents)
+SELECT doc_id, coalesce(string_agg(coalesce(p.name, '-'), ',' ORDER BY i) FILTER (i <> 3 AND (p.email = 'b@x' OR p.phone IS NOT NULL OR (p.name IS NOT NULL AND p.role IS NOT NULL))), '') AS names FROM people GROUP BY 1""")
+def contacts_kept(t):
+    d = F.col("doc_id")
+    person = lambda *cells: F.struct(*(F.lit(c).cast("string").alias(n) if not isinstance(c, Column) else c.alias(n) for n, c in zip(("name", "email", "phone", "role"), cells)))
+    people = F.array(person("A", None, None, F.when(d % 2 == 0, "lead")), person("B", "b@x", None, None), person("B", "B@X", None, "twin"), person(None, " ", F.when(d % 3 == 0, "06"), None))
+    return t.documents.select("doc_id", F.array_join(F.transform(values.contacts(people), lambda p: F.coalesce(p["name"], F.lit("-"))), ",").alias("names"))
+
+
+@query("""
+WITH top AS (SELECT doc_id AS id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100), l AS (SELECT list(id ORDER BY r) AS ids FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 100)
+SELECT ids, sha256('[' || array_to_string(ids, ',') || ']') AS digest FROM l""")
+def selection_snapshot(t):
+    return exporting.snapshot(t.documents.withColumnRenamed("doc_id", "id"), [F.desc("n_chars"), F.asc("id")])
+
+
+#: What a rate looks like, and its least, most and unit.
+RATES = [
+    ("max tarief van € 95 per uur", None, 95, "uur"), ("uurtarief 80-95", 80, 95, "uur"), ("tarief ingaand 01-02-2026", None, None, None), ("€ 1.234,56 per dag", None, 1234.56, "dag"),
+    ("tussen de 60 en 75 euro per uur", 60, 75, "uur"), ("tussen € 700 en € 850 all-in", 700, 850, "uur"), ("tot 36 uur per week", None, None, None), ("salaris € 3.900,- tot € 5.100,-", 3900, 5100, "maand"),
+    ("€ 90 - € 80", None, 90, "uur"), ("tarief voor 3 - 5 personen", None, None, None), ("een bonus van € 500 en 20 vrije dagen", None, 500, "uur"), ("vergoeding in overleg", None, None, None), ("€ 64.000 per jaar", None, 64000, None),
+]
+
+
+def _rates_sql() -> str:
+    one, two, three = (expected(c, [r[i] for r in RATES], k) for c, i, k in (("min", 1, "DOUBLE"), ("max", 2, "DOUBLE"), ("unit", 3, "VARCHAR")))
+    return f"SELECT * FROM ({one}) JOIN ({two}) USING (doc_id) JOIN ({three}) USING (doc_id)"
+
+
+@query(_rates_sql())
+def text_rate_forms(t):
+    return dealt(t, [r[0] for r in RATES]).select("doc_id", values.rate(F.col("x")).alias("r")).select("doc_id", "r.*")
