@@ -100,7 +100,7 @@ SALARY_UNITS = {"HOUR": "uur", "DAY": "dag", "MONTH": "maand"}
 
 
 def posting_facts(nodes: DataFrame) -> DataFrame:
-    """Title, dates, hours, contract tokens and salary of posting nodes."""
+    """Title, dates, hours, contract tokens, education and salary of posting nodes."""
     at = lambda path: F.get_json_object("node", path)
     unit = F.element_at(F.create_map(*(F.lit(x) for kv in SALARY_UNITS.items() for x in kv)), F.upper(at("$.baseSalary.value.unitText")))
     kinds = F.coalesce(F.from_json(at("$.employmentType"), "array<string>"), F.array(at("$.employmentType")))
@@ -111,6 +111,7 @@ def posting_facts(nodes: DataFrame) -> DataFrame:
         at("$.validThrough").alias("valid_through"),
         at("$.workHours").alias("work_hours"),
         F.array_compact(kinds).alias("employment"),
+        F.coalesce(at("$.educationRequirements.credentialCategory"), F.when(~at("$.educationRequirements").startswith("{"), at("$.educationRequirements"))).alias("education"),
         F.coalesce(at("$.baseSalary.value.minValue"), at("$.baseSalary.value.value")).try_cast("double").alias("salary_min"),
         F.coalesce(at("$.baseSalary.value.maxValue"), at("$.baseSalary.value.value")).try_cast("double").alias("salary_max"),
         unit.alias("salary_unit"),

@@ -163,6 +163,11 @@ def agreed_contract(tokens: Column) -> Column:
     return F.when(F.size(forms) == 1, F.get(forms, F.lit(0)))
 
 
+def resolved_contract(token: Column, tokens: Column, text: Column) -> Column:
+    """The contract form by what says it most directly: a source's own token, then a list that agrees, then the text."""
+    return F.coalesce(contract_form(token), agreed_contract(tokens), contract_in_text(text))
+
+
 def contract_in_text(text: Column) -> Column:
     """The contract form that a text offers: freelance that is ruled out opens the ladder to the other forms."""
     low = F.lower(text)

@@ -16,12 +16,25 @@ def validity(versions: DataFrame, key: str, order: str, at: str) -> DataFrame:
 
 
 def arrival(known: DataFrame, arrived: DataFrame, key: list[str]) -> DataFrame:
-    """``outcome`` of each arrival against the stored hash: ``new``, ``unchanged`` or ``changed``."""
+    """``outcome`` of each arrival against the stored hash: ``new``, ``unchanged`` or ``changed``; ``replayed``, if arrivals say so, wins."""
     stored = known.select(*key, F.col("hash").alias("_hash"), F.lit(True).alias("_known"))
     outcome = F.when(F.col("_known").isNull(), "new").when(F.col("hash").eqNullSafe(F.col("_hash")), "unchanged").otherwise("changed")
+    if "replayed" in arrived.columns:
+        outcome = F.when(F.coalesce("replayed", F.lit(False)), "replayed").otherwise(outcome)
     return arrived.join(stored, key, "left").withColumn("outcome", outcome).drop("_hash", "_known")
 
 
+#: Names of the events that curation writes (fixed values).
+EVENT_NAMES = {"new": "nieuw", "changed": "gewijzigd", "status_changed": "status_gewijzigd"}
+
+
+def curation_events(curated: DataFrame, key: str, order: str) -> DataFrame:
+    """``aggregate, version, kind, status, id`` of a curation: one event for each version, with an id that a replay repeats."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for kv in EVENT_NAMES.items() for x in kv)), F.col("event"))
+    own = curated.where(F.col("event").isNotNull())
+    return own.select(F.col(key).alias("aggregate"), "version", kind.alias("kind"), "status", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string"), kind), 256).alias("id"))
+
+
 def curate(observations: DataFrame, key: str, order: str) -> DataFrame:
     """The curation of a key's observations in order: event and version after each.
 

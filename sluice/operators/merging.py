@@ -72,6 +72,45 @@ def guarded_fill(current: DataFrame, proposals: DataFrame, key: str, token: str,
     return seen.select(key, outcome.alias("outcome"), F.when(fits & takes, F.col("proposal")).otherwise(F.col("now")).alias("value"))
 
 
+#: Confidence from which a proposal is applied, and from which it is shown as one (fixed values).
+APPLY, BADGE = 0.85, 0.80
+
+
+def candidates(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``key, gaps`` of rows that lack something: the names of their empty fields."""
+    empty = F.array_compact(F.array(*(F.when(gap(F.col(f)), f) for f in fields)))
+    return rows.select(key, empty.alias("gaps")).where(F.size("gaps") > 0)
+
+
+def best_proposals(proposals: DataFrame, key: str) -> DataFrame:
+    """``key, field, value, confidence, use``: the surest proposal for each field, the least value on a tie, applied or shown by its confidence."""
+    order = F.struct("confidence", F.col("value"))
+    best = proposals.where(~gap(F.col("value"))).groupBy(key, "field").agg(F.max(order).alias("b"))
+    use = F.when(F.col("b.confidence") >= APPLY, "apply").when(F.col("b.confidence") >= BADGE, "badge").otherwise("none")
+    return best.select(key, "field", F.col("b.value").alias("value"), F.col("b.confidence").alias("confidence"), use.alias("use"))
+
+
+def overlay(rows: DataFrame, proposals: DataFrame, key: str, fields: list[str], stand_in: dict[str, Column] | None = None) -> DataFrame:
+    """Rows whose gaps in ``fields`` are filled by proposals that may be applied; other columns pass through.
+
+    ``stand_in`` gives for a field the text that stands for a missing one, such as a description made of the title: it is a
+    gap like an empty field.  Proposals become one row for each key, so rows are joined once whatever the number of fields.
+    """
+    usable = best_proposals(proposals, key).where((F.col("use") == "apply") & F.col("field").isin(fields))
+    wide = usable.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_given"))
+    stand_in = stand_in or {}
+    lacks = lambda f: gap(F.col(f)) | (F.coalesce(F.col(f) == stand_in[f], F.lit(False)) if f in stand_in else F.lit(False))
+    filled = {f: F.when(lacks(f), F.coalesce(F.col("_given")[f], F.col(f))).otherwise(F.col(f)) for f in fields}
+    return rows.join(wide, key, "left").withColumns(filled).drop("_given").select(*rows.columns)
+
+
+def coverage(rows: DataFrame, by: str, fields: list[str]) -> DataFrame:
+    """``by, field, n, filled, coverage`` of every field, in one pass."""
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), (~gap(F.col(f).cast("string"))).cast("int").alias("filled")) for f in fields))
+    long = rows.select(by, F.explode(cells).alias("c")).groupBy(by, F.col("c.field").alias("field"))
+    return long.agg(F.count("*").alias("n"), F.sum("c.filled").alias("filled"), F.round(F.avg("c.filled"), 6).alias("coverage"))
+
+
 def without_repeats(arrived: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """What is to be appended so that a replay changes nothing: rows of new keys, one of each (the least row)."""
     rest = [c for c in arrived.columns if c not in key]

@@ -47,14 +47,19 @@ def overlap_share(members: DataFrame) -> DataFrame:
 
 
 def inventory(source: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Keys whose rows in the source (``hash, partition``) and in the index differ, with the reasons."""
-    s, i = source.alias("s"), index.alias("i")
+    """Keys whose rows in the source (``hash, partition``) and in the index differ, with the reasons.
+
+    A key that the index holds more than once is a duplicate, and compared by its least row.
+    """
+    once = index.groupBy(key).agg(F.min(F.struct("hash", "partition")).alias("_row"), F.count("*").alias("copies"))
+    s, i = source.alias("s"), once.select(key, "_row.*", "copies").alias("i")
     joined = s.join(i, F.col(f"s.{key}") == F.col(f"i.{key}"), "full_outer")
     missing, orphan = F.col(f"i.{key}").isNull(), F.col(f"s.{key}").isNull()
     reasons = F.array_compact(
         F.array(
             F.when(missing, "missing"),
             F.when(orphan, "orphan"),
+            F.when(F.col("i.copies") > 1, "duplicate"),
             F.when(~missing & ~orphan & ~F.col("s.hash").eqNullSafe(F.col("i.hash")), "hash drift"),
             F.when(~missing & ~orphan & ~F.col("s.partition").eqNullSafe(F.col("i.partition")), "wrong partition"),
         )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import values
-from sluice.operators import dedup, health, merging, relations, search, sweeping
+from sluice.operators import dedup, health, history, merging, relations, search, sweeping
 from sluice.plans.analytics_queries import of_supplier
 from sluice.plans.registry import Tables, query
 from sluice.plans.search_queries import DOCS_SQL, NOW, docs
@@ -414,3 +414,99 @@ def anti_no_live_claim(t):
 def overlap_members(t):
     direct, linked = (of_supplier(t.lineitem.where(test), t) for test in ("l_quantity > 30", "l_returnflag = 'R'"))
     return relations.memberships(direct, linked).groupBy("group", "source").agg(F.count("*").alias("items"))
+
+
+# Enrichment, coverage and events of curation
+
+PROPOSALS_SQL = """
+pr AS (SELECT doc_id, field, 'v' || (doc_id % 7) || field || k AS value, ((doc_id * k + length(field)) % 21) / 20.0 AS confidence FROM documents, (VALUES ('lang'), ('source'), ('text')) f(field), (VALUES (1), (2), (3)) n(k) WHERE doc_id % 3 > 0),
+best AS (SELECT doc_id, field, max(confidence) AS confidence, arg_max(value, (confidence, value)) AS value FROM pr GROUP BY 1, 2)
+"""
+
+
+def proposals(t: Tables) -> DataFrame:
+    names, turns = F.array(*map(F.lit, ("lang", "source", "text"))), F.array(*map(F.lit, (1, 2, 3)))
+    long = t.documents.where("doc_id % 3 > 0").select("doc_id", F.explode(names).alias("field")).select("doc_id", "field", F.explode(turns).alias("k"))
+    value = F.concat(F.lit("v"), (F.col("doc_id") % 7).cast("string"), "field", F.col("k").cast("string"))
+    return long.select("doc_id", "field", value.alias("value"), ((F.col("doc_id") * F.col("k") + F.length("field")) % 21 / 20).alias("confidence"))
+
+
+@query(f"WITH {PROPOSALS_SQL} SELECT doc_id, field, value, confidence::DOUBLE AS confidence, CASE WHEN confidence >= 0.85 THEN 'apply' WHEN confidence >= 0.8 THEN 'badge' ELSE 'none' END AS use FROM best")
+def enrichment_best_proposals(t):
+    return merging.best_proposals(proposals(t), "doc_id").select("doc_id", "field", "value", "confidence", "use")
+
+
+@query(f"""
+WITH {PROPOSALS_SQL}, d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE source END AS source, CASE WHEN doc_id % 4 = 0 THEN 'T (' || doc_id || ')' ELSE 'own' END AS text FROM documents),
+a AS (SELECT * FROM best WHERE confidence >= 0.85)
+SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN coalesce(l.value, d.lang) ELSE d.lang END AS lang, CASE WHEN d.doc_id % 5 = 0 OR d.source IS NULL THEN coalesce(s.value, d.source) ELSE d.source END AS source, CASE WHEN d.doc_id % 4 = 0 THEN coalesce(x.value, d.text) ELSE d.text END AS text
+FROM d LEFT JOIN a l ON l.doc_id = d.doc_id AND l.field = 'lang' LEFT JOIN a s ON s.doc_id = d.doc_id AND s.field = 'source' LEFT JOIN a x ON x.doc_id = d.doc_id AND x.field = 'text'""")
+def enrichment_overlay_fields(t):
+    d = F.col("doc_id")
+    rows = t.documents.select(
+        "doc_id", F.when(d % 2 != 0, F.col("lang")).alias("lang"), F.when(d % 5 == 0, " ").otherwise(F.col("source")).alias("source"),
+        F.when(d % 4 == 0, F.concat(F.lit("T ("), d.cast("string"), F.lit(")"))).otherwise("own").alias("text"),
+    )
+    stand_in = {"text": F.concat(F.lit("T ("), F.col("doc_id").cast("string"), F.lit(")"))}
+    return merging.overlay(rows, proposals(t), "doc_id", ["lang", "source", "text"], stand_in)
+
+
+@query("""
+SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 OR lang IS NULL THEN 'lang' END, CASE WHEN doc_id % 5 = 0 THEN 'source' END], lambda x: x IS NOT NULL) AS gaps FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 = 0 OR lang IS NULL""")
+def enrichment_candidates(t):
+    d = F.col("doc_id")
+    rows = t.documents.select("doc_id", F.when(d % 2 != 0, F.col("lang")).alias("lang"), F.when(d % 5 > 0, "s").alias("source"))
+    return merging.candidates(rows, "doc_id", ["lang", "source"])
+
+
+ORDER_FIELDS = ["o_orderstatus", "o_orderdate", "o_custkey", "o_totalprice"]
+
+
+@query("""
+WITH o AS (SELECT o_custkey % 25 AS source, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus ELSE ' ' END AS o_orderstatus, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS o_orderdate, o_custkey, CASE WHEN o_totalprice > 500 THEN o_totalprice END AS o_totalprice FROM orders)
+SELECT source, field, count(*) AS n, sum(f)::BIGINT AS filled, round(avg(f), 6) AS coverage FROM (
+  SELECT source, 'o_orderstatus' AS field, (trim(o_orderstatus) <> '')::INTEGER AS f FROM o UNION ALL SELECT source, 'o_orderdate', (o_orderdate IS NOT NULL)::INTEGER FROM o
+  UNION ALL SELECT source, 'o_custkey', 1 FROM o UNION ALL SELECT source, 'o_totalprice', (o_totalprice IS NOT NULL)::INTEGER FROM o) GROUP BY 1, 2""")
+def field_coverage_audit(t):
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        (F.col("o_custkey") % 25).alias("source"), F.when(k % 4 > 0, F.col("o_orderstatus")).otherwise(" ").alias("o_orderstatus"),
+        F.when(k % 5 > 0, F.col("o_orderdate")).alias("o_orderdate"), "o_custkey", F.when(F.col("o_totalprice") > 500, F.col("o_totalprice")).alias("o_totalprice"),
+    )
+    return merging.coverage(rows, "source", ORDER_FIELDS)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type AS hash, CASE WHEN event_id % 3 > 0 THEN CASE WHEN value > 50 THEN 'active' ELSE 'closed' END END AS raw FROM events),
+s AS (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS status FROM e),
+b AS (SELECT *, row_number() OVER w AS n, lag(hash) OVER w AS h0, lag(status) OVER w AS s0 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+k AS (SELECT *, CASE WHEN n = 1 THEN 'nieuw' WHEN hash IS DISTINCT FROM h0 THEN 'gewijzigd' WHEN status IS DISTINCT FROM s0 THEN 'status_gewijzigd' END AS kind FROM b)
+SELECT user_id AS aggregate, count(kind) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS version, kind, status, sha256(user_id || ':' || event_id || ':' || kind) AS id FROM k QUALIFY kind IS NOT NULL""")
+def curation_outbox_events(t):
+    status = F.when(F.col("event_id") % 3 > 0, F.when(F.col("value") > 50, "active").otherwise("closed"))
+    seen = t.events.select("user_id", "event_id", F.col("event_type").alias("hash"), status.alias("status"))
+    return history.curation_events(history.curate(seen, "user_id", "event_id"), "user_id", "event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'replayed' WHEN o_orderkey IS NULL THEN 'new' WHEN l_returnflag = o_orderstatus THEN 'unchanged' ELSE 'changed' END AS outcome FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 3 > 0")
+def arrival_replayed(t):
+    known = t.orders.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("hash"))
+    arrived = t.lineitem.select(F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_returnflag").alias("hash"), (F.col("l_linenumber") == 3).alias("replayed"))
+    return history.arrival(known, arrived, ["k"]).select(F.col("k").alias("l_orderkey"), "l_linenumber", "outcome")
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS k, count(*) AS copies FROM lineitem GROUP BY 1)
+SELECT o_orderkey, 'duplicate' AS reasons FROM orders JOIN i ON k = o_orderkey WHERE copies > 1 UNION ALL SELECT o_orderkey, 'missing' FROM orders WHERE o_orderkey NOT IN (SELECT k FROM i)""")
+def inventory_duplicates(t):
+    same = (F.lit("h").alias("hash"), F.lit("active").alias("partition"))
+    return relations.inventory(t.orders.select("o_orderkey", *same), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), *same), "o_orderkey")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'freelance' WHEN 1 THEN 'interim' WHEN 2 THEN 'vast' END AS form FROM documents")
+def contract_resolved(t):
+    k = F.col("doc_id") % 4
+    token = F.when(k == 0, "zzp")
+    tokens = F.when(k < 2, F.array(F.lit("TEMPORARY"), F.lit("FULL_TIME"))).when(k == 2, F.array(F.lit("zzp"), F.lit("vast")))
+    text = F.when(k < 3, "een vaste baan").otherwise("iets anders")
+    return t.documents.select("doc_id", values.resolved_contract(token, tokens, text).alias("form"))
