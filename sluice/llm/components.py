@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, release
 
 #: Steps after which the run is given up: the number needed grows with the logarithm of the longest path.
 MOST_STEPS = 60
@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, component``: for every end of an edge (``a``, ``b``, longs) the least id of its component.
 
     Each step links the neighbours of a node to the least of them, larger ones first, then smaller ones;
-    the steps end when every node hangs on the least node of its component.  A step is two partially
+    the steps end when every node hangs on the least node of its component.  Rows with a null end are no edges, repeated
+    rows one edge, and an empty table gives an empty result.  A step is two partially
     aggregated minima and two joins whose hot keys Spark may split; its result is written to the shared
     folder, so the lineage stays short.
     """
@@ -31,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large, "large-star")
         small = large.join(_least(large), "u")
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        stars = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        last, stars = stars, cut(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        release(last, large)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
         if now == before:
             break

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, release
 from sluice.shipping import ship
 
 #: Longest vectors that give each query its first k-th best: a table of fixed size.
@@ -226,6 +226,8 @@ def _of_dimension(own: DataFrame, dim: int, n: int, k: int, every: int) -> DataF
         hits = asking.select("id", "v", "least", "cb", "qb").groupBy("cb", "qb").cogroup(facing.groupBy("cb", "of")).applyInPandas(meet, "query_id long, vec_id long, score long")
         if best is not None:
             hits = hits.unionByName(best.drop("rank"))
-        best = cut(hits.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        last, best = best, cut(hits.withColumn("rank", rank).where(F.col("rank") <= k), "best")
+        if last is not None:
+            release(last)
         begin = end
     return best.select("query_id", "rank", "vec_id", "score")
