@@ -14,10 +14,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, unless their PYTHONPATH has it."""
+    """Send the package to the executors once per application; workers on this machine that have it on their PYTHONPATH need nothing."""
     app = spark.sparkContext.applicationId
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if app in _shipped or str(ROOT) in paths:
+    if app in _shipped or (str(ROOT) in paths and spark.sparkContext.master.startswith("local")):
         return
     made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "sluice"), "zip", ROOT, "sluice")
     spark.sparkContext.addPyFile(made)
