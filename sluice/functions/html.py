@@ -44,6 +44,12 @@ def value_of(text: Column, label: str) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.regexp_extract(text, rf"(?im)^\s*{re.escape(label)}\s*:\s*([^\n]+)$", 1)), r"[\s.,;]+$", ""), F.lit(""))
 
 
+def label_blocks(markup: Column, description: Column, fields: dict[str, tuple[str, str]]) -> Column:
+    """``map<field, value>`` of patterns with one group, each looked for in the page or (``description``) in the posting's text; blanks are left out."""
+    cells = [x for name, (where, pattern) in fields.items() for x in (F.lit(name), F.trim(F.regexp_extract(description if where == "description" else markup, pattern, 1)))]
+    return F.map_filter(F.create_map(*cells), lambda k, v: v != "")
+
+
 def usable(description: Column) -> Column:
     """The description without page furniture, if it has 24 characters and four words and is no cookie notice."""
     body = strip(F.regexp_replace(description, r"(?is)<(nav|header|footer|aside|script|style|form)\b.*?</\1>", " "))

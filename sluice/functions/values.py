@@ -337,3 +337,28 @@ def keyword_score(haystack: Column, words: str) -> Column:
     """How many of the words (two letters or more) occur in the text as substrings."""
     terms = [w for w in re.split(r"[^a-z0-9_]+", words.lower()) if len(w) >= 2]
     return reduce(add, [F.lower(haystack).contains(w).cast("int") for w in terms], F.lit(0))
+
+
+#: The 53-bit hash cyrb53 (public domain): first states of its two halves, their multipliers, and those that mix them at the end (fixed values).
+HASH_STATES, HASH_TIMES, HASH_MIXES = (0xDEADBEEF, 0x41C6CE57), (2654435761, 1597334677), (2246822507, 3266489909)
+WORD32 = 0xFFFFFFFF
+
+
+def _times32(a: Column, b: int) -> Column:
+    """The low 32 bits of a product of 32-bit numbers; the halves of one factor keep it inside a long."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)), F.shiftright(a, 16)
+    return (low * b + F.shiftleft((high * b).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(WORD32))
+
+
+def id_hash(text: Column, seed: int = 0) -> Column:
+    """The 53-bit number that stands for an id in an index and breaks ties of a sort."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def half(i: int) -> Column:
+        start = F.lit((HASH_STATES[i] ^ seed) & WORD32).cast("long")
+        return F.aggregate(signs, start, lambda h, c: _times32(h.bitwiseXOR(F.ascii(c).cast("long")), HASH_TIMES[i]))
+
+    one, two = HASH_MIXES
+    mixed = lambda own, other: _times32(own.bitwiseXOR(F.shiftright(own, 16)), one).bitwiseXOR(_times32(other.bitwiseXOR(F.shiftright(other, 13)), two))
+    whole = lambda h: _once(F.struct(h["b"].alias("b"), mixed(h["a"], h["b"]).alias("a")), lambda m: mixed(m["b"], m["a"]).bitwiseAND(F.lit(0x1FFFFF)) * F.lit(1 << 32) + m["a"])
+    return _once(F.struct(half(0).alias("a"), half(1).alias("b")), whole)

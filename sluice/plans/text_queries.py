@@ -219,3 +219,27 @@ def _rates_sql() -> str:
 @query(_rates_sql())
 def text_rate_forms(t):
     return dealt(t, [r[0] for r in RATES]).select("doc_id", values.rate(F.col("x")).alias("r")).select("doc_id", "r.*")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Delft' END AS place, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 40)::VARCHAR || ' uur' END AS hours FROM documents""")
+def html_label_blocks(t):
+    d = F.col("doc_id")
+    page = F.concat(F.lit("<b>Plaats:</b><i> "), F.when(d % 2 == 0, "Delft").otherwise(""), F.lit(" </i>"))
+    text = F.when(d % 3 == 0, F.concat(F.lit("Inzet: "), (d % 40).cast("string"), F.lit(" uur; start: nu"))).otherwise("Inzet in overleg")
+    found = html.label_blocks(page, text, {"place": ("page", r"Plaats:</b>\s*<i>([^<]*)</i>"), "hours": ("description", r"Inzet:\s*([^;]+);")})
+    return t.documents.select("doc_id", found["place"].alias("place"), found["hours"].alias("hours"))
+
+
+HASH_SQL = """
+u AS (SELECT doc_id, list_transform(string_split(coalesce(source, '') || '-' || doc_id, ''), lambda c: ord(c)::BIGINT) AS signs FROM documents),
+h AS (SELECT doc_id, list_reduce(list_prepend(3735928559::BIGINT, signs), lambda h, c: ((xor(h, c)::HUGEINT * 2654435761) % 4294967296)::BIGINT) AS a,
+  list_reduce(list_prepend(1103547991::BIGINT, signs), lambda h, c: ((xor(h, c)::HUGEINT * 1597334677) % 4294967296)::BIGINT) AS b FROM u),
+m AS (SELECT doc_id, b, xor(((xor(a, a >> 16)::HUGEINT * 2246822507) % 4294967296)::BIGINT, ((xor(b, b >> 13)::HUGEINT * 3266489909) % 4294967296)::BIGINT) AS a FROM h)
+"""
+
+
+@query(f"""
+WITH {HASH_SQL} SELECT doc_id, (xor(((xor(b, b >> 16)::HUGEINT * 2246822507) % 4294967296)::BIGINT, ((xor(a, a >> 13)::HUGEINT * 3266489909) % 4294967296)::BIGINT) & 2097151) * 4294967296 + a AS hash FROM m""")
+def id_hashes(t):
+    return t.documents.select("doc_id", values.id_hash(F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string"))).alias("hash"))

@@ -33,6 +33,7 @@ SITES = {
         Site("striive", "$.data", {"ref": ("$.id", "$.referenceCode"), "title": ("$.title",), "description": ("$.content",), "client": ("$.clientName",), "place": ("$.location",), "hours_min": ("$.hoursPerWeekMin",), "hours_max": ("$.hoursPerWeekMax",), "starts": ("$.startDate",), "ends": ("$.endDate",), "closes": ("$.closingDateClient",)}, "$.total"),
         Site("inhuurdesk", "$.data", {"ref": ("$.id",), "title": ("$.title",), "description": ("$.content",), "client": ("$.clientName",), "place": ("$.location",), "hours_min": ("$.hoursPerWeekMin",), "hours_max": ("$.hoursPerWeekMax",), "posted": ("$.publishedDate",), "starts": ("$.startDate",), "closes": ("$.closingDateClient",)}, "$.total"),
         Site("tenderned", "$.content", {"ref": ("$.publicatieId",), "title": ("$.aanbestedingNaam",), "description": ("$.opdrachtBeschrijving",), "client": ("$.opdrachtgeverNaam",), "posted": ("$.publicatieDatum",)}, "$.totalElements"),
+        Site("onefellow", "$.jobs", {"ref": ("$.joborder_id",), "title": ("$.title",), "description": ("$.description", "$.teaser"), "client": ("$.company",), "place": ("$.company_city", "$.address_city"), "posted": ("$.time_published",), "starts": ("$.start_date",), "closes": ("$.time_deadline",), "rate_text": ("$.max_rate", "$.salary")}),
         Site("ctm", "$.entries", {"ref": ("$.referentie", "$.aanvraagnummer"), "title": ("$.titel",), "client": ("$.organisatie",), "posted": ("$.publicatiedatum",), "closes": ("$.sluitingstijd",)}),
         Site("harveynash", "$.results", {"ref": ("$.job.id",), "title": ("$.job.title",), "place": ("$.job.addresses[0]",), "rate_text": ("$.job.salary_package",)}, "$.total_size"),
         Site("werk-nl", "$.items", {"ref": ("$.referenceNumber", "$.key"), "title": ("$.vacatureTitle",), "client": ("$.organisation",), "hours_min": ("$.minHours",), "hours_max": ("$.maxHours",), "contract_text": ("$.contractType",)}, "$.totalResults"),
