@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_page_has_its_position(spark):
-    got = [r["pos"] for r in catalogue.QUERIES["fetch_resume_positions"](spark, SF).collect()]
+    got = [r["pos"] for r in catalogue.QUERIES["fetch_resume_order"](spark, SF).collect()]
     assert sorted(got) == list(range(1, spark.read.parquet(f"{SF}/pages.parquet").count() + 1)) and len(got) > 20
 
 
@@ -35,5 +35,5 @@ def test_fusion_takes_both_rankings_from_all_vectors(spark):
 
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     near = [{r["vec_id"] for r in ranking.nearest(vectors, q, 15, "vec_id", "embedding").collect()} for q in (QUERY_VECTOR, OTHER_VECTOR)]
-    got = {r["vec_id"] for r in catalogue.QUERIES["rrf_fusion_nearest"](spark, SF).collect()}
+    got = {r["vec_id"] for r in catalogue.QUERIES["rrf_fusion"](spark, SF).collect()}
     assert got == near[0] | near[1] and near[0] != near[1]

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_event_is_counted(spark):
-    n = sum(r["n"] for r in catalogue.QUERIES["weekly_volume_all"](spark, SF).collect())
+    n = sum(r["n"] for r in catalogue.QUERIES["weekly_volume_zero_filled"](spark, SF).collect())
     assert n == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
