@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -75,6 +76,55 @@ def test_account_numbers_end_where_their_country_says(spark):
     assert got == {1: [nl], 2: [de, nl], 3: ["GB82 WEST 1234 5698 7654 32"], 4: [nl], 5: [], 6: [], 7: [nl], 8: [], 9: ["NO93 8601 1117 947"]}
 
 
+def added(text):
+    """Spans of the added kinds by Python's own arithmetic."""
+    lengths = {c: n for n, countries in pii.IBAN_LENGTHS.items() for c in countries.split()}
+    near = lambda a, b, words: any(w in (text[max(0, a - 48) : a] + " " + text[b : b + 48]).lower() for w in words)
+    found = {"iban": [], "shortcard": [], "ssn": []}
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})", text):
+        n = lengths.get(m.group()[:2])
+        got = re.match(rf"(?:[A-Z0-9] ?){{{n - 1}}}[A-Z0-9](?![A-Za-z0-9])" if n else r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", text[m.start() : m.start() + 68])
+        if got:
+            plain, end = got.group().replace(" ", ""), m.start() + got.end()
+            holds = int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+            score = 2 + 4 * holds + 3 * near(m.start(), end, ("iban", "account", "konto", "compte", "cuenta", "bank"))
+            if score >= 6 and (not found["iban"] or found["iban"][-1][1] <= m.start()):
+                found["iban"].append((m.start(), end))
+    for m in re.finditer(r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,14}(?![ -]?[0-9])", text):
+        if luhn(re.sub("[^0-9]", "", m.group())) and near(*m.span(), ("card", "visa", "amex", "credit", "karte", "carte", "tarjeta")):
+            found["shortcard"].append(m.span())
+    for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text):
+        if not re.search("^(?:000|666|9)|-00-|-0000$", m.group()) and near(*m.span(), ("ssn", "social security", "taxpayer")):
+            found["ssn"].append(m.span())
+    return found
+
+
+def test_added_kinds_equal_brute_force(spark):
+    rng = random.Random(8)
+
+    def account():
+        country, n = rng.choice([("NL", 18), ("DE", 22), ("GB", 22), ("NO", 15), ("FR", 27), ("XX", 20)])
+        body = "".join(rng.choice("0123456789" if rng.random() < 0.8 else "ABCDEFGHIJ") for _ in range(n - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country) + "00") % 97 + rng.choice([0, 0, 0, 1])
+        whole = f"{country}{check:02d}{body}"
+        return whole if rng.random() < 0.5 else " ".join(whole[i : i + 4] for i in range(0, n, 4))
+
+    def card():
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 13, 14])))
+        digits += next(c for c in "0123456789" if luhn(digits + c)) if rng.random() < 0.8 else "7"
+        return digits if rng.random() < 0.5 else digits[:4] + "-" + digits[4:10] + " " + digits[10:]
+
+    ssn = lambda: f"{rng.choice([0, 123, 666, 900, 555]):03d}-{rng.choice([0, 45]):02d}-{rng.choice([0, 6789]):04d}"
+    words = ["IBAN", "bank", "Account", "card", "VISA", "ssn", "taxpayer", "BIC", "ABNANL2A", "plain", "é😀", "words", "\n", "12", "and so on, at length, with nothing near to it,"]
+    texts = [rng.choice([" ", "", "-"]).join(rng.choice([account, card, ssn])() if rng.random() < 0.35 else rng.choice(words) for _ in range(14)) if i % 4 == 0 else " ".join(rng.choice([account, card, ssn])() if rng.random() < 0.35 else rng.choice(words) for _ in range(14)) for i in range(600)]
+    total = 0
+    for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        for kind, spans in added(texts[r["doc_id"]]).items():
+            assert [(x["start"], x["end"]) for x in r[kind]] == spans, (texts[r["doc_id"]], kind)
+            total += len(spans)
+    assert total > 400
+
+
 def test_odd_rows(odd_documents, no_documents):
     assert pii.detect(odd_documents).count() == odd_documents.count()
     assert pii.detect(no_documents).count() == 0
