@@ -44,6 +44,28 @@ def value_of(text: Column, label: str) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.regexp_extract(text, rf"(?im)^\s*{re.escape(label)}\s*:\s*([^\n]+)$", 1)), r"[\s.,;]+$", ""), F.lit(""))
 
 
+#: What stands for a value where there is none, without closing punctuation (fixed values).
+NO_VALUES = ("-", "n.v.t", "nvt", "onbekend", "geen", "in overleg", "nader te bepalen")
+
+
+def between_labels(text: Column, labels: dict[str, str]) -> Column:
+    """``map<field, value>`` of ``Label: value`` in running text: a value ends at the next label or line, without closing punctuation.
+
+    Blanks and what stands for no value are left out.
+    """
+    stops = "|".join(re.escape(label) for label in labels.values())
+    cells = []
+    for name, label in labels.items():
+        found = F.regexp_extract(text, rf"(?is)(?:^|[^\p{{L}}])(?:{re.escape(label)})\s*:\s*(.*?)(?=\s*(?:{stops})\s*:|\n|$)", 1)
+        cells += [F.lit(name), F.regexp_replace(F.trim(found), r"[\s.,;:|–-]+$", "")]
+    return F.map_filter(F.create_map(*cells), lambda k, v: (v != "") & ~F.lower(v).isin(*NO_VALUES))
+
+
+def description(linked: Column, markup: Column) -> Column:
+    """The usable description of linked data, else of the page's main part."""
+    return F.coalesce(usable(linked), usable(F.regexp_extract(markup, r"(?is)<main[^>]*>(.*?)</main>", 1)))
+
+
 def label_blocks(markup: Column, description: Column, fields: dict[str, tuple[str, str]]) -> Column:
     """``map<field, value>`` of patterns with one group, each looked for in the page or (``description``) in the posting's text; blanks are left out."""
     cells = [x for name, (where, pattern) in fields.items() for x in (F.lit(name), F.trim(F.regexp_extract(description if where == "description" else markup, pattern, 1)))]

@@ -249,6 +249,20 @@ def contacts(raw: Column) -> Column:
     return F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda q: key(q).eqNullSafe(key(p))))
 
 
+def carried(people: Column, stored: Column, fields: tuple[str, ...]) -> Column:
+    """Contacts with those ``fields`` that only the pipeline knows, taken from the stored contact of the same name, email and phone."""
+    key = lambda p: F.struct(p["name"], F.lower(p["email"]), p["phone"])
+
+    def kept(p: Column) -> Column:
+        same = F.get(F.filter(stored, lambda q: key(q).eqNullSafe(key(p))), F.lit(0))
+        out = p
+        for f in fields:
+            out = out.withField(f, F.coalesce(p[f], same[f]))
+        return out
+
+    return F.transform(people, kept)
+
+
 # Gaps and overlays
 
 

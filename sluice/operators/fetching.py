@@ -15,6 +15,12 @@ def unknown_listings(listed: DataFrame, known: DataFrame, key: list[str]) -> Dat
     return listed.join(known.select(*key), key, "left_anti")
 
 
+def missed(known: DataFrame, observed: DataFrame, runs: DataFrame, source: str, reference: str) -> DataFrame:
+    """``source, reference`` of known records that a source's complete run has not listed; sources without one miss nothing."""
+    judged = known.join(runs.where(F.col("complete")).select(source).distinct(), source, "left_semi")
+    return judged.select(source, reference).join(observed.select(source, reference), [source, reference], "left_anti")
+
+
 def bucket(url: Column, buckets: int = 7) -> Column:
     """The weekday on which a page is fetched again whatever its date says: from the first 32 bits of its digest."""
     return F.conv(F.substring(F.sha2(url, 256), 1, 8), 16, 10).cast("long") % buckets

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import values
-from sluice.operators import dedup, health, history, merging, relations, search, sweeping
+from sluice.operators import dedup, fetching, health, history, merging, relations, search, sweeping
 from sluice.plans.analytics_queries import of_supplier
 from sluice.plans.registry import Tables, query
 from sluice.plans.search_queries import DOCS_SQL, NOW, docs
 from sluice.shared import shared_dir
+from sluice.streaming import outbox
 
 AT = datetime(2024, 1, 20, 12, 0, tzinfo=timezone.utc)
 
@@ -510,3 +511,18 @@ def contract_resolved(t):
     tokens = F.when(k < 2, F.array(F.lit("TEMPORARY"), F.lit("FULL_TIME"))).when(k == 2, F.array(F.lit("zzp"), F.lit("vast")))
     text = F.when(k < 3, "een vaste baan").otherwise("iets anders")
     return t.documents.select("doc_id", values.resolved_contract(token, tokens, text).alias("form"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A')""")
+def missed_references(t):
+    seen = t.lineitem.where("l_returnflag = 'A'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey")
+    runs = t.customer.select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") > 0).alias("complete"))
+    return fetching.missed(t.orders.select("o_custkey", "o_orderkey"), seen, runs, "o_custkey", "o_orderkey")
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'delete' ELSE 'upsert' END AS action, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1")
+def repair_dry_run(t):
+    d = F.col("doc_id").alias("aggregate")
+    source = t.documents.where("doc_id % 3 > 0").select(d, F.lit("h").alias("hash"), F.lit("active").alias("partition"))
+    return outbox.repair_counts(outbox.repairs(t.documents.where("doc_id % 2 = 0").select(d), source))

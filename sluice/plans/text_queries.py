@@ -243,3 +243,26 @@ m AS (SELECT doc_id, b, xor(((xor(a, a >> 16)::HUGEINT * 2246822507) % 429496729
 WITH {HASH_SQL} SELECT doc_id, (xor(((xor(b, b >> 16)::HUGEINT * 2246822507) % 4294967296)::BIGINT, ((xor(a, a >> 13)::HUGEINT * 3266489909) % 4294967296)::BIGINT) & 2097151) * 4294967296 + a AS hash FROM m""")
 def id_hashes(t):
     return t.documents.select("doc_id", values.id_hash(F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string"))).alias("hash"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Delft' WHEN 1 THEN 'Breda' ELSE NULL END AS place, CASE doc_id % 4 WHEN 0 THEN '36 uur' WHEN 2 THEN '24' ELSE NULL END AS hours, CASE doc_id % 4 WHEN 0 THEN '€ 80' ELSE NULL END AS rate FROM documents""")
+def html_between_labels(t):
+    rows = dealt(t, ["Locatie: Delft, Uren per week: 36 uur. Tarief: € 80", "x\nLocatie : Breda\nTarief: n.v.t.\nUren per week: -", "Uren per week: 24; Locatie: onbekend", "Sublocatie: Gent"])
+    found = html.between_labels(F.col("x"), {"place": "Locatie", "hours": "Uren per week", "rate": "Tarief"})
+    return rows.select("doc_id", *(found[c].alias(c) for c in ("place", "hours", "rate")))
+
+
+@query(expected("body", ["Een rol met genoeg eigen woorden", "De pagina zelf zegt het ook wel", None]))
+def html_description(t):
+    linked = F.when(F.col("doc_id") % 3 == 0, "<p>Een rol met genoeg eigen woorden</p>").otherwise("kort")
+    page = F.when(F.col("doc_id") % 3 < 2, "<nav>Menu menu menu menu menu menu menu</nav><main>De pagina zelf zegt het <b>ook</b> wel</main>").otherwise("<body>zonder hoofddeel maar met genoeg woorden</body>")
+    return t.documents.select("doc_id", html.description(linked, page).alias("body"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'new' WHEN turn % 2 = 0 THEN 'stored' END AS informed FROM conversations")
+def contacts_carried(t):
+    person = lambda email, informed: F.struct(F.col("role").alias("name"), F.lit(email).alias("email"), F.lit(None).cast("string").alias("phone"), informed.cast("string").alias("informed"))
+    stored = F.when(F.col("turn") % 2 == 0, F.array(person("a@x", F.lit("other")), person("B@x", F.lit("stored")))).otherwise(F.array(person("a@x", F.lit("other"))))
+    people = F.array(person("b@X", F.when(F.col("turn") % 3 == 0, "new")))
+    return t.conversations.select("conv_id", "turn", values.carried(people, stored, ("informed",))[0]["informed"].alias("informed"))

@@ -77,6 +77,11 @@ def repairs(differing: DataFrame, source: DataFrame) -> DataFrame:
     return joined.select("aggregate", F.when(gone, "delete").otherwise("upsert").alias("action"), "hash", "partition")
 
 
+def repair_counts(todo: DataFrame) -> DataFrame:
+    """``action, n``: what a repair would do, without doing it."""
+    return todo.groupBy("action").agg(F.count("*").alias("n"))
+
+
 def rebuild_event_id(generation: str, aggregate: Column) -> Column:
     """The id of an aggregate's event in a rebuild, in the form of a UUID of version 5: the same in every try, so replays meet."""
     h = F.sha2(F.concat(F.lit(generation + ":"), aggregate.cast("string")), 256)

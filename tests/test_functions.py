@@ -22,18 +22,18 @@ def test_hours(spark):
     ("text", "want"),
     [
         ("Tarief marktconform", (None, None, None)),
-        ("€ 5.517,- en € 9.337,- per maand", (5517, 9337, "maand")),
-        ("32 tot 40 uur per week, salaris tussen € 4.238,- en € 6.635,-", (4238, 6635, "maand")),
-        ("max tarief € 95 per uur", (None, 95, "uur")),
+        ("€ 4.120,- en € 6.480,- per maand", (4120, 6480, "maand")),
+        ("24 tot 36 uur in de week, salaris tussen € 3.310,- en € 4.905,-", (3310, 4905, "maand")),
+        ("max tarief € 88 per uur", (None, 88, "uur")),
         ("tot 36 uur per week", (None, None, None)),
-        ("uurtarief 80-95", (80, 95, "uur")),
-        ("tarief 01-02-2026", (None, None, None)),
+        ("uurtarief 71-84", (71, 84, "uur")),
+        ("tarief per 03-11-2025", (None, None, None)),
         ("€ 1,234", (None, None, "uur")),
         ("€ 1.234,56 per dag", (None, 1234.56, "dag")),
         ("€ 12,5", (None, 12.5, "uur")),
         ("een bonus van € 500 en 20 vakantiedagen", (None, 500, "uur")),
         ("€ 90 - € 80", (None, 90, "uur")),
-        ("€ 60.000 per jaar", (None, 60000, None)),
+        ("€ 58.000 per jaar", (None, 58000, None)),
     ],
 )
 def test_rates(spark, text, want):
@@ -81,3 +81,7 @@ def test_pages(spark):
     decoded = df.select(html.decode(F.lit("a &amp; b &#233; &nope; &#x41;"), df).alias("d")).first()["d"]
     assert decoded == "a & b é &nope; A"
     assert each(spark, html.usable, ["<nav>x</nav><p>Een baan met genoeg woorden erin</p>", "<p>te kort</p>", "We use cookies on this big site okay"]) == ["Een baan met genoeg woorden erin", None, None]
+
+
+def test_id_hash_known_values(spark):
+    assert each(spark, values.id_hash, ["a", "b"]) == [7929297801672961, 8684336938537663]
