@@ -169,7 +169,13 @@ def marts_spread(t):
     return t.part.groupBy("p_size").agg(*(F.round(F.percentile("p_retailprice", p), 6).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)))
 
 
-@query("SELECT count(*) AS n, true AS truncated FROM (SELECT * FROM lineitem LIMIT 1000)")
+@query("""
+SELECT 'lineitem' AS name, least(count(*), 1000) AS n, count(*) > 1000 AS truncated FROM lineitem UNION ALL SELECT 'nation', least(count(*), 1000), count(*) > 1000 FROM nation
+UNION ALL SELECT 'region', least(count(*), 5), count(*) > 5 FROM region""")
 def marts_capped(t):
-    rows, truncated = exporting.capped(t.lineitem, 1000)
-    return rows.agg(F.count("*").alias("n")).join(F.broadcast(truncated), F.lit(True))
+    def told(name: str, cap: int) -> DataFrame:
+        rows, truncated = exporting.capped(getattr(t, name), cap)
+        n = rows.agg(F.count("*").alias("n"))
+        return n.select(F.lit(name).alias("name"), "n", truncated.scalar().alias("truncated"))
+
+    return told("lineitem", 1000).unionByName(told("nation", 1000)).unionByName(told("region", 5))
\ No newline at end of file
