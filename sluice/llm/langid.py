@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ MOST_LANGUAGES = 200
 #: Training: steps, windows in a step, and Adam's rate at the start and the end.
 STEPS, BATCH, RATES = 400, 160, (0.03, 0.003)
 UNKNOWN = "und"
+#: Part of the way from chance to what rightly predicted windows score that a document must reach, and bytes below which a text says too little to be rejected.
+REACHED, TELLING = 0.4, 2 * SPAN
 
 
 @dataclass
@@ -243,7 +246,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def threshold(model: Model, windows: list[bytes], labels: list[str], otherwise: float) -> float:
-    """The score that a document must reach: halfway between chance, ``1 / K`` for ``K`` languages, and the 5% quantile of the rightly predicted sample.
+    """The score that a document must reach: from chance, ``1 / K`` for ``K`` languages, ``REACHED`` of the way to the 5% quantile of the rightly predicted sample.
 
     So it moves with the number of languages and with what the model can tell.  With one language every score is
     1 and nothing is asked; ``otherwise`` holds where the sample has nothing that is predicted rightly.
@@ -255,7 +258,7 @@ def threshold(model: Model, windows: list[bytes], labels: list[str], otherwise:
     p = Runner(model).pooled(pa.array([w.decode(errors="ignore") for w in windows], pa.string()))
     right = p.max(1)[np.array(model.langs, dtype=object)[p.argmax(1)] == np.array(labels, dtype=object)]
     chance = 1 / len(model.langs)
-    return float(chance + max(np.quantile(right, 0.05) - chance, 0.0) / 2) if len(right) else otherwise
+    return float(chance + max(np.quantile(right, 0.05) - chance, 0.0) * REACHED) if len(right) else otherwise
 
 
 def _labelled(run: Runner, texts: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +299,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more.
 
-    Null and empty texts and those without any letter go.  If the model knows no language, as nothing was labelled,
+    Null and empty texts and those without any letter go; texts with letters of fewer than ``TELLING`` bytes stay.  If the model knows no language, as nothing was labelled,
     no text can be told from another and all rows stay.  Long texts are judged whole; repeated rows and null keys are
     judged one by one; other columns are passed on, whatever their names; an empty table gives an empty result.
     """
@@ -311,6 +314,7 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
         run = Runner(shared.value)
         for b in batches:
             best, score = _labelled(run, b.column(at), b.column(b.num_columns - 1))
-            yield b.select(range(b.num_columns - 1)).filter(pa.array((best != UNKNOWN) & (score >= least)))
+            short = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False) < TELLING
+            yield b.select(range(b.num_columns - 1)).filter(pa.array((best != UNKNOWN) & ((score >= least) | short)))
 
     return plain.withColumn("has", _has_letter(column(text))).mapInArrow(keep, plain.schema).toDF(*docs.columns)
