@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontam, langid, lines, mixing, ngram_join, pii, suffix_dedup, tokens, topk, urls
-from sluice.llm.common import read_table
+from sluice.llm import byte_bpe, decontam, langid, lines, mixing, ngram_join, periods, pii, suffix_dedup, tokens, topk, urls, whitening
+from sluice.llm.common import WORD, read_table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,36 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), most=16)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(periods.planted(read_table(spark, sf_dir, "documents"), WORD))
+    found = found.withColumn("top", periods.strongest(F.col("runs")))
+    written = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("top")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(written, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+NUMBERED = (op1_suffix_dedup, op2_topk, op3_ngram_join, op4_mixing, op5_language, op6_urls, op7_lines, op8_decontamination, op9_pii, op10_tokens, op11_whitening, op12_byte_bpe, op13_periods)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NUMBERED}
