@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import cut
-from sluice.llm.topk import scaled
 from sluice.shipping import ship
 
 #: Added to each scaled component.
@@ -27,6 +26,8 @@ OFFSET = 1_000_000
 MOST_NUMBERS = 4_000_000
 #: The end of a long, at which deviations beyond it are held.
 MOST = 2**63 - 1
+#: A double near the ends of a long, at which components are held before the offset is added.
+HELD = 2.0**63 - 2.0**22
 #: Sweeps of rotations after which columns count as orthogonal; ten are usual.
 SWEEPS = 60
 
@@ -130,13 +131,24 @@ class Fit:
 
 
 def _by_dimension(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and matrix of the vectors of each dimension; arrays hold no nulls."""
+    """Row numbers and matrix of the vectors of each dimension but 0; lists are not null."""
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     values = lists.flatten().to_numpy(zero_copy_only=False)
     starts = np.cumsum(sizes) - sizes
-    for dim in np.unique(sizes):
+    for dim in np.unique(sizes[sizes > 0]):
         rows = np.flatnonzero(sizes == dim)
-        yield rows, values[starts[rows][:, None] + np.arange(dim)] if dim else np.zeros((len(rows), 0), np.int64)
+        yield rows, values.reshape(-1, dim) if len(rows) == len(sizes) else values[starts[rows][:, None] + np.arange(dim)]
+
+
+def _integers(vectors: pa.Array, factor: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and integers of the sound vectors of each dimension: ``floor(factor * c) + OFFSET``, held at the ends of a long."""
+    there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    for rows, c in _by_dimension(vectors.drop_null()):
+        c = c.astype(np.float64)  # a null component is not a number here
+        sound = np.isfinite(c).all(1)
+        with np.errstate(over="ignore"):
+            up = np.clip(np.floor(c[sound] * factor), -HELD, HELD)
+        yield there[rows[sound]], up.astype(np.int64) + OFFSET
 
 
 def _added(vectors: DataFrame, part) -> dict[int, list]:
@@ -227,18 +239,24 @@ def whiten(df: DataFrame, most: int = 16, key: str = "vec_id", vector: str = "em
     Repeated vectors count once in the fit and are all whitened; rows of a null key are whitened like others, repeated
     rows appear as often as they are there.  Components whose variance can't be told from 0 are left out: a table of
     one distinct vector, of empty vectors, or an empty table gives no rows.  Of equal eigenvalues either order is
-    right.  Deviations beyond a long are held at its end; components beyond a long too, before the offset is added.
+    right.  Deviations beyond a long are held at its end, components at 4 million less than that.
     Only the two named columns are read, so other columns may have any name.  Vectors of ``d`` components cost ``d``
     squared numbers in the driver and each task.
     """
     spark = df.sparkSession
     ship(spark)
-    room = MOST - 2 * OFFSET
-    held = F.transform(scaled(df[vector], factor), lambda v: F.least(F.greatest(v, F.lit(-room)), F.lit(room)) + OFFSET)
-    rows = df.select(df[key].alias("k"), held.alias("x")).where("x IS NOT NULL")
+    kept = df[vector] if df.schema[vector].dataType.elementType.simpleString() in ("float", "double") else df[vector].cast("array<double>")
+    rows = df.select(df[key].alias("k"), kept.alias("v"))
+
+    def integers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, x in _integers(batch.column(0), factor):
+                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1], np.int32)), lists], ["dim", "x"])
+
     # Spark's partial aggregation meets repeated vectors before the shuffle, so a vector of a third of all rows is no hot key.
-    distinct = cut(rows.select("x").distinct().select("x", F.size("x").alias("dim")), "distinct-vectors")
-    counts = {r["dim"]: r["n"] for r in distinct.where("dim > 0").groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    distinct = cut(rows.select("v").mapInArrow(integers, "dim int, x array<bigint>").distinct(), "distinct-vectors")
+    counts = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     kind = f"k {df.schema[key].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     out = spark.createDataFrame([], kind)
     for dims in _plans(list(counts)):
@@ -247,7 +265,7 @@ def whiten(df: DataFrame, most: int = 16, key: str = "vec_id", vector: str = "em
 
         def whitened(batches: Iterator[pa.RecordBatch], fits=fits) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, x in _by_dimension(batch.column(1)):
+                for at, x in _integers(batch.column(1), factor):
                     of = fits.value[x.shape[1]]
                     m = of.axes.shape[1]
                     size = m * len(at)
@@ -262,5 +280,5 @@ def whiten(df: DataFrame, most: int = 16, key: str = "vec_id", vector: str = "em
                     ]
                     yield pa.RecordBatch.from_arrays(columns, ["k", "component", "n", "deviation", "whitened", "explained", "identity_error"])
 
-        out = out.unionByName(rows.where(F.size("x").isin(dims)).mapInArrow(whitened, kind))
+        out = out.unionByName(rows.where(F.size("v").isin(dims)).mapInArrow(whitened, kind))
     return out.withColumnRenamed("k", key)
