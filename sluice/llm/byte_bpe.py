@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sluice.shipping import ship
 
 #: Pieces and pairs that a worker remembers, and the longest piece it remembers.
-KEPT_PIECES, KEPT_PAIRS, KEPT_LENGTH = 400_000, 1_000_000, 64
+KEPT_PIECES, KEPT_PAIRS, KEPT_LENGTH = 200_000, 200_000, 64
 #: Bytes of texts or tokens that a task holds for one batch of results.
 BATCH_BYTES = 16 << 20
 
@@ -47,9 +47,6 @@ class Codec:
             raise ValueError("the vocabulary lacks single bytes")
         self.rank = {token.decode("latin-1"): r for token, r in ranks.items()}
         self.token = {r: t for t, r in self.rank.items()}
-        self.bytes = np.empty(max(self.token) + 1, object)
-        for token, r in ranks.items():
-            self.bytes[r] = token
         self.pieces = regex.compile(pattern)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, array] = {}
@@ -126,11 +123,17 @@ class Codec:
             out.extend(known(piece) or of_piece(piece))
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.bytes[ids].tolist())
+
+def token_bytes(ranks: dict[bytes, int]) -> np.ndarray:
+    """The bytes of each id; decoding needs no more of a vocabulary."""
+    table = np.empty(max(ranks.values()) + 1, object)
+    for token, r in ranks.items():
+        table[r] = token
+    return table
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+_tables: dict[str, np.ndarray] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -173,7 +176,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     return out.mapInArrow(encoded, f"k {df.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("k", key)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with a binary column ``out``: the bytes that ``ids`` stand for, joined; null where ``ids`` is null.
 
     One narrow pass; an id that is null or no token fails with an error, as nothing stands for it.  All columns of
@@ -185,13 +188,15 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     row_kind = plain.schema["_row"].dataType.simpleString()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = codec(path, pattern).decode
+        if path not in _tables:
+            _tables[path] = token_bytes(read_ranks(path))
+        table = _tables[path]
         for batch in batches:
             lists = batch.column(0)
-            values = lists.flatten().to_numpy(zero_copy_only=lists.null_count == 0 and lists.flatten().null_count == 0)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
-            found = [decoder(values[e - n : e]) if ok else None for e, n, ok in zip(ends, sizes, lists.is_valid().to_pylist())]
+            found = [b"".join(table[values[e - n : e]].tolist()) if ok else None for e, n, ok in zip(ends, sizes, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["_row", "_decoded"])
 
     made = plain.mapInArrow(decoded, f"_row {row_kind}, _decoded binary")

@@ -72,7 +72,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    found = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    found = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern), path)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
