@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions import values
 from sluice.shipping import ship
 
 
@@ -79,19 +80,63 @@ def usable(description: Column) -> Column:
     return F.when(fits, body)
 
 
+def _parts(address: Column) -> Column:
+    """``struct<scheme, authority, path, query, fragment>``; a part that isn't there is null, an empty one empty."""
+    scheme = F.when(address.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.regexp_extract(address, r"^([^:]+):", 1))
+    rest = F.when(scheme.isNotNull(), F.substr(address, F.length(scheme) + 2)).otherwise(address)
+    return values._once(F.struct(scheme.alias("scheme"), rest.alias("rest")), lambda x: _below(x["scheme"], x["rest"]))
+
+
+def _below(scheme: Column, rest: Column) -> Column:
+    there = lambda pattern: F.when(rest.rlike("(?s)" + pattern), F.regexp_extract(rest, "(?s)" + pattern, 1))
+    return F.struct(
+        scheme.alias("scheme"),
+        there(r"^//([^/?#]*)").alias("authority"),
+        F.regexp_extract(rest, r"(?s)^(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        there(r"^[^?#]*\?([^#]*)").alias("query"),
+        there(r"^[^#]*#(.*)$").alias("fragment"),
+    )
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments have been followed (RFC 3986, 5.2.4): a fold over its segments."""
+    rooted = path.startswith("/")
+    segments = F.split(F.when(rooted, F.substr(path, F.lit(2))).otherwise(path), "/", -1)
+    none = F.array().cast("array<string>")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    walked = F.aggregate(segments, none, lambda done, s: F.when(s == ".", done).when(s == "..", up(done)).otherwise(F.concat(done, F.array(s))))
+    last = F.element_at(segments, -1)
+    ended = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.when(rooted, "/").otherwise(""), F.array_join(ended, "/"))).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference as an absolute address, seen from the page at ``base`` (RFC 3986, 5.2)."""
+
+    def joined(x: Column) -> Column:
+        b, r = x["base"], x["ref"]
+        merged = F.when(b["authority"].isNotNull() & (b["path"] == ""), F.concat(F.lit("/"), r["path"])).otherwise(F.concat(F.regexp_replace(b["path"], r"[^/]*$", ""), r["path"]))
+        path = F.when(r["path"].startswith("/"), r["path"]).otherwise(merged)
+        own, placed = r["scheme"].isNotNull(), r["authority"].isNotNull()
+        stays = ~own & ~placed & (r["path"] == "")
+        full = F.when(own | placed, r["path"]).when(stays, b["path"]).otherwise(path)
+        query = F.when(stays & r["query"].isNull(), b["query"]).otherwise(r["query"])
+        authority = F.when(own | placed, r["authority"]).otherwise(b["authority"])
+        head = lambda mark, part: F.coalesce(F.concat(F.lit(mark), part), F.lit(""))
+        scheme = F.when(own, r["scheme"]).otherwise(b["scheme"])
+        return F.concat(F.coalesce(F.concat(scheme, F.lit(":")), F.lit("")), head("//", authority), F.when(stays, full).otherwise(without_dots(full)), head("?", query), head("#", r["fragment"]))
+
+    return values._once(F.struct(_parts(base).alias("base"), _parts(reference).alias("ref")), joined)
+
+
 def links(pages: DataFrame, key: str, url: str, markup: str, path: str) -> DataFrame:
-    """``key, pos, href``: the links of each page whose path matches, absolute, the first of each in page order."""
+    """``key, pos, href``: the links of each page whose path matches, absolute, the first of each in page order.
+
+    Entities in addresses are decoded before they are resolved.
+    """
     found = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(markup, F.lit(r"""href=["']([^"']+)"""), F.lit(1))).alias("pos", "raw"))
-    root = F.regexp_extract("_base", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
-    scheme = F.regexp_extract("_base", r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
-    below = F.regexp_replace(F.regexp_replace("_base", r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    href = (
-        F.when(F.col("raw").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.col("raw"))
-        .when(F.col("raw").startswith("//"), F.concat(scheme, F.lit(":"), "raw"))
-        .when(F.col("raw").startswith("/"), F.concat(root, "raw"))
-        .otherwise(F.concat(below, F.lit("/"), "raw"))
-    )
-    absolute = found.select(key, "pos", href.alias("href"))
+    raw = F.replace(F.replace("raw", F.lit("&#38;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
+    absolute = found.select(key, "pos", resolve(F.col("_base"), F.trim(raw)).alias("href"))
     pathname = F.regexp_extract("href", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     return absolute.where(pathname.rlike(path)).groupBy(key, "href").agg(F.min("pos").alias("pos")).select(key, "pos", "href")
 

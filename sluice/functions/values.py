@@ -56,6 +56,10 @@ def hours_text(text: Column) -> Column:
 #: A run of digits with dots and commas inside, and what stands right before an amount of money.
 AMOUNT = r"[0-9]+(?:[.,][0-9]+)*"
 MARK = r"(?:€|\b(?:eur|euro)\b)\s*$"
+#: Periods and people behind a range that is no rate (fixed values).
+COUNTED = r"^(?:[-–]$|\s*(?:jaar|maanden?|weken?|personen?|fte|mensen|medewerkers|collega(?:'s|s)?|kandidaten|procesbeschrijvers|stuks|items)\b)"
+#: What joins the two amounts of a range, and the two that join only behind "tussen" or between marked amounts (fixed values).
+JOINED, BOTH = r"^(?:,-)?(?:\s*[-–]|\s+(?:en|and|tot|to|t/m|tm)\s)\s*(?:€|eur)?\s*$", r"\s(?:en|and)\s"
 #: Words that say what an amount is paid for, in the order they are looked for (fixed values).
 UNITS = (
     ("dag", (" per dag", "/dag", "dagtarief", " per day", "/day")),
@@ -110,13 +114,12 @@ def rate(text: Column) -> Column:
     marked = lambda gap_: gap_.rlike(MARK)
 
     def joined(p: Column) -> Column:
-        conjunction = p["gap"].rlike(r"\s(?:en|and)\s")
+        conjunction = p["gap"].rlike(BOTH)
         spanned = p["before"].rlike(r"\btussen(?:\s+de)?\s*(?:€|eur)?\s*$")
-        link = p["gap"].rlike(r"^(?:,-)?(?:\s*[-–]|\s+(?:en|and|tot|to|t/m|tm)\s)\s*(?:€|eur)?\s*$")
-        return link & (marked(p["before"]) | spanned) & (~conjunction | spanned | (marked(p["before"]) & marked(p["gap"]))) & F.coalesce(p["low"] <= p["high"], F.lit(True))
+        return p["gap"].rlike(JOINED) & (marked(p["before"]) | spanned) & (~conjunction | spanned | (marked(p["before"]) & marked(p["gap"]))) & F.coalesce(p["low"] <= p["high"], F.lit(True))
 
     def dashed(p: Column) -> Column:
-        counted = p["after"].rlike(r"^(?:[-–]$|\s*(?:jaar|maand|week|weken|persoon|personen|fte|mensen|medewerker|collega|kandida|stuks|items))")
+        counted = p["after"].rlike(COUNTED)
         return p["gap"].rlike(r"^\s*[-–]\s*$") & ~counted & ~p["before"].rlike(r"^[-–]$")
 
     most = lambda a: a["before"].rlike(r"(?:\bmax\.?|\bmax\s+tarief|\btot|\bt/?m)\s*(?:van\s+)?(?:€|euro)\s*$")
@@ -163,22 +166,6 @@ def agreed_contract(tokens: Column) -> Column:
     return F.when(F.size(forms) == 1, F.get(forms, F.lit(0)))
 
 
-def resolved_contract(token: Column, tokens: Column, text: Column) -> Column:
-    """The contract form by what says it most directly: a source's own token, then a list that agrees, then the text."""
-    return F.coalesce(contract_form(token), agreed_contract(tokens), contract_in_text(text))
-
-
-def contract_in_text(text: Column) -> Column:
-    """The contract form that a text offers: freelance that is ruled out opens the ladder to the other forms."""
-    low = F.lower(text)
-    no_freelance = low.rlike(r"\b(?:geen|niet|no|not)\s+(?:voor\s+|for\s+)?(?:zzp|freelance)|\b(?:zzp|freelance)\w*\s+(?:is\s+)?(?:niet|not|uitgesloten|excluded)")
-    freelance, posted = low.rlike(r"\b(?:zzp|freelance)") & ~no_freelance, low.contains("detachering")
-    fixed, interim = low.rlike(r"\b(?:vast dienstverband|vaste baan|permanent)\b"), low.rlike(r"\binterim\b")
-    ruled_out = F.when(posted, "detachering").when(fixed, "vast").when(interim, "interim")
-    open_ = F.when(fixed & ~posted & ~freelance, "vast").when(freelance & ~posted & ~interim, "freelance").when(interim & ~posted, "interim").when(posted, "detachering")
-    return F.when(no_freelance, ruled_out).otherwise(open_)
-
-
 def work_form(text: Column) -> Column:
     """Hybrid before remote before on-site."""
     low = F.lower(text)
@@ -365,12 +352,18 @@ def _times32(a: Column, b: int) -> Column:
 
 
 def id_hash(text: Column, seed: int = 0) -> Column:
-    """The 53-bit number that stands for an id in an index and breaks ties of a sort."""
-    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    """The 53-bit number that stands for an id in an index and breaks ties of a sort.
+
+    Ids are read as JavaScript's ``codePointAt`` reads them, by UTF-16 unit: a character beyond the basic plane counts
+    as its code point and once more as its low surrogate.
+    """
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    low = lambda p: ((p - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00).cast("long")
+    signs = F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array(p, low(p))).otherwise(F.array(p))))
 
     def half(i: int) -> Column:
         start = F.lit((HASH_STATES[i] ^ seed) & WORD32).cast("long")
-        return F.aggregate(signs, start, lambda h, c: _times32(h.bitwiseXOR(F.ascii(c).cast("long")), HASH_TIMES[i]))
+        return F.aggregate(signs, start, lambda h, c: _times32(h.bitwiseXOR(c), HASH_TIMES[i]))
 
     one, two = HASH_MIXES
     mixed = lambda own, other: _times32(own.bitwiseXOR(F.shiftright(own, 16)), one).bitwiseXOR(_times32(other.bitwiseXOR(F.shiftright(other, 13)), two))

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import values
+from sluice.functions import contracts, values
 from sluice.operators import dedup, fetching, health, history, merging, relations, search, sweeping
 from sluice.plans.analytics_queries import of_supplier
 from sluice.plans.registry import Tables, query
@@ -510,7 +510,7 @@ def contract_resolved(t):
     token = F.when(k == 0, "zzp")
     tokens = F.when(k < 2, F.array(F.lit("TEMPORARY"), F.lit("FULL_TIME"))).when(k == 2, F.array(F.lit("zzp"), F.lit("vast")))
     text = F.when(k < 3, "een vaste baan").otherwise("iets anders")
-    return t.documents.select("doc_id", values.resolved_contract(token, tokens, text).alias("form"))
+    return t.documents.select("doc_id", contracts.resolved_contract(token, tokens, text).alias("form"))
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import html, values
+from sluice.functions import contracts, html, values
 from sluice.operators import exporting, history
 from sluice.plans.registry import Tables, query
 from sluice.sources import listings
@@ -58,7 +58,7 @@ def text_rate(t):
 def text_contract(t):
     k = F.col("doc_id") % 4
     written = F.when(k == 0, "Freelance opdracht").when(k == 1, "Geen zzp, wel detachering").when(k == 2, "Een vaste baan").otherwise("Iets anders")
-    return t.documents.select("doc_id", values.contract_in_text(written).alias("form"))
+    return t.documents.select("doc_id", contracts.contract_in_text(written).alias("form"))
 
 
 @query("""
@@ -266,3 +266,56 @@ def contacts_carried(t):
     stored = F.when(F.col("turn") % 2 == 0, F.array(person("a@x", F.lit("other")), person("B@x", F.lit("stored")))).otherwise(F.array(person("a@x", F.lit("other"))))
     people = F.array(person("b@X", F.when(F.col("turn") % 3 == 0, "new")))
     return t.conversations.select("conv_id", "turn", values.carried(people, stored, ("informed",))[0]["informed"].alias("informed"))
+
+
+#: Sentences and what they say: whether freelance is ruled out, and which forms are offered (freelance, detachering, vast, interim).
+SAID = [
+    ("Wij werken aan iets moois", False, ""), ("Geen zzp of detachering, wel vast dienstverband", True, "v"), ("Zzp'ers zijn welkom", False, "f"),
+    ("Reiskosten gelden niet voor zzp'ers", False, "f"), ("Helaas is deze opdracht niet voor freelancers", True, "f"), ("Geen detachering", False, ""), ("Via detachering", False, "d"),
+    ("Interim niet toegestaan", False, ""), ("Voor interim, niet voor zzp", False, "if"), ("Geen budget en freelance kan", False, "f"), ("zzp: nee", True, ""),
+    ("Een permanent contract", False, "v"), ("Geen interim, zzp of vast contract mogelijk", True, ""),
+]
+
+_SAID_SQL = ", ".join(f"({i}, {out}, {', '.join(str(f in offers) for f in 'fdvi')})" for i, (_, out, offers) in enumerate(SAID))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, length(unnest(string_split(text, '.'))) % {len(SAID)} AS k FROM documents),
+f AS (SELECT doc_id, bool_or(o) AS o, bool_or(f) AS f, bool_or(d) AS d, bool_or(v) AS v, bool_or(i) AS i FROM s JOIN (VALUES {_SAID_SQL}) t(k, o, f, d, v, i) USING (k) GROUP BY 1)
+SELECT doc_id, o AS ruled_out, CASE WHEN o AND d THEN 'detachering' WHEN o AND v THEN 'vast' WHEN o AND i THEN 'interim' WHEN o THEN NULL WHEN v AND NOT d AND NOT f THEN 'vast'
+  WHEN f AND NOT d AND NOT i THEN 'freelance' WHEN i AND NOT d THEN 'interim' WHEN d THEN 'detachering' END AS form FROM f""")
+def contract_of_sentences(t):
+    """Every sentence of every text picks one of :data:`SAID` by its length; the forms of a whole text follow from all it says."""
+    said = F.array(*(F.lit(sentence) for sentence, _, _ in SAID))
+    written = F.array_join(F.transform(F.split("text", r"\."), lambda s: F.get(said, (F.length(s) % len(SAID)).cast("int"))), ". ")
+    return t.documents.where("text IS NOT NULL").select("doc_id", contracts.freelance_ruled_out(written).alias("ruled_out"), contracts.contract_in_text(written).alias("form"))
+
+
+@query("""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS word FROM pages),
+b AS (SELECT DISTINCT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, split_part(split_part(url, '?', 1), '#', 1) AS bare, word FROM l WHERE regexp_matches(word, '^[A-Za-z]+$'))
+SELECT page_id, word, regexp_replace(bare, '[^/]*$', '') || word AS beside, regexp_replace(bare, '[^/]*/[^/]*$', '') || word AS above, bare || '?p=' || word AS asked, root || '/' || word AS rooted,
+  split_part(bare, ':', 1) || '://' || lower(word) || '.nl/' AS elsewhere FROM b""")
+def html_resolved_links(t):
+    """Words of each page's links as references of several kinds, from its own address."""
+    word = F.explode(F.array_distinct(F.filter(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda w: w.rlike("^[A-Za-z]+$"))))
+    rows = t.pages.select("page_id", "url", word.alias("word"))
+    made = {"beside": F.concat(F.lit("./"), "word"), "above": F.concat(F.lit("x/../../"), "word"), "asked": F.concat(F.lit("?p="), "word"), "rooted": F.concat(F.lit("/a/./../"), "word"), "elsewhere": F.concat(F.lit("//"), F.lower("word"), F.lit(".nl/b/.."))}
+    return rows.select("page_id", "word", *(html.resolve(F.col("url"), r).alias(name) for name, r in made.items()))
+
+
+@query("""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n]+')) AS word FROM documents),
+u AS (SELECT DISTINCT word || CASE WHEN length(word) % 3 = 0 THEN '😀' WHEN length(word) % 3 = 1 THEN '𝒳é' ELSE '' END AS id FROM w),
+p AS (SELECT id, list_transform(string_split(id, ''), lambda c: ord(c)::BIGINT) AS points FROM u),
+s AS (SELECT id, flatten(list_transform(points, lambda p: CASE WHEN p > 65535 THEN [p, 56320 + (p - 65536) % 1024] ELSE [p] END)) AS signs FROM p),
+h AS (SELECT id, list_reduce(list_prepend(3735928559::BIGINT, signs), lambda h, c: ((xor(h, c)::HUGEINT * 2654435761) % 4294967296)::BIGINT) AS a,
+  list_reduce(list_prepend(1103547991::BIGINT, signs), lambda h, c: ((xor(h, c)::HUGEINT * 1597334677) % 4294967296)::BIGINT) AS b FROM s),
+m AS (SELECT id, b, xor(((xor(a, a >> 16)::HUGEINT * 2246822507) % 4294967296)::BIGINT, ((xor(b, b >> 13)::HUGEINT * 3266489909) % 4294967296)::BIGINT) AS a FROM h)
+SELECT id, (xor(((xor(b, b >> 16)::HUGEINT * 2246822507) % 4294967296)::BIGINT, ((xor(a, a >> 13)::HUGEINT * 3266489909) % 4294967296)::BIGINT) & 2097151) * 4294967296 + a AS hash FROM m""")
+def id_hashes_of_words(t):
+    """The hash of every different word of the texts, many with characters beyond the basic plane behind them."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[^ \\n]+"), F.lit(0)))
+    n = F.length("w") % 3
+    ids = t.documents.select(word.alias("w")).select(F.concat("w", F.when(n == 0, "😀").when(n == 1, "𝒳é").otherwise("")).alias("id")).distinct()
+    return ids.select("id", values.id_hash(F.col("id")).alias("hash"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions import html, values
+from sluice.functions import contracts, html, values
 from sluice.operators.dedup import bounded, dedup_key
 
 
@@ -79,7 +79,7 @@ def drafts(rows: DataFrame, site: Site) -> DataFrame:
         F.coalesce(values.province(F.col("place")), values.last_province(F.col("place"))).alias("province"),
         F.col("posted").try_cast("timestamp").alias("posted"), F.col("starts").alias("starts"), F.col("ends").alias("ends"), values.closing_moment(F.col("closes")).alias("closing"),
         F.col("hours_min").try_cast("double").alias("hours_min"), F.col("hours_max").try_cast("double").alias("hours_max"), rate.alias("rate"),
-        F.coalesce(values.contract_form(F.col("contract_text")), values.contract_in_text(F.concat_ws(" ", title, text))).alias("contract"),
+        F.coalesce(values.contract_form(F.col("contract_text")), contracts.contract_in_text(F.concat_ws(" ", title, text))).alias("contract"),
         values.work_form(F.concat_ws(" ", title, text)).alias("work_form"), dedup_key(title, F.col("client"), F.col("starts")).alias("dedup_key"),
         F.sha2("record", 256).alias("hash"), problems.alias("problems"),
     )

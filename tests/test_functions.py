@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.functions import html, values
+from sluice.functions import contracts, html, values
 
 
 def each(spark, f, inputs, kind="string"):
@@ -34,6 +34,8 @@ def test_hours(spark):
         ("een bonus van € 500 en 20 vakantiedagen", (None, 500, "uur")),
         ("€ 90 - € 80", (None, 90, "uur")),
         ("€ 58.000 per jaar", (None, 58000, None)),
+        ("tarief 80 - 95 jaarlijks herzien", (80, 95, None)),
+        ("tarief 3 - 5 jaar", (None, None, None)),
     ],
 )
 def test_rates(spark, text, want):
@@ -46,7 +48,7 @@ def test_rates(spark, text, want):
 def test_contracts_and_places(spark):
     assert each(spark, values.contract_form, [" Contractor", "FULL_TIME", None, "zzp"]) == ["freelance", None, None, "freelance"]
     assert each(spark, values.agreed_contract, [["TEMPORARY", "FULL_TIME"], ["TEMPORARY", "CONTRACTOR"], [], None], "array<string>") == ["interim", None, None, None]
-    assert each(spark, values.contract_in_text, ["Freelance of zzp", "geen zzp, interim", "vaste baan", "detachering of vaste baan", "niets"]) == ["freelance", "interim", "vast", "detachering", None]
+    assert each(spark, contracts.contract_in_text, ["Freelance of zzp", "geen zzp, interim", "vaste baan", "detachering of vaste baan", "niets"]) == ["freelance", "interim", "vast", "detachering", None]
     assert each(spark, values.work_form, ["hybride, deels remote", "100% remote", "op locatie", "x"]) == ["hybride", "remote", "op locatie", None]
     assert each(spark, values.province, ["Provincie: N-Holland", "NB", "Fryslân", "Nergens", None]) == ["Noord-Holland", "Noord-Brabant", "Friesland", None, None]
     assert each(spark, values.last_province, ["eerst Utrecht, dan Zuid-Holland.", "NB let op", "Gelderlander"]) == ["Zuid-Holland", None, None]
@@ -84,4 +86,4 @@ def test_pages(spark):
 
 
 def test_id_hash_known_values(spark):
-    assert each(spark, values.id_hash, ["a", "b"]) == [7929297801672961, 8684336938537663]
+    assert each(spark, values.id_hash, ["a", "b", "😀a"]) == [7929297801672961, 8684336938537663, 880667864799818]
