@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators import percentiles
+
 ZONE = "Europe/Amsterdam"
 
 
@@ -19,13 +21,15 @@ def run_stats(sources: DataFrame, runs: DataFrame, items: DataFrame, exact: bool
     """One row for each source and one, ``is_total`` 1, for all of them, in one pass of grouping sets over the runs.
 
     ``items`` (``source, outcome``) are counted by source, and the counts added up for the total, before they are joined, so
-    that runs don't multiply them; sources without runs stay.  The 95th percentile of seconds is exact and interpolated,
-    which keeps every value of a group, or with ``exact`` off a sketch of bounded size.
+    that runs don't multiply them; sources without runs stay.  The 95th percentile of seconds is exact and interpolated:
+    kept by the aggregate up to ``percentiles.AT_ONCE`` runs, found by ranges beyond it; with ``exact`` off it comes from
+    a sketch of bounded size.
     """
     per = items.groupBy("source").agg(F.count("*").alias("items"), F.count_if(F.col("outcome") == "new").alias("new_items"))
     per = sources.join(per, "source", "left").select(F.lit(0).alias("total"), F.col("source").alias("of"), "items", "new_items")
     both = per.unionByName(per.agg(F.sum("items").alias("items"), F.sum("new_items").alias("new_items")).select(F.lit(1).alias("total"), F.lit(None).cast("string").alias("of"), "items", "new_items"))
-    percentile = "percentile(seconds, 0.95)" if exact else "percentile_approx(seconds, 0.95, 10000)"
+    large = exact and runs.count() > percentiles.AT_ONCE
+    percentile = "percentile(seconds, 0.95)" if exact and not large else "percentile_approx(seconds, 0.95, 10000)"
     counted = sources.sparkSession.sql(
         f"""
         SELECT source, grouping(source) AS is_total, count(run_id) AS runs,
@@ -35,6 +39,11 @@ def run_stats(sources: DataFrame, runs: DataFrame, items: DataFrame, exact: bool
         rows=sources.join(runs, "source", "left"),
     )
     joined = counted.join(both, (F.col("is_total") == F.col("total")) & F.col("source").eqNullSafe(F.col("of")), "left")
+    if large:
+        done = runs.where(finished(F.col("status"))).join(sources.select("source"), "source", "left_semi")
+        both = F.array(F.struct(F.lit(0).alias("t"), F.col("source").alias("s")), F.struct(F.lit(1).alias("t"), F.lit(None).cast("string").alias("s")))
+        ranked = percentiles.by_ranges(done.select("seconds", F.explode(both).alias("g")).select("seconds", "g.t", "g.s"), ["t", "s"], "seconds", {"p95": 0.95})
+        joined = joined.join(ranked, (F.col("is_total") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")), "left").withColumn("p95_seconds", F.round("p95", 6))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select("source", "is_total", "runs", "succeeded", "failed", "running", "found", zero("items"), zero("new_items"), "p95_seconds")
 
@@ -71,7 +80,7 @@ def json_counter(rows: DataFrame, by: str, document: str, name: str) -> DataFram
 
 def nearest_rank(rows: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
     """Percentiles that are values of the rows: the least one at or below which the share of rows lies."""
-    return rows.groupBy(by).agg(*(F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(s * 100)}") for s in shares))
+    return percentiles.exact(rows, [by], value, {f"p{int(s * 100)}": s for s in shares}, continuous=False)
 
 
 def weekly(rows: DataFrame, at: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators import dedup, health, history, relations, runs
+from sluice.operators import dedup, health, history, percentiles, relations, runs
 from sluice.plans.registry import Tables, query
 
 #: Orders as runs of their customer's nation; items are order lines.
@@ -383,3 +383,20 @@ def source_health(t):
     rules = [("never_ran", "critical", F.col("runs") == 0), ("failed_runs", "warning", F.col("failed") > 0), ("in_debt", "critical", F.col("c_acctbal") < 0)]
     judged = per.withColumn("signals", health.signals(rules))
     return judged.select("c_custkey", F.array_join(F.transform("signals", lambda s: s["code"]), ",").alias("codes"), health.verdict(F.col("signals"), F.col("c_custkey") % 50 != 0).alias("verdict"))
+
+
+@query("""
+SELECT l_returnflag AS flag, l_linenumber AS line, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999, max(l_extendedprice) AS top
+FROM lineitem GROUP BY ALL""")
+def percentiles_by_ranges(t):
+    """Percentiles of groups that no task ever holds whole."""
+    rows = t.lineitem.select(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"), "l_extendedprice")
+    found = percentiles.by_ranges(rows, ["flag", "line"], "l_extendedprice", {"median": 0.5, "p95": 0.95, "p999": 0.999, "top": 1.0})
+    return found.select("flag", "line", *(F.round(c, 6).alias(c) for c in ("median", "p95", "p999")), "top")
+
+
+@query("SELECT NULL::VARCHAR AS flag, quantile_disc(l_quantity, 0.9) AS p90, quantile_disc(l_quantity, 0.01) AS p1 FROM lineitem UNION ALL SELECT l_returnflag, quantile_disc(l_quantity, 0.9), quantile_disc(l_quantity, 0.01) FROM lineitem GROUP BY 1")
+def nearest_ranks_of_all(t):
+    """Values at ranks, of each flag and of all rows together, in one pass over both."""
+    groups = F.explode(F.array("l_returnflag", F.lit(None).cast("string"))).alias("flag")
+    return percentiles.by_ranges(t.lineitem.select("l_quantity", groups), ["flag"], "l_quantity", {"p90": 0.9, "p1": 0.01}, continuous=False)

@@ -9,6 +9,9 @@ batches have left behind goes when a generation is compacted into the next one.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +20,16 @@ STATE = "aggregate long, sequence long, hash string, partition string, deleted b
 BUCKETS = 64
 
 
+def _make(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucket(aggregate: Column) -> Column:
     return F.pmod(F.xxhash64(aggregate), F.lit(BUCKETS)).cast("int").alias("bucket")
 
@@ -109,15 +122,24 @@ def compact(spark: SparkSession, folder: str, path: str, generation: str) -> str
     return into
 
 
+POINTER = "generation string, turn long"
+
+
+def _turns(spark: SparkSession, path: str) -> DataFrame:
+    folder = f"{path}/pointer"
+    _make(spark, folder)
+    return spark.read.schema(POINTER).parquet(folder)
+
+
 def point_to(spark: SparkSession, path: str, generation: str) -> None:
-    """Make a whole generation the one that readers use; it never goes back to an earlier pointer's file."""
-    turns = spark.createDataFrame([(generation,)], "generation string").withColumn("at", F.current_timestamp())
-    turns.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+    """Make a whole generation the one that readers use; turns are counted, so no clock decides which is the last."""
+    last = _turns(spark, path).agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
+    spark.createDataFrame([(generation, last + 1)], POINTER).coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
 def pointed(spark: SparkSession, path: str) -> str:
     """The folder of the generation that was pointed to last."""
-    row = spark.read.schema("generation string, at timestamp").parquet(f"{path}/pointer").agg(F.max_by("generation", "at").alias("g")).first()
+    row = _turns(spark, path).agg(F.max_by("generation", F.struct("turn", "generation")).alias("g")).first()
     return f"{path}/generation={row['g']}"
 
 
@@ -142,8 +164,7 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 def apply_batch(events: DataFrame, batch: int, documents: DataFrame, path: str) -> None:
     """Plan a batch against what earlier batches have written to its buckets, and write its mutations."""
     spark = events.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
+    _make(spark, path)
     due = coalesce(events)
     touched = [r["bucket"] for r in due.select(bucket(F.col("aggregate"))).distinct().collect()]  # BUCKETS numbers at most
     state = _last(mutations(spark, path).where(F.col("bucket").isin(touched) & (F.col("batch") != batch)))
@@ -152,7 +173,101 @@ def apply_batch(events: DataFrame, batch: int, documents: DataFrame, path: str)
     put(todo.select("aggregate", "sequence", F.when(~gone, F.col("hash")).alias("hash"), F.when(~gone, F.col("partition")).alias("partition"), gone.alias("deleted")), path, batch)
 
 
-def project(events: DataFrame, documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Project a stream of events until it is drained; ``documents`` is read anew by each batch."""
-    writer = events.writeStream.foreachBatch(lambda df, batch: apply_batch(df, batch, documents, path))
+def fold(spark: SparkSession, path: str, upto: int) -> None:
+    """Fold the batches up to ``upto`` into one that holds the last mutation of each aggregate, then drop them.
+
+    The folded batch is whole before the others go; until then both give the same rows, as equal sequences are equal
+    mutations.  Folded batches have negative numbers, of which later ones are lower.
+    """
+    _make(spark, path)
+    old = [r["batch"] for r in mutations(spark, path).where(F.col("batch") <= upto).select("batch").distinct().collect()]  # as many as batches since the last fold
+    into = -(upto + 2)
+    if len([b for b in old if b != into]) < 2:
+        return
+    put(_last(mutations(spark, path).where(F.col("batch") <= upto)), path, into)
+    for b in old:
+        if b != into:
+            _remove(spark, f"{path}/batch={b}")
+
+
+def project(events: DataFrame, documents: DataFrame, path: str, checkpoint: str, fold_every: int = 50) -> StreamingQuery:
+    """Project a stream of events until it is drained; ``documents`` is read anew by each batch.
+
+    Every ``fold_every`` batches what came before is folded, so a read doesn't grow with the number of batches.
+    """
+
+    def step(df: DataFrame, batch: int) -> None:
+        apply_batch(df, batch, documents, path)
+        if batch and batch % fold_every == 0:
+            fold(df.sparkSession, path, batch - 1)  # a batch that runs again finds its own folder
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# The projection by partition: documents lie in the folder of their partition and move between them
+
+PLACED = "aggregate long, sequence long, hash string, partition string, bucket int"
+#: Where deleted documents leave their sequence, so that older events stay superseded.
+GONE = "gone"
+
+
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """The documents in their folders: conditions on ``partition`` and ``bucket`` prune files; deleted ones are in ``gone``."""
+    _make(spark, path)
+    return spark.read.schema(PLACED).parquet(path)
+
+
+def _overwrite(rows: DataFrame, path: str) -> None:
+    """Replace just the folders that ``rows`` fall in."""
+    rows.select("aggregate", "sequence", "hash", "partition", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition", "bucket").parquet(path)
+
+
+def move(spark: SparkSession, changed: DataFrame, path: str, buckets: list[int] = []) -> None:  # noqa: B006
+    """Put ``changed`` (``aggregate, sequence, hash, partition``) where they belong, then take them from where they were.
+
+    Only folders of the touched buckets (and of ``buckets``) are read, and only those written that a document enters or
+    leaves.  A document enters its new folder first: a step that is cut short leaves it in both, never in neither, and
+    the next one that touches its bucket takes it from the old.  A folder is replaced when its new files are whole.
+    """
+    new = changed.select("aggregate", "sequence", "hash", F.coalesce("partition", F.lit(GONE)).alias("partition"), bucket(F.col("aggregate")))
+    cells = [(r["partition"], r["bucket"]) for r in new.select("partition", "bucket").distinct().collect()]  # 3 * BUCKETS at most
+    touched = sorted({b for _, b in cells} | set(buckets))
+    if cells:
+        here = placed(spark, path).where(F.col("bucket").isin(touched))
+        entered = reduce(or_, ((F.col("partition") == p) & (F.col("bucket") == b) for p, b in cells))
+        stay = here.where(entered).join(new.select("aggregate"), "aggregate", "left_anti")
+        _overwrite(stay.unionByName(new), path)
+    # What has a later sequence elsewhere, of this step or of one that was cut short, goes.
+    here = placed(spark, path).where(F.col("bucket").isin(touched))
+    last = here.groupBy("aggregate", "bucket").agg(F.max("sequence").alias("last"), F.count("*").alias("n"))
+    marked = here.join(last.where("n > 1"), ["aggregate", "bucket"], "left").withColumn("old", F.coalesce(F.col("sequence") < F.col("last"), F.lit(False)))
+    left = [(r["partition"], r["bucket"], r["rest"]) for r in marked.groupBy("partition", "bucket").agg(F.count_if("old").alias("gone"), F.count_if(~F.col("old")).alias("rest")).where("gone > 0").collect()]
+    full = [(p, b) for p, b, rest in left if rest]
+    if full:
+        of = reduce(or_, ((F.col("partition") == p) & (F.col("bucket") == b) for p, b in full))
+        _overwrite(marked.where(of & ~F.col("old")), path)
+    for p, b, rest in left:
+        if not rest:
+            _remove(spark, f"{path}/partition={p}/bucket={b}")
+
+
+def place_batch(events: DataFrame, documents: DataFrame, path: str) -> None:
+    """Plan a batch against the documents in their folders and move what it touches; run again it changes nothing."""
+    spark = events.sparkSession
+    due = coalesce(events)
+    touched = [r["bucket"] for r in due.select(bucket(F.col("aggregate"))).distinct().collect()]
+    state = placed(spark, path).where(F.col("bucket").isin(touched))
+    state = state.groupBy("aggregate").agg(F.max_by(F.struct("sequence", "hash", "partition"), "sequence").alias("r")).select("aggregate", "r.*")
+    todo = plan(due, state, documents).where(F.col("action").isin("delete", "upsert"))
+    gone = F.col("action") == "delete"
+    # Written before it is applied: the plan reads the folders that it changes.
+    planned = f"{path.rstrip('/')}-planned"
+    todo.select("aggregate", "sequence", F.when(~gone, F.col("hash")).alias("hash"), F.when(~gone, F.col("partition")).alias("partition")).write.mode("overwrite").parquet(planned)
+    changed = spark.read.schema("aggregate long, sequence long, hash string, partition string").parquet(planned)
+    move(spark, changed, path, touched)
+
+
+def project_placed(events: DataFrame, documents: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Project a stream of events into folders by partition until it is drained."""
+    writer = events.writeStream.foreachBatch(lambda df, batch: place_batch(df, documents, path))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
