@@ -6,7 +6,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import values
@@ -154,18 +154,35 @@ def newest_chunks(documents: DataFrame, loc: str, n: int) -> DataFrame:
     return documents.withColumn("_n", number).where("_n IS NOT NULL").orderBy(F.desc("_n"), loc).limit(n).drop("_n")
 
 
-def linked_data(pages: DataFrame, key: str, markup: str, kind: str = "JobPosting") -> DataFrame:
+def nodes_of(raw: Column, depth: int = 8) -> Column:
+    """``array<variant>``: the nodes of a linked-data script, in its order, through arrays and graphs of ``depth`` levels.
+
+    An array stands for its elements and an object with an array ``@graph`` for that array's; any other value is a node.
+    A script that is no JSON has none.  What lies deeper stays folded.
+    """
+    below = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, '$["@graph"]', "array<variant>"), F.array(v))
+    nodes = F.array_compact(F.array(F.try_parse_json(raw)))
+    for _ in range(depth):
+        nodes = F.flatten(F.transform(nodes, below))
+    return nodes
+
+
+def is_a(node: Column, kind: str) -> Column:
+    """Whether a node's type is ``kind``, or its list of types holds it."""
+    one = F.try_variant_get(node, '$["@type"]', "string")
+    many = F.try_variant_get(node, '$["@type"]', "array<string>")
+    return F.coalesce(F.array_contains(many, kind), one == kind, F.lit(False))
+
+
+def linked_data(pages: DataFrame, key: str, markup: str, kind: str = "JobPosting", depth: int = 8) -> DataFrame:
     """``key, node``: the first linked-data node of a type on each page, as JSON; broken scripts are skipped.
 
-    A script may hold one node, a list of nodes or a graph of them.
+    Scripts hold nodes, lists of nodes and graphs, in one another (see :func:`nodes_of`).
     """
     scripts = F.regexp_extract_all(markup, F.lit(r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"""), F.lit(1))
-    found = pages.select(key, F.posexplode(scripts).alias("pos", "raw"))
-    many = F.from_json("raw", "array<string>")
-    nodes = F.when(F.trim("raw").startswith("["), many).otherwise(F.coalesce(F.from_json(F.get_json_object("raw", "$.@graph"), "array<string>"), F.array("raw")))
-    each = found.select(key, "pos", F.posexplode(nodes).alias("at", "node")).where(F.get_json_object("node", "$.@type") == kind)
-    first = F.row_number().over(Window.partitionBy(key).orderBy("pos", "at"))
-    return each.withColumn("_rank", first).where("_rank = 1").select(key, "node")
+    every = F.flatten(F.transform(scripts, lambda raw: nodes_of(F.trim(raw), depth)))
+    first = F.get(F.filter(every, lambda node: is_a(node, kind)), F.lit(0))
+    return pages.select(key, first.alias("_node")).where("_node IS NOT NULL").select(key, F.to_json("_node").alias("node"))
 
 
 #: What linked data calls the unit of a salary (fixed values).

@@ -319,3 +319,19 @@ def id_hashes_of_words(t):
     n = F.length("w") % 3
     ids = t.documents.select(word.alias("w")).select(F.concat("w", F.when(n == 0, "😀").when(n == 1, "𝒳é").otherwise("")).alias("id")).distinct()
     return ids.select("id", values.id_hash(F.col("id")).alias("hash"))
+
+
+@query(f"SELECT page_id, {STRIP.format(chr(39).join(['regexp_extract(html, ', '<title[^>]*>([^<]*)</title>', ', 1)']))} AS name, page_id % 5 AS level FROM pages WHERE page_id % 7 > 0")
+def linked_data_nested(t):
+    """Each page's own title in a posting, at one of several depths of lists and graphs, behind a broken script and another node."""
+    title = html.title(F.col("html"))
+    node = F.to_json(F.struct(F.when(F.col("page_id") % 2 == 0, F.array(F.lit("Thing"), F.lit("JobPosting"))).otherwise(F.array(F.lit("JobPosting"))).alias("@type"), title.alias("name"), F.struct((F.col("page_id") % 5).alias("of")).alias("level")))
+    shape = F.when(F.col("page_id") % 7 > 0, node).otherwise(F.lit('{"@type": "WebPage", "about": {"@type": "JobPosting"}}'))
+    other = '{"@type": "Organization", "name": "x"}'
+    for level in range(4):
+        wrapped = F.concat(F.lit(f"[{other}, "), shape, F.lit("]")) if level % 2 else F.concat(F.lit('{"@context": "c", "@graph": ['), shape, F.lit("]}"))
+        shape = F.when(F.col("page_id") % 5 > level, wrapped).otherwise(shape)
+    script = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    page = F.concat(script(F.lit("{broken")), script(F.lit(other)), script(shape), F.col("html"))
+    found = html.linked_data(t.pages.select("page_id", page.alias("html")), "page_id", "html")
+    return found.select("page_id", F.get_json_object("node", "$.name").alias("name"), F.get_json_object("node", "$.level.of").cast("long").alias("level"))
