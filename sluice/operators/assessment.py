@@ -2,14 +2,17 @@
 
 ``claims`` has ``item, field, status, value, cited`` (an array of reference ids), ``selection`` has ``item``,
 ``references`` has ``id, capability, observed, limit`` (seconds) and ``used`` has ``capability``.  Every
-operator returns ``code, item, field, ref``: what was found and where, null where it doesn't apply.
+operator returns ``code, item, field, ref``: what was found and where, null where it doesn't apply.  Requests are
+compared with what their upstream attests (:func:`request_findings`), many at once.
+
+The codes are fixed values.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +63,69 @@ def claim_findings(claims: DataFrame, selection: DataFrame, references: DataFram
             _found(twice, "DUPLICATE_SELECTION_ID", "item"),
         ],
     )
+
+
+# Requests against attestations
+
+
+def selection_digest(query_digest: Column, ids: Column) -> Column:
+    """``sha256:`` and the digest of a query's digest and the sorted ids, as JSON of sorted keys."""
+    body = F.to_json(F.struct(query_digest.alias("queryDigest"), F.array_sort(ids).alias("selectedIds")))
+    return F.concat(F.lit("sha256:"), F.sha2(body, 256))
+
+
+def canonical(value: Column) -> Column:
+    """A JSON document in one form: keys sorted at every level, numbers and strings written one way; null if it is none.
+
+    Objects are kept as variants, whose fields are in order of their names.  A number without a fraction is written
+    without one, however it was written, up to 15 digits; beyond that as it came.
+    """
+    text = F.to_json(F.try_parse_json(value))
+    # Outside strings: a number is behind the start, a bracket, a comma or a colon, and strings are stepped over whole.
+    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|((?<=[\[,:]|^)-?\d+)\.0(?=[,\]}]|$)', "$1$2")
+
+
+def query_digest(structure: Column) -> Column:
+    """The identity of a structural query: the digest of its canonical JSON."""
+    return F.concat(F.lit("sha256:"), F.sha2(canonical(structure), 256))
+
+
+def _canonical_claim(claims: DataFrame) -> DataFrame:
+    """``request, claim``: a claim as one JSON text, its citations sorted."""
+    claim = F.to_json(F.struct("field", F.array_sort("cited").alias("cited"), "status", F.col("item").cast("string").alias("item"), "value"), {"ignoreNullFields": "false"})
+    return claims.select("request", claim.alias("claim"))
+
+
+def request_findings(requests: DataFrame, claims: DataFrame, attested: DataFrame, attested_claims: DataFrame) -> DataFrame:
+    """``request, code`` for each request (``request, query_digest, selection_digest, ids``) that differs from its attestation.
+
+    ``attested`` has ``request, query_digest, ids, search`` (``complete`` if the search was), one row a request; both
+    ``claims`` have ``request, item, field, status, value, cited``.  A request without attestation is
+    ``UPSTREAM_ATTESTATION_UNAVAILABLE`` and nothing else.  Claims are compared as multisets, by counts of each claim on
+    either side, so a request's claims are never gathered in one place; ids are the arrays of the selection itself.
+    """
+    a = attested.select("request", F.col("query_digest").alias("a_query"), F.col("ids").alias("a_ids"), F.col("search").alias("a_search"), F.lit(True).alias("there"))
+    joined = requests.join(a, "request", "left")
+    there = F.col("there").isNotNull()
+    differs = lambda x, y: ~x.eqNullSafe(y)
+    codes = F.array_compact(
+        F.array(
+            F.when(~there, "UPSTREAM_ATTESTATION_UNAVAILABLE"),
+            F.when(there & differs(F.col("query_digest"), F.col("a_query")), "QUERY_DIGEST_MISMATCH"),
+            F.when(there & (differs(F.col("selection_digest"), selection_digest(F.col("a_query"), F.col("a_ids"))) | differs(F.array_sort("ids"), F.array_sort("a_ids"))), "SELECTION_DIGEST_MISMATCH"),
+            F.when(there & differs(F.col("a_search"), F.lit("complete")), "UPSTREAM_SEARCH_INCOMPLETE"),
+        )
+    )
+    told = joined.select("request", F.explode(codes).alias("code"))
+    sides = _canonical_claim(claims).withColumn("side", F.lit(1)).unionByName(_canonical_claim(attested_claims).withColumn("side", F.lit(-1)))
+    unequal = sides.groupBy("request", "claim").agg(F.sum("side").alias("d")).where("d <> 0").select("request").distinct()
+    known = joined.where(there).select("request")
+    return told.unionByName(known.join(unequal, "request", "left_semi").withColumn("code", F.lit("CLAIM_ATTESTATION_MISMATCH")))
+
+
+def request_status(requests: DataFrame, claims: DataFrame, attested: DataFrame, found: DataFrame) -> DataFrame:
+    """``request, status``: ``blocked-upstream`` without attestation, ``insufficient-evidence`` without ids or claims, else by findings."""
+    own = requests.join(attested.select("request", F.lit(True).alias("there")), "request", "left")
+    own = own.join(claims.groupBy("request").agg(F.count("*").alias("n")), "request", "left").join(found.groupBy("request").agg(F.count("*").alias("findings")), "request", "left")
+    status = F.when(F.col("there").isNull(), "blocked-upstream").when((F.coalesce(F.size("ids"), F.lit(0)) <= 0) | F.col("n").isNull(), "insufficient-evidence").when(F.col("findings").isNull(), "passed").otherwise("needs-review")
+    return own.select("request", status.alias("status"))

@@ -95,3 +95,33 @@ def latest_revision(rows: DataFrame, key: list[str], revision: str) -> DataFrame
     rest = [c for c in rows.columns if c not in key]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(revision)).alias("_row"))
     return last.select(*key, "_row.*").where("NOT deleted")
+
+
+def write_revisions(stored: DataFrame, writes: DataFrame, key: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Writes that expect a revision, against what is stored: the rows after them, and ``outcome, revision`` of each write.
+
+    ``stored`` has the key, ``revision``, ``deleted`` and values; ``writes`` the key, ``order``, ``expected`` (null to create),
+    ``deleted`` and the same values.  Writes of a key are taken in order: one is ``applied`` if it expects the revision
+    that is there then, and makes the next; any other is a ``conflict`` and is told the revision that is there.  A tombstone keeps its
+    row and revision, and is only written over by a write that expects that revision.  A key's writes of one call are folded together;
+    everything else stays distributed.
+    """
+    values = [c for c in stored.columns if c not in (*key, "revision")]
+    now = stored.select(*key, F.col("revision").alias("_revision"), F.struct(*values).alias("_stored"))
+    one = F.struct(F.col(order).alias("order"), F.col("expected").alias("expected"), F.struct(*values).alias("row"))
+    turns = writes.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("_writes")).join(now, key, "left")
+    outcome = "array<struct<order: " + writes.schema[order].dataType.simpleString() + ", outcome: string, revision: long>>"
+    row = turns.schema["_stored"].dataType.simpleString()
+    start = F.struct(F.col("_revision").cast("long").alias("revision"), F.col("_stored").cast(row).alias("row"), F.array().cast(outcome).alias("told"))
+
+    def step(state: Column, write: Column) -> Column:
+        fits = write["expected"].cast("long").eqNullSafe(state["revision"])
+        revision = F.when(fits, F.coalesce(state["revision"], F.lit(0).cast("long")) + 1).otherwise(state["revision"])
+        told = F.array(F.struct(write["order"].alias("order"), F.when(fits, "applied").otherwise("conflict").alias("outcome"), revision.alias("revision"))).cast(outcome)
+        return F.struct(revision.alias("revision"), F.when(fits, write["row"].cast(row)).otherwise(state["row"]).alias("row"), F.concat(state["told"], told).alias("told"))
+
+    folded = turns.select(*key, F.aggregate("_writes", start, step).alias("_end"))
+    outcomes = folded.select(*key, F.explode("_end.told").alias("_t")).select(*key, F.col("_t.order").alias(order), "_t.outcome", "_t.revision")
+    touched = folded.where("_end.revision IS NOT NULL").select(*key, F.col("_end.revision").alias("revision"), "_end.row.*")
+    rest = stored.join(folded.select(*key), key, "left_anti")
+    return rest.select(*key, "revision", *values).unionByName(touched.select(*key, "revision", *values)), outcomes

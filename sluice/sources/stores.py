@@ -37,6 +37,62 @@ def import_window(rows: DataFrame, known: DataFrame, key: list[str], at: str, un
     return rows.where(F.col(at) <= F.lit(until).cast("timestamp")).join(known.select(*key), key, "left_anti")
 
 
+def import_metrics(selected: DataFrame, stored: DataFrame, by: str, key: str) -> DataFrame:
+    """``by, is_total, selected, records, matched, missing, extra, duplicates`` of an import, by platform and, ``is_total`` 1, for all.
+
+    ``selected`` are the rows that were to come, ``stored`` those that are there (both ``by, key``).  A key is matched if both
+    have it, missing or extra if one has; stored rows beyond a key's first are duplicates.  One pass of grouping sets
+    over one row for each key.
+    """
+    count = lambda rows, name: rows.groupBy(by, key).agg(F.count("*").alias(name))
+    both = count(selected, "wanted").join(count(stored, "held"), [by, key], "full_outer")
+    return both.sparkSession.sql(
+        f"""
+        SELECT `{by}`, grouping(`{by}`) AS is_total, count_if(wanted IS NOT NULL) AS selected, coalesce(sum(held), 0) AS records,
+               count_if(wanted IS NOT NULL AND held IS NOT NULL) AS matched, count_if(held IS NULL) AS missing,
+               count_if(wanted IS NULL) AS extra, coalesce(sum(held - 1), 0) AS duplicates
+        FROM {{both}} GROUP BY GROUPING SETS ((`{by}`), ())""",
+        both=both,
+    )
+
+
+#: Parts into which keys are dealt before rows are compared.
+PARTS = 1024
+
+
+def _digests(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Rows as ``key``, their part, and a digest of their values."""
+    body = F.sha2(F.to_json(F.struct(*(F.col(c) for c in columns)), {"ignoreNullFields": "false"}), 256)
+    return rows.select(*key, F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int").alias("part"), body.alias("digest"))
+
+
+def _sums(rows: DataFrame, name: str) -> DataFrame:
+    """For each part the count of its rows and the sum of their digests' first 120 bits, so that order and place don't matter."""
+    number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("decimal(38,0)")
+    more = F.conv(F.substring("digest", 16, 15), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy("part").agg(F.struct(F.count("*"), F.sum(number), F.sum(more)).alias(name))
+
+
+def readback(source: DataFrame, stored: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """``key, problem``: what a readback finds - ``lost``, ``changed``, ``extra`` or ``repeated`` keys.
+
+    Both sides are summed up by part as multisets of digests first; only the rows of parts that differ are
+    matched by key, so a readback that finds nothing shuffles a few numbers.
+    """
+    a, b = _digests(source, key, columns), _digests(stored, key, columns)
+    differing = _sums(a, "a").join(_sums(b, "b"), "part", "full_outer").where("NOT a <=> b").select("part")
+    parts = F.broadcast(differing)  # PARTS numbers at most
+    group = lambda rows, n, d: rows.join(parts, "part", "left_semi").groupBy(*key).agg(F.count("*").alias(n), F.max("digest").alias(d), F.min("digest").alias(f"{d}_least"))
+    both = group(a, "n", "x").join(group(b, "m", "y"), key, "full_outer")
+    problem = (
+        F.when(F.col("m").isNull(), "lost")
+        .when(F.col("n").isNull(), "extra")
+        .when((F.col("x") != F.col("y")) | (F.col("x_least") != F.col("y_least")), "changed")
+        .when(F.col("n") != F.col("m"), "repeated")
+    )
+    return both.select(*key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def corpus(spark: SparkSession, n: int, seed: int = 1337) -> DataFrame:
     """``n`` search documents that depend on the seed and their number only."""
     draw = lambda name, k: F.pmod(F.xxhash64("id", F.lit(f"{seed}-{name}")), F.lit(k))
