@@ -39,7 +39,8 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    """Single lines of 50 words or more are passages by themselves here."""
+    return lines.dedup_lines(read_table(spark, sf_dir, "documents"), passage=50).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

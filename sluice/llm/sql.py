@@ -104,11 +104,20 @@ FROM ruled JOIN bounds USING (host)
 OP7 = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS j FROM d),
-inked AS (SELECT doc_id, ls, j, lead(j) OVER (PARTITION BY doc_id ORDER BY j) AS after_ FROM l WHERE regexp_matches(ls[j], '[^\x20\x09-\x0D]')),
+inked AS (SELECT doc_id, ls, j, ls[j] AS line, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS q, ('0x' || substr(md5(ls[j]), 1, 8))::BIGINT AS hash FROM l WHERE regexp_matches(ls[j], '[^\x20\x09-\x0D]')),
+win AS (SELECT a.doc_id, a.ls, a.q, a.j, b.j AS last, a.line AS one, b.line AS two, (a.hash * 31 + b.hash) % 4294967291 AS v FROM inked a JOIN inked b ON b.doc_id = a.doc_id AND b.q = a.q + 1),
+often AS (SELECT one, two FROM win GROUP BY one, two HAVING count(*) > 1),
+rep AS (SELECT win.* FROM win JOIN often ON win.one = often.one AND win.two = often.two),
+cuts AS (
+  SELECT m.doc_id, m.q FROM rep m JOIN rep b ON b.doc_id = m.doc_id AND b.q = m.q - 1 AND m.v < b.v JOIN rep a ON a.doc_id = m.doc_id AND a.q = m.q + 1 AND m.v < a.v
+  WHERE NOT EXISTS (SELECT 1 FROM rep f WHERE f.doc_id = m.doc_id AND abs(f.q - m.q) = 2 AND f.v <= m.v)),
+island AS (SELECT *, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS g FROM rep WHERE NOT EXISTS (SELECT 1 FROM cuts WHERE cuts.doc_id = rep.doc_id AND cuts.q = rep.q)),
+spans AS (SELECT doc_id, any_value(ls) AS ls, min(j) AS a, max(last) AS b, max(q) AS q FROM island GROUP BY doc_id, g),
+ended AS (SELECT s.doc_id, s.ls, s.a, coalesce(c.last - 1, s.b) AS b FROM spans s LEFT JOIN (SELECT rep.* FROM rep JOIN cuts ON cuts.doc_id = rep.doc_id AND cuts.q = rep.q) c ON c.doc_id = s.doc_id AND c.q = s.q + 1),
 pieces AS (
-  SELECT doc_id, j AS a, after_ AS b, array_to_string(ls[j:after_], chr(10)) AS chunk FROM inked WHERE after_ IS NOT NULL
+  SELECT doc_id, a, b, array_to_string(ls[a:b], chr(10)) AS chunk FROM ended
   UNION ALL
-  SELECT doc_id, j, j, ls[j] FROM inked WHERE len(regexp_extract_all(ls[j], '[^\x20\x09-\x0D]+')) >= 50),
+  SELECT doc_id, j, j, line FROM inked WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
 seen AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS nth FROM pieces),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS j FROM seen WHERE nth > 1),
 kept AS (

@@ -1,4 +1,7 @@
+import hashlib
+import random
 import re
+from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
@@ -9,9 +12,9 @@ from sluice.llm.sql import ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 
 
-def run(spark, rows):
+def run(spark, rows, passage=50):
     df = spark.createDataFrame([(i, t, "x", 9) for i, t in rows], "doc_id long, text string, chunk string, n int")
-    out = lines.dedup_lines(df)
+    out = lines.dedup_lines(df, passage=passage)
     assert out.columns[:3] == ["doc_id", "chunk", "n"]
     return sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["n_lines"], r["n_removed"]) for r in out.collect() if r["text"] is not None)
 
@@ -52,25 +55,77 @@ def test_short_passages_go_whatever_surrounds_them(spark):
             assert text == "\n".join(x for x in whole.split("\n") if k == 1 or x not in passage)
 
 
-def brute(docs):
-    """What is left by places of pairs of lines and long lines, with Python's dicts."""
+def brute(docs, passage=50):
+    """What is left by chunks between boundaries, with Python's dicts."""
     ink = re.compile(r"[^\x20\x09-\x0D]")
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    texts = {k: t.split("\n") for k, t in docs}
+    full = {k: [j for j, x in enumerate(ls) if ink.search(x)] for k, ls in texts.items()}
+    pairs = {k: [(texts[k][a], texts[k][b]) for a, b in zip(f, f[1:])] for k, f in full.items()}
+    times = Counter(p for ps in pairs.values() for p in ps)
     found, per = {}, {}
-    for k, text in sorted(docs):
-        ls = text.split("\n")
-        full = [j for j, x in enumerate(ls) if ink.search(x)]
-        per[k] = [(a, b) for a, b in zip(full, full[1:])] + [(j, j) for j in full if len(re.findall(r"[^\x20\x09-\x0D]+", ls[j])) >= 50]
+    for k in sorted(texts):
+        f = full[k]
+        v = {q: (number(a) * 31 + number(b)) % 4294967291 for q, (a, b) in enumerate(pairs[k]) if times[a, b] > 1}
+        least = {q for q in v if all(q + d in v and v[q] < v[q + d] for d in (-1, 1)) and all(q + d not in v or v[q] < v[q + d] for d in (-2, 2))}
+        per[k], q = [], 0
+        kept = sorted(set(v) - least)
+        while q < len(kept):
+            to = q
+            while to + 1 < len(kept) and kept[to + 1] == kept[to] + 1:
+                to += 1
+            end = kept[to] + 1
+            per[k].append((f[kept[q]], f[end + 1] - 1 if end in least else f[end]))
+            q = to + 1
+        per[k] += [(j, j) for j in f if passage and len(re.findall(r"[^\x20\x09-\x0D]+", texts[k][j])) >= passage]
         for a, b in per[k]:
-            s = "\n".join(ls[a : b + 1])
-            found[s] = min(found.get(s, (k, a)), (k, a))
+            chunk = "\n".join(texts[k][a : b + 1])
+            found[chunk] = min(found.get(chunk, (k, a)), (k, a))
     out = {}
-    for k, text in docs:
-        ls = text.split("\n")
+    for k, ls in texts.items():
         gone = {j for a, b in per[k] if found["\n".join(ls[a : b + 1])] != (k, a) for j in range(a, b + 1)}
         out[k] = (len(ls), len(gone), "\n".join(x for j, x in enumerate(ls) if j not in gone))
     return out
 
 
+def test_chunks_go_whole_and_one_of_each_stays_whole(spark):
+    rows = [(1, "A\nB"), (2, "A\nB\nC"), (3, "B\nC\nD")]
+    assert [(t, n) for _, t, _, n in run(spark, rows, None)] == [("A\nB", 0), ("A\nB\nC", 0), ("B\nC\nD", 0)]
+    rows = [(1, "x\nA\nB\ny"), (2, "A\nB\nC"), (3, "A\nB\nC"), (4, "A\nB")]
+    assert [t for _, t, _, _ in run(spark, rows, None)] == ["x\nA\nB\ny", "A\nB\nC", "", ""]
+
+
+def test_a_change_in_one_line_keeps_the_chunks_around_it(spark):
+    body = [f"line {i} of a long text" for i in range(200)]
+    edited = [[f"edit {k}" if i == 20 * k else x for i, x in enumerate(body)] for k in range(1, 9)]
+    rows = [(0, "\n".join(body))] + [(k + 1, "\n".join(e)) for k, e in enumerate(edited)]
+    got = run(spark, rows, None)
+    assert got[0][3] == 0 and all(n >= 180 for _, _, _, n in got[1:])
+    shifted = [(0, "\n".join(body)), (1, "\n".join(["new first line", *body[:77], "inserted", *body[77:]]))]
+    assert run(spark, shifted, None)[1][3] >= 190
+
+
+def test_recall_on_planted_passages(spark):
+    rng = random.Random(12)
+    passages = [[f"passage {p} line {i} {rng.random()}" for i in range(2 + p % 5)] for p in range(40)]
+    rows, planted = [], 0
+    for k in range(400):
+        own = [f"own {k} {j} {rng.random()}" for j in range(rng.randint(2, 8))]
+        at = rng.randint(0, len(own))
+        rows.append((k, "\n".join([*own[:at], *passages[k % 40], *own[at:]])))
+        planted += len(passages[k % 40]) if k >= 40 else 0
+    got = run(spark, rows, None)
+    assert all(n == 0 for k, _, _, n in got if k < 40)
+    assert sum(n for _, _, _, n in got) >= 0.99 * planted and all(n <= len(passages[k % 40]) for k, _, _, n in got)
+
+
+def test_random_texts_equal_brute_force(spark):
+    rng = random.Random(13)
+    few = [f"l{i}" for i in range(14)] + ["", " "]
+    rows = [(k, "\n".join(rng.choices(few, k=rng.randint(1, 40)))) for k in range(150)]
+    assert {k: (n, r, t) for k, t, n, r in run(spark, rows, None)} == brute(rows, None)
+
+
 def test_table_equals_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op7_lines(spark, SF).collect()} == brute(docs)

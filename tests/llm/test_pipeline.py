@@ -64,7 +64,7 @@ def test_language_keeps_what_it_can_tell(stages):
 
 def test_line_dedup_drops_no_document(stages):
     assert {k for k, _ in pairs(stages[1])} == {k for k, _ in pairs(stages[2])}
-    want = dict(lines.dedup_lines(stages[1]).select("doc_id", "text").collect())
+    want = dict(lines.dedup_lines(stages[1], passage=50).select("doc_id", "text").collect())
     assert dict(pairs(stages[2])) == want
     assert stages[2].where(F.length("text") != F.col("n_chars")).count() == 0
 
