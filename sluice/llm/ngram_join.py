@@ -234,9 +234,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     own = real.join(classes, ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"])
     shared = own.select("id", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "p")).select("id", "n", "pos", F.col("p.prefix").alias("h"), F.col("p.often").alias("often"))
     least = F.min(F.struct("id", "n", "pos"))
-    # Hot shingles are no more than counters by HOT_TIMES: a table of fixed size.
-    hot = cut(shared.where("often").groupBy("h").agg(F.count("*").alias("all"), least.alias("least")), "hot-shingles")
-    shared = shared.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    # A counter is shared by many shingles, so those that only share it with a frequent one are told apart by their own count.
+    hot = shared.where("often").groupBy("h").agg(F.count("*").alias("all"), least.alias("least")).where(F.col("all") >= HOT_DOCUMENTS)
+    hot = cut(hot, "hot-shingles")
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    shared = shared.join(hot, "h", "left").withColumn("salt", F.when(F.col("all").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0))
     together = Window.partitionBy("h", "salt")
     by_size = together.orderBy("n", "id")
     shared = shared.withColumns({"pid": F.lag("id").over(by_size), "pn": F.lag("n").over(by_size), "ppos": F.lag("pos").over(by_size), "k": F.coalesce("all", F.count("*").over(together)), "first": F.coalesce("least", least.over(together))})

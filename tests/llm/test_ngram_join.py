@@ -71,3 +71,14 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(500, 501), (7, 7), (501, 500)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {500: 500, 501: 500}
+
+
+@pytest.mark.parametrize(("documents", "broadcast"), [(3, 0), (3, 10), (30, 500_000), (10**6, 0)])
+def test_frequent_shingles_by_any_join(spark, monkeypatch, documents, broadcast):
+    """Counters that many shingles share, few or all of them frequent, whether the table of frequent ones is broadcast or not."""
+    monkeypatch.setattr(ngram_join, "HOT_DOCUMENTS", documents)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    docs = chains(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.link(df).collect()} == brute(docs)
