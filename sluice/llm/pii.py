@@ -175,10 +175,10 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Null and empty texts have no spans; null keys and repeated rows are returned row by row; other
     columns, whatever their names, are not read.  An empty table gives an empty result.
     """
-    out = df.select(df[key].alias(key), F.coalesce(df[text].cast("string"), F.lit("")).alias("_text"))
+    out = df.select(df[key].alias("k"), F.coalesce(df[text].cast("string"), F.lit("")).alias("t"))
     for kind in BASE + ADDED:
-        out = out.withColumn(f"_{kind.name}", proposed(F.col("_text"), kind))
-    return out.select(key, *(placed(F.col("_text"), k, F.col(f"_{k.name}")).alias(k.name) for k in BASE + ADDED))
+        out = out.withColumn(f"_{kind.name}", proposed(F.col("t"), kind))
+    return out.select(F.col("k").alias(key), *(placed(F.col("t"), k, F.col(f"_{k.name}")).alias(k.name) for k in BASE + ADDED))
 
 
 def written(spans: list[str]) -> Column:

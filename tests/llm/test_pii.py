@@ -128,3 +128,8 @@ def test_added_kinds_equal_brute_force(spark):
 def test_odd_rows(odd_documents, no_documents):
     assert pii.detect(odd_documents).count() == odd_documents.count()
     assert pii.detect(no_documents).count() == 0
+
+
+def test_key_of_a_clashing_name(spark):
+    df = spark.createDataFrame([("mail a@b.nl", 7, "x")], "text string, _text long, t string")
+    assert [(r["_text"], len(r["email"])) for r in pii.detect(df, key="_text").collect()] == [(7, 1)]
