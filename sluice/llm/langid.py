@@ -27,12 +27,10 @@ from sluice.shipping import ship
 SPAN, UNITS, BESIDE = 64, 12, 1024
 #: The sample that is learned from: at most so many documents in all, so many windows of each.
 SAMPLE_DOCUMENTS, WINDOWS = 2000, 8
-#: Languages that are learned at most, the most frequent ones.
-MOST_LANGUAGES = 200
 #: Training: steps, windows in a step, and Adam's rate at the start and the end.
 STEPS, BATCH, RATES = 400, 160, (0.03, 0.003)
 UNKNOWN = "und"
-#: Part of the way from chance to what rightly predicted windows score that a document must reach, and bytes below which a text says too little to be rejected.
+#: Part of the way from chance to what rightly predicted windows score that a long document must reach, and bytes at which a text must reach half of that.
 REACHED, TELLING = 0.4, 2 * SPAN
 
 
@@ -193,9 +191,10 @@ class Runner:
         owner, begin, length = owner[whole_first], begin[whole_first], length[whole_first]
         total = np.zeros((len(size), len(self.m.langs)))
         step = np.arange(SPAN)[:, None]
-        states = np.empty((SPAN, 2 * UNITS, BESIDE), np.float32)
-        for at in range(0, len(owner), BESIDE):
-            own = slice(at, at + BESIDE)
+        beside = max(8, BESIDE * 128 // max(128, len(self.m.langs)))  # so that memory doesn't grow with the languages
+        states = np.empty((SPAN, 2 * UNITS, beside), np.float32)
+        for at in range(0, len(owner), beside):
+            own = slice(at, at + beside)
             inside = step < length[own]
             x = np.where(inside, data[np.minimum(begin[own] + step, max(len(data) - 1, 0))], 0).astype(np.intp)
             both = states[:, :, : x.shape[1]]
@@ -220,11 +219,11 @@ def held_out(key: Column) -> Column:
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[bytes], list[str]]:
     """Windows and labels from at most ``SAMPLE_DOCUMENTS`` labelled documents that aren't held out, spread evenly over languages by a hash of the id.
 
-    Languages are the ``MOST_LANGUAGES`` most frequent, ties by code point.  Null texts, labels and ids teach nothing;
+    So it holds as many languages at most; of more the most frequent are learned, ties by code point.  Null texts, labels and ids teach nothing;
     long texts give windows from their beginning to their end; an empty table gives nothing.
     """
     usable = docs.select(docs[key].alias("id"), docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("t")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE_DOCUMENTS)
     counts = {r["lang"]: r["n"] for r in known.collect()}
     if not counts:
         return [], []
@@ -296,10 +295,16 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "lang_pred", "score")
 
 
+def required(least: float, languages: int, size: np.ndarray) -> np.ndarray:
+    """The score that texts of ``size`` bytes must reach: from chance for an empty one towards ``least`` as evidence grows."""
+    chance = 1 / max(languages, 1)
+    return np.full(len(size), least) if least <= chance else chance + (least - chance) * size / (size + TELLING)
+
+
 def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more.
+    """The rows of ``docs``, with all their columns, whose language is known with the score that their length asks for (:func:`required`).
 
-    Null and empty texts and those without any letter go; texts with letters of fewer than ``TELLING`` bytes stay.  If the model knows no language, as nothing was labelled,
+    Null and empty texts and those without any letter go.  If the model knows no language, as nothing was labelled,
     no text can be told from another and all rows stay.  Long texts are judged whole; repeated rows and null keys are
     judged one by one; other columns are passed on, whatever their names; an empty table gives an empty result.
     """
@@ -314,7 +319,7 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
         run = Runner(shared.value)
         for b in batches:
             best, score = _labelled(run, b.column(at), b.column(b.num_columns - 1))
-            short = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False) < TELLING
-            yield b.select(range(b.num_columns - 1)).filter(pa.array((best != UNKNOWN) & ((score >= least) | short)))
+            size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+            yield b.select(range(b.num_columns - 1)).filter(pa.array((best != UNKNOWN) & (score >= required(least, len(shared.value.langs), size))))
 
     return plain.withColumn("has", _has_letter(column(text))).mapInArrow(keep, plain.schema).toDF(*docs.columns)

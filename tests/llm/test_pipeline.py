@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,8 +58,9 @@ def test_language_keeps_what_it_can_tell(stages):
     model = langid.train(windows, labels)
     least = langid.threshold(model, windows, labels, corpus_pipeline.LEAST_SCORE)
     got = langid.predict(stages[0], model).collect()
-    short = {k for k, t in pairs(stages[0]) if len((t or "").encode()) < langid.TELLING}
-    want = {r["doc_id"] for r in got if r["lang_pred"] != "und" and (r["score"] >= least or r["doc_id"] in short)}
+    size = {k: len((t or "").encode()) for k, t in pairs(stages[0])}
+    asked = lambda k: langid.required(least, len(model.langs), np.array([size[k]]))[0]
+    want = {r["doc_id"] for r in got if r["lang_pred"] != "und" and r["score"] >= asked(r["doc_id"])}
     assert {k for k, _ in pairs(stages[1])} == want and len(want) > 0.97 * len(got)
 
 
