@@ -15,6 +15,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions import stems
+
 #: Rows that a result may be paged through.
 WINDOW = 1000
 #: Seconds to which the clock is floored when deadlines are compared.
@@ -121,9 +123,21 @@ def partition(now: datetime, recent_days: int | None = None) -> Column:
     return F.when(F.col("status").isin("closed", "stale") | passed, "archive").otherwise("active")
 
 
-def store(documents: DataFrame, path: str, now: datetime, recent_days: int | None = None) -> None:
-    """Search documents written by partition, so that a search of the active ones reads no other files."""
+def forms(words: str, stored: Column) -> Column:
+    """The words, one after the other and in whatever form, occur in a ``stems`` column that :func:`store` has written."""
+    return stored.contains(F.concat(F.lit(" "), stems.stemmed(F.lit(words)), F.lit(" ")))
+
+
+def store(documents: DataFrame, path: str, now: datetime, recent_days: int | None = None, searched: tuple[str, ...] = ()) -> None:
+    """Search documents written by partition, so that a search of the active ones reads no other files.
+
+    With ``searched`` columns their lower-cased ``haystack`` and the ``stems`` of its words, a space around each, are
+    written once, so that no query makes them again.
+    """
     placed = documents.withColumn("partition", partition(now, recent_days))
+    if searched:
+        stemmed = F.concat(F.lit(" "), stems.stemmed(F.concat_ws(" ", *searched)), F.lit(" "))
+        placed = placed.withColumns({"haystack": haystack(*searched), "stems": stemmed})
     placed.repartition("partition", F.pmod(F.xxhash64("id"), F.lit(64))).write.mode("overwrite").partitionBy("partition").parquet(path)
 
 
@@ -132,7 +146,7 @@ def scope(stored: DataFrame, name: str) -> DataFrame:
     return stored.where(F.col("partition") == "active") if name == "active" else stored
 
 
-#: Facts under which a column is found where it is empty itself.
+#: Facts under which a column is found where it is empty itself (fixed values).
 FALLBACKS = {"rate_unit": ("tarief_eenheid", "tariefEenheid"), "contract": ("contracttype", "contract_type"), "work_form": ("werkvorm",)}
 
 

@@ -170,3 +170,17 @@ def test_all_words_of_the_table(spark):
 def test_texts_meet_in_their_stems(spark):
     df = spark.createDataFrame([("Java-engineers, opdrachten!", "java engineer opdracht"), ("De huizen; groepen", "de HUIZEN groep"), (None, None), ("", "")], "a string, b string")
     assert all(r["x"] == r["y"] for r in df.select(stems.stemmed(F.col("a")).alias("x"), stems.stemmed(F.col("b")).alias("y")).collect())
+
+
+def test_stored_documents_are_found_by_any_form(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from sluice.operators import search
+
+    rows = [(1, "Java-engineers gezocht", "voor opdrachten in huizen", "active"), (2, "Engineering", "een groep", "active"), (3, "Engineer", None, "closed")]
+    docs = spark.createDataFrame(rows, "id long, title string, text string, status string").withColumns({"closing": F.lit(None).cast("timestamp"), "last_seen": F.lit("2024-01-01").cast("timestamp")})
+    search.store(docs, str(tmp_path / "s"), datetime(2024, 1, 2, tzinfo=timezone.utc), searched=("title", "text"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    found = lambda words, name="all": sorted(r["id"] for r in search.scope(stored, name).where(search.forms(words, F.col("stems"))).collect())
+    assert found("engineer") == [1, 2, 3] and found("engineered", "active") == [1, 2] and found("groepen") == [2] and found("java engineer") == [1] and found("opdracht") == [1] and found("gin") == []
+    assert [r["id"] for r in stored.where(search.term("JAVA-eng", F.col("haystack"))).collect()] == [1]
