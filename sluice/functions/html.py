@@ -73,10 +73,16 @@ def label_blocks(markup: Column, description: Column, fields: dict[str, tuple[st
     return F.map_filter(F.create_map(*cells), lambda k, v: v != "")
 
 
+#: Words that pages are furnished with, and how notices about cookies begin (fixed values).
+FURNITURE = r"accept(?:eer| all)? cookies?|cookie(?:s|beleid)?|home(?:page)?|menu|navigatie|inloggen|registreren|privacy(?:beleid)?|contact"
+NOTICE = r"(?is)^(?:accep\w+|allow|manage|we use)\b.*\bcookies?\b"
+
+
 def usable(description: Column) -> Column:
-    """The description without page furniture, if it has 24 characters and four words and is no cookie notice."""
+    """The description without page furniture, if it has 24 characters and four words and is no notice about cookies."""
     body = strip(F.regexp_replace(description, r"(?is)<(nav|header|footer|aside|script|style|form)\b.*?</\1>", " "))
-    fits = (F.length(body) >= 24) & (F.size(F.split(body, " ")) >= 4) & ~F.lower(body).rlike("^(?:cookie|wij gebruiken cookies|we use cookies)")
+    furniture = rf"(?i)^(?:{FURNITURE})(?:[\s|•·:/-]+(?:{FURNITURE}))*[.!?]?\s*$"
+    fits = (F.length(body) >= 24) & (F.size(F.split(body, " ")) >= 4) & ~body.rlike(furniture) & ~body.rlike(NOTICE)
     return F.when(fits, body)
 
 

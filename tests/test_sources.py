@@ -22,6 +22,36 @@ def test_listing_to_drafts(spark, tmp_path):
     assert got["R-1"]["problems"] == ["no title", "no description"] and got[None]["problems"] == ["no key", "no description"]
 
 
+#: A stored record of each site, and what of its draft follows from it.
+STORED = {
+    "opdrachtoverheid": ({"tender_id": "t1", "tender_name": "Adviseur", "tender_buying_organization": "Gemeente", "vacancies_location": {"province": "Zuid-Holland"}, "tender_min_hours": 0, "tender_max_hours": 0, "tender_hours_week": "32", "tender_tariff": "maximaal 106,50", "tender_offline_date": "2026-09-01", "education_level_obj": {"education_level_label": "Onbekend"}},
+                         {"ref": "t1", "description": "Adviseur", "place": "Zuid-Holland", "province": "Zuid-Holland", "hours_min": 32.0, "hours_max": 32.0, "rate": (None, 106.5, "uur"), "education": None}),
+    "mercell": ({"TenderId": 12, "TenderName": "Wegen", "TenderDescription": "<p>Onderhoud van wegen</p>", "OrganizationName": "Provincie", "Deadline": "2026-09-01T10:00:00Z"}, {"ref": "12", "description": "Onderhoud van wegen", "client": "Provincie"}),
+    "needstaffing": ({"detail": {"id": "15599", "titel": "PM", "locatie": "Den Haag", "uren": "32 - 36 uur", "start": "1788220800000", "deadline": "1788220800000", "tarief": "€ 80 - 95 per uur", "tariefMin": "80", "tariefMax": "95,5", "werkvorm": "Hybride", "periode": "4 maanden", "competenties": ["Scherp", " scherp ", "Rust"]}, "listing": {"opdrachtgeverNaam": "Rijk"}, "raw": {"html": "<p>Tekst</p>"}},
+                     {"ref": "15599", "hours_min": 32.0, "hours_max": 36.0, "rate": (80.0, 95.5, "uur"), "work_form": "hybride", "duration": "4 maanden", "skills": ["Scherp", "Rust"], "starts": "2026-09-01T00:00:00.000Z"}),
+    "flinter": ({"listing": {"slug": "vergunning", "titel": "V", "locatiePlaats": "Ede", "looptijdTekst": "1 jr"}, "detail": {"titel": "Vergunning", "beschrijvingHtml": "", "urenPerWeek": "36"}}, {"ref": "vergunning", "description": "Vergunning", "hours_max": 36.0, "duration": "1 jr", "starts": None, "closing": None}),
+    "freelancer-nl": ({"listing": {"titel": "x", "budget": "€30 — €40 Per Uur"}, "detail": {"bronReferentie": "f1", "titel": "Site", "omschrijvingHtml": "<p>Bouw</p>", "geplaatst": "Geplaatst 12 uur geleden", "start": "01-10-2026", "skills": ["PHP"]}}, {"ref": "f1", "rate": (30.0, 40.0, "uur"), "starts": "2026-10-01", "posted": None, "skills": ["PHP"]}),
+    "prounity": ({"detail": {"uuid": "u", "titel": "Dev", "land": "Belgium", "periode": "12/10/2026 - 31/12/2026", "duur": "2 months", "skills": [{"naam": "Java"}, {"naam": "Go"}]}, "listing": {"url": "x"}, "raw": {"html": "<p>Mission</p>"}}, {"starts": "2026-10-12", "ends": "2026-12-31", "skills": ["Java", "Go"], "place": "Belgium"}),
+    "linkedin": ({"listing": {"bronReferentie": "jobs/view/a-1", "titel": "Dev", "opdrachtgever": "B", "locatie": "Utrecht", "geplaatst": "2026-09-01"}, "detail": {"description": "<b>Freelance</b> werk"}}, {"ref": "jobs/view/a-1", "client": "B", "contract": "freelance", "province": "Utrecht"}),
+    "indeed": ({"jobkey": "k", "card": {"company": "C", "pubDate": 1788220800000, "extractedSalary": {"min": 0, "max": 45, "type": "HOURLY"}}, "detail": {"jobTitle": "Dev", "formattedLocation": "Delft, Zuid-Holland", "remoteWorkModel": {"text": "Hybride werken"}, "sanitizedJobDescription": "<p>Iets</p>"}}, {"ref": "k", "client": "C", "rate": (None, 45.0, "uur"), "province": "Zuid-Holland", "work_form": "hybride"}),
+}
+
+
+def test_every_site_has_drafts(spark):
+    assert set(STORED) | {"striive", "inhuurdesk", "tenderned", "onefellow", "ctm", "harveynash", "werk-nl"} == set(listings.SITES)
+    for name, (record, want) in STORED.items():
+        site = listings.SITES[name]
+        pages = spark.createDataFrame([(json.dumps({site.records[2:]: [record, {}]}),)], "payload string")
+        draft, empty = listings.drafts(listings.records(pages, site), site).collect()
+        got = {k: tuple(draft[k]) if k == "rate" else draft[k] for k in want}
+        assert got == want, name
+        assert empty["ref"] is None and empty["problems"][0] == "no key" and empty["skills"] == []
+    freelancer = listings.SITES["freelancer-nl"]
+    fixed = json.dumps({"items": [{"listing": {"budget": "€1000 — €2000 Vaste Prijs"}, "detail": {"titel": "Site"}}]})
+    draft = listings.drafts(listings.records(spark.createDataFrame([(fixed,)], "payload string"), freelancer), freelancer).first()
+    assert draft["rate"] is None or tuple(draft["rate"])[:2] == (None, None)
+
+
 def test_excluded_keeps_the_first_of_each_url(spark):
     df = spark.createDataFrame([(0, "/a"), (1, "/login"), (2, "/b"), (3, "/a")], "pos int, url string")
     assert [r["pos"] for r in listings.excluded(df, "url", ["login"]).orderBy("pos").collect()] == [0, 2]
