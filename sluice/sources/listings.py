@@ -122,8 +122,8 @@ def _rate(text: Column) -> Column:
     return F.when((low.isNotNull() | high.isNotNull()) & unit.isNotNull(), stated).otherwise(values.rate(text))
 
 
-def drafts(rows: DataFrame, site: Site) -> DataFrame:
-    """Records as drafts: plain texts, parsed hours, rate, contract, province and dates, keys, hash and problems."""
+def drafts(rows: DataFrame, site: Site, also: tuple[str, ...] = ()) -> DataFrame:
+    """Records as drafts: plain texts, parsed hours, rate, contract, province and dates, keys, hash and problems, and columns of ``also``."""
     raw = rows.select(*[c for c in rows.columns if c != "record"], "record", bounded(_at(site, "ref"), 512).alias("ref"), *(_at(site, n).alias(n) for n in DRAFT))
     title, text = html.strip(F.col("title")), html.strip(F.col("description"))
     typed = F.regexp_replace(F.coalesce("rate_text", F.lit("")), "[‐-―−]", "-")
@@ -137,7 +137,7 @@ def drafts(rows: DataFrame, site: Site) -> DataFrame:
         F.coalesce(values.contract_form(F.col("contract_text")), contracts.contract_in_text(F.concat_ws(" ", title, text))).alias("contract"),
         F.coalesce(values.work_form(F.col("work_form")), values.work_form(F.concat_ws(" ", title, text))).alias("work_form"), dedup_key(title, F.col("client"), F.col("starts")).alias("dedup_key"),
         F.sha2("record", 256).alias("hash"), problems.alias("problems"), "education", "duration",
-        F.coalesce(values.skills(F.from_json("skills", "array<string>")), F.array().cast("array<string>")).alias("skills"),
+        F.coalesce(values.skills(F.from_json("skills", "array<string>")), F.array().cast("array<string>")).alias("skills"), *also,
     )
 
 
