@@ -13,6 +13,11 @@ NUMBER = r"(\d+(?:[.,]\d+)?)"
 HOURS_UNIT = r"\s*(?:u(?:ur)?|hours?|hrs?)\b"
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for the row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
@@ -31,7 +36,10 @@ def _group(text: Column, pattern: str, i: int = 1) -> Column:
 
 def hours_range(text: Column) -> Column:
     """``struct<min, max>`` of a written number of hours: ``36``, ``32-40``, ``>= 32``, ``<= 40``; anything else is unknown."""
-    t = F.trim(text)
+    return _once(F.trim(text), _hours_range)
+
+
+def _hours_range(t: Column) -> Column:
     one, band = rf"^{NUMBER}$", rf"^{NUMBER}\s*[-–—]\s*{NUMBER}$"
     low, high = rf"^[≥>=]\s*{NUMBER}$", rf"^[≤<=]\s*{NUMBER}$"
     a, b = _number(_group(t, band, 1)), _number(_group(t, band, 2))
@@ -42,6 +50,10 @@ def hours_range(text: Column) -> Column:
 
 def hours_text(text: Column) -> Column:
     """``36`` or ``32–40`` from free text; a band joined by a word is tried before one joined by a dash, a bare number last."""
+    return _once(text, _hours_text)
+
+
+def _hours_text(text: Column) -> Column:
     word = rf"(?i){NUMBER}\s*(?:en|tot|t/m)\s*{NUMBER}{HOURS_UNIT}"
     dash = rf"(?i){NUMBER}\s*(?:[-–]\s*{NUMBER})?{HOURS_UNIT}"
     bare = rf"^{NUMBER}(?:\s*[-–]\s*{NUMBER})?$"
@@ -88,11 +100,6 @@ def amount(text: Column) -> Column:
     return F.when(~ambiguous & ~cents.contains(".") & (F.size(F.split(text, ",", -1)) <= 2), F.concat(plain, F.lit("."), F.concat(cents, F.lit("0"))).try_cast("double"))
 
 
-def _once(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once for the row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def amounts(text: Column) -> Column:
     """``array<struct<value, before, after>>``: every amount of a lower-cased text with what is written on either side of it."""
     parts = F.struct(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)).alias("found"), F.split(text, AMOUNT, -1).alias("gaps"))
@@ -108,6 +115,10 @@ def rate(text: Column) -> Column:
     maximum.  Rank 3, in a text that speaks of money: two amounts with a dash between, unless a third follows (a date) or a
     word for people or periods.  Rank 4: one marked amount, as maximum.  Within a rank the first in the text.
     """
+    return _once(text, _rate)
+
+
+def _rate(text: Column) -> Column:
     shape = F.struct
     none = F.lit(None).cast("double")
     ends = lambda low, high: shape(low.alias("min"), high.alias("max"))
