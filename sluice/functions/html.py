@@ -54,6 +54,10 @@ def between_labels(text: Column, labels: dict[str, str]) -> Column:
 
     Blanks and what stands for no value are left out.
     """
+    return values._once(text, lambda bound: _between_labels(bound, labels))
+
+
+def _between_labels(text: Column, labels: dict[str, str]) -> Column:
     stops = "|".join(re.escape(label) for label in labels.values())
     cells = []
     for name, label in labels.items():

@@ -165,3 +165,74 @@ def pages_labelled(t):
     made = F.concat(F.lit("<dl><dt>Functie</dt> <dd><b>"), html.title(F.col("html")), F.lit("</b>.</dd></dl><table><tr><th>Waar</th><td>"), host, F.lit(" ,</td></tr></table>"), "html")
     plain = F.array_join(F.transform(F.split(html.labelled(made), "\n"), html.strip), "\n")
     return t.pages.select("page_id", html.value_of(plain, "Functie").alias("listed"), html.value_of(plain, "Waar").alias("tabled"))
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '.'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+c AS (SELECT doc_id, unnest(['place', 'hours', 'rate']) AS field, unnest(l[1:3]) AS s FROM s), v AS (SELECT doc_id, field, regexp_replace(s, '[\s.,;:|–-]+$', '') AS value FROM c WHERE s IS NOT NULL)
+SELECT doc_id, field, value FROM v WHERE value <> '' AND lower(value) NOT IN ('-', 'n.v.t', 'nvt', 'onbekend', 'geen', 'in overleg', 'nader te bepalen')""")
+def texts_between_labels(t):
+    """Every sentence of every text behind a label, by turns of three; the first of each label counts."""
+    labels = {"place": "Locatie", "hours": "Uren per week", "rate": "Tarief"}
+    sentences = F.filter(F.transform(F.split(html.strip(F.col("text")), r"\."), lambda s: F.trim(s)), lambda s: s != "")
+    marks = F.array(*(F.lit(f"{label}: ") for label in labels.values()))
+    line = F.array_join(F.transform(sentences, lambda s, i: F.concat(F.get(marks, (i % len(labels)).cast("int")), s)), ". ")
+    return t.documents.select("doc_id", F.explode(html.between_labels(line, labels)).alias("field", "value"))
+
+
+@query(rf"""
+WITH b AS (SELECT page_id, page_id % 3 AS k, trim(regexp_replace(regexp_replace({_REMOVED}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body, {_LIST_SQL} AS title FROM pages)
+SELECT page_id, md5(CASE WHEN k = 0 AND length(title) >= 24 AND len(string_split(title, ' ')) >= 4 THEN title WHEN k < 2 AND length(body) >= 24 AND len(string_split(body, ' ')) >= 4 THEN body END) AS digest FROM b""")
+def pages_described(t):
+    """Titles as linked data's descriptions where they will do, else the whole page as a main part, where there is one."""
+    k = F.col("page_id") % 3
+    linked = F.when(k == 0, F.concat(F.lit("<p>"), html.title(F.col("html")), F.lit("</p>"))).otherwise("kort")
+    page = F.when(k < 2, F.concat(F.lit("<nav>x</nav><main id='m'>"), "html", F.lit("</main>"))).otherwise(F.col("html"))
+    return t.pages.select("page_id", F.md5(html.description(linked, page)).alias("digest"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) - 3600001 WHEN 1 THEN epoch_ms(date_trunc('second', ts)) - 3600000 WHEN 2 THEN epoch_ms(date_trunc('second', ts)) WHEN 3 THEN epoch_ms(date_trunc('second', ts)) - 19800000 END AS closing_ms
+FROM events WHERE month(ts) IN (1, 2, 11, 12)""")
+def events_closing(t):
+    """Moments of winter as deadlines: days end with the local day, times without offset are local, offsets are honoured."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 5
+    of = lambda form: F.date_format(ts, form)
+    stamp = of("yyyy-MM-dd'T'HH:mm:ss")
+    written = F.when(k == 0, F.concat(F.lit(" "), of("yyyy-MM-dd"))).when(k == 1, stamp).when(k == 2, F.concat(stamp, F.lit("Z"))).when(k == 3, F.concat(stamp, F.lit("+05:30"))).otherwise(of("dd MMM"))
+    return t.events.where(F.month("ts").isin(1, 2, 11, 12)).select("event_id", F.unix_millis(values.closing_moment(written)).alias("closing_ms"))
+
+
+@query(r"""
+WITH p AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN NULL ELSE regexp_extract(text, '^\s*(\S+)', 1) END AS name, CASE WHEN length(text) % 2 = 0 THEN role || length(text) % 5 || '@x.nl' END AS email, CASE WHEN length(text) % 5 = 0 THEN role END AS kind FROM conversations),
+k AS (SELECT * FROM p WHERE email IS NOT NULL OR (trim(name) <> '' AND trim(kind) <> '')), f AS (SELECT conv_id, name, email, min(turn) AS turn FROM k GROUP BY 1, 2, 3)
+SELECT conv_id, coalesce((SELECT string_agg(coalesce(name, '-') || ':' || coalesce(email, '-'), ',' ORDER BY turn, name, email) FROM f WHERE f.conv_id = c.conv_id), '') AS kept FROM (SELECT DISTINCT conv_id FROM conversations) c""")
+def conversations_contacts(t):
+    """The speakers of each conversation as contacts, in the order of their turns; some can't be reached, some come again in capitals."""
+    n = F.length("text")
+    name = F.when(n % 3 != 0, F.regexp_extract("text", r"^\s*(\S+)", 1))
+    email = F.when(n % 2 == 0, F.concat("role", (n % 5).cast("string"), F.when(F.col("turn") % 2 == 0, "@X.NL").otherwise("@x.nl")))
+    person = F.struct(name.alias("name"), email.alias("email"), F.lit(None).cast("string").alias("phone"), F.when(n % 5 == 0, F.col("role")).alias("role"))
+    turns = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", person.alias("p")))), lambda x: x["p"]).alias("people"))
+    told = F.array_join(F.transform(values.contacts(F.col("people")), lambda p: F.concat(F.coalesce(p["name"], F.lit("-")), F.lit(":"), F.coalesce(F.lower(p["email"]), F.lit("-")))), ",")
+    return turns.select("conv_id", told.alias("kept"))
+
+
+@query(rf"""
+WITH w AS (SELECT page_id, {_LIST_SQL} AS title, length(html) AS n FROM pages)
+SELECT page_id, title, '2024-01-0' || (n % 9 + 1) AS date_posted, CASE n % 3 WHEN 0 THEN 'uur' WHEN 1 THEN 'maand' END AS salary_unit, n::DOUBLE AS salary_min, CASE WHEN n % 2 = 0 THEN n + 0.5 ELSE n END::DOUBLE AS salary_max,
+  CASE WHEN n % 4 = 0 THEN 'INTERN,TEMPORARY' ELSE 'FULL_TIME' END AS employment, CASE WHEN n % 5 = 0 THEN 'HBO' WHEN n % 5 = 1 THEN 'bachelor' END AS education FROM w""")
+def pages_posting_facts(t):
+    """Postings made of each page's title and length, in the shapes that sites write, read from the page."""
+    n = F.length("html")
+    null = F.lit(None).cast("string")
+    value = F.when(n % 2 == 0, F.to_json(F.struct(n.alias("minValue"), (n + F.lit(0.5)).alias("maxValue"), F.when(n % 3 == 0, "HOUR").when(n % 3 == 1, "month").otherwise("WEEK").alias("unitText"))))
+    value = value.when(F.lit(True), F.to_json(F.struct(n.alias("value"), F.when(n % 3 == 0, "hour").when(n % 3 == 1, "MONTH").otherwise(null).alias("unitText"))))
+    kinds = F.when(n % 4 == 0, '["INTERN", "TEMPORARY"]').otherwise('"FULL_TIME"')
+    school = F.when(n % 5 == 0, '{"credentialCategory": "HBO"}').when(n % 5 == 1, '"bachelor"').otherwise("null")
+    title = F.to_json(F.struct(F.concat(F.lit("<b>"), html.title(F.col("html")), F.lit("</b>")).alias("title")))
+    head = F.concat(F.regexp_replace(title, r"\}$", ""), F.lit(', "@type": "JobPosting", "datePosted": "2024-01-0'), (n % 9 + 1).cast("string"), F.lit('", "employmentType": '), kinds)
+    node = F.concat(head, F.lit(', "educationRequirements": '), school, F.lit(', "baseSalary": {"value": '), value, F.lit("}}"))
+    page = F.concat(F.lit('<script type="application/ld+json">'), node, F.lit("</script>"), "html")
+    found = html.posting_facts(html.linked_data(t.pages.select("page_id", page.alias("html")), "page_id", "html"))
+    return found.select("page_id", "title", "date_posted", "salary_unit", "salary_min", "salary_max", F.array_join("employment", ",").alias("employment"), "education")
