@@ -35,6 +35,15 @@ def curation_events(curated: DataFrame, key: str, order: str) -> DataFrame:
     return own.select(F.col(key).alias("aggregate"), "version", kind.alias("kind"), "status", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col(order).cast("string"), kind), 256).alias("id"))
 
 
+def curated_event(before: Column) -> Column:
+    """What an observation (``hash, status``) means behind the one before it, null if there is none."""
+    return (
+        F.when(before.isNull(), "new")
+        .when(~F.col("hash").eqNullSafe(before["hash"]), "changed")
+        .when(~F.col("status").eqNullSafe(before["status"]), "status_changed")
+    )
+
+
 def curate(observations: DataFrame, key: str, order: str) -> DataFrame:
     """The curation of a key's observations in order: event and version after each.
 
@@ -46,12 +55,7 @@ def curate(observations: DataFrame, key: str, order: str) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     known = observations.withColumn("status", F.last("status", ignorenulls=True).over(so_far))
     before = F.lag(F.struct("hash", "status")).over(w)
-    event = (
-        F.when(before.isNull(), "new")
-        .when(~F.col("hash").eqNullSafe(before["hash"]), "changed")
-        .when(~F.col("status").eqNullSafe(before["status"]), "status_changed")
-    )
-    told = known.withColumn("event", event)
+    told = known.withColumn("event", curated_event(before))
     return told.withColumn("version", F.count("event").over(so_far))
 
 
