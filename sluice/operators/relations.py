@@ -33,9 +33,12 @@ def memberships(direct: DataFrame, linked: DataFrame) -> DataFrame:
 
 def overlap_groups(members: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` groups of most sources, then items, then least id, that two or more sources share."""
-    g = members.groupBy("group").agg(F.countDistinct("item").alias("items"), F.array_sort(F.collect_set("source")).alias("names"))
-    g = g.select("group", F.size("names").cast("long").alias("sources"), "items", "names")
-    return g.where("sources >= 2").orderBy(F.desc("sources"), F.desc("items"), "group").limit(k)
+    g = members.groupBy("group").agg(F.countDistinct("source").alias("sources"), F.countDistinct("item").alias("items"))
+    top = g.where("sources >= 2").orderBy(F.desc("sources"), F.desc("items"), "group").limit(k)
+    # Names are gathered for these k groups only, which their number lets broadcast.
+    own = members.select(F.col("group").alias("_of"), "source").join(F.broadcast(top), F.col("_of").eqNullSafe(F.col("group")))
+    names = own.groupBy("group", "sources", "items").agg(F.array_sort(F.collect_set("source")).alias("names"))
+    return names.orderBy(F.desc("sources"), F.desc("items"), "group")
 
 
 def overlap_share(members: DataFrame) -> DataFrame:
