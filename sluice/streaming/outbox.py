@@ -40,8 +40,12 @@ def mutations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def put(rows: DataFrame, path: str, batch: int) -> None:
-    """Write a batch of mutations (``aggregate, sequence, hash, partition, deleted``) in place of what it wrote before."""
-    rows.select("aggregate", "sequence", "hash", "partition", "deleted", bucket(F.col("aggregate"))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
+    """Write a batch of mutations (``aggregate, sequence, hash, partition, deleted``) in place of what it wrote before.
+
+    Rows are brought together by bucket, large buckets in parts, so that the number of files doesn't grow with that of tasks.
+    """
+    dealt = rows.select("aggregate", "sequence", "hash", "partition", "deleted", bucket(F.col("aggregate"))).hint("rebalance", F.col("bucket"))
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
 
 
 def coalesce(events: DataFrame) -> DataFrame:
@@ -219,7 +223,8 @@ def placed(spark: SparkSession, path: str) -> DataFrame:
 
 def _overwrite(rows: DataFrame, path: str) -> None:
     """Replace just the folders that ``rows`` fall in."""
-    rows.select("aggregate", "sequence", "hash", "partition", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition", "bucket").parquet(path)
+    dealt = rows.select("aggregate", "sequence", "hash", "partition", "bucket").hint("rebalance", F.col("partition"), F.col("bucket"))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition", "bucket").parquet(path)
 
 
 def move(spark: SparkSession, changed: DataFrame, path: str, buckets: list[int] = []) -> None:  # noqa: B006
