@@ -14,8 +14,9 @@
    shingles tell it.
 4. A pair must pass the length filter, the positional filter (what precedes and follows a common shingle in both
    sets bounds the overlap) and the suffix filter (the difference of counts in ``RANGES`` ranges of hash values
-   bounds the Hamming distance from below); pairs are made distinct, then verified once from the two texts: by their
-   hashed sets, and if these are similar by the shingles themselves.
+   bounds the Hamming distance from below, and so does the number of ``CELLS`` finer ranges whose counts are odd in one
+   of the sets only, which tells apart what near misses of one family have in common); pairs are made distinct, then
+   verified once from the two texts: by their hashed sets, and if these are similar by the shingles themselves.
 
 Shingles that the count-min table shows as frequent are dealt to ``SALTS`` tasks; their count and least document come
 from a partial aggregate.
@@ -39,9 +40,11 @@ from sluice.shipping import ship
 
 #: Similarity as a fraction of two integers.
 NUMER, DENOM = 80, 100
-#: Counters of the table of shingle counts, in blocks that are summed apart; ranges of the suffix filter.
+#: Counters of the table of shingle counts, in blocks that are summed apart; ranges of the suffix filter, by counts and
+#: by parities, and the bytes of both.
 SLOTS, BLOCK = 1 << 20, 1 << 14
-RANGES = 128
+RANGES, CELLS = 128, 1024
+WIDTH = RANGES + CELLS // 8
 #: A shingle may be hot from this many documents and this many times the mean counter on; it is then dealt to so many tasks.
 HOT_DOCUMENTS, HOT_TIMES, SALTS = 1000, 8, 16
 #: Documents of a shingle that meet in one group of the second round; more are dealt to pairs of blocks.
@@ -79,8 +82,20 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return scale
 
 
+def _profile(h: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
+    """For each set, whose hashes are sorted, its counts by range, then a bit for each cell of an odd count."""
+    out = np.zeros((docs, WIDTH), np.uint8)
+    at = owner * RANGES + (h >> np.uint64(57)).astype(np.int64)
+    out[:, :RANGES] = np.minimum(np.bincount(at, minlength=docs * RANGES), 255).reshape(docs, RANGES)
+    cell = owner * CELLS + (h >> np.uint64(54)).astype(np.int64)
+    begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+    odd = cell[begin[np.diff(np.r_[begin, len(cell)]) % 2 == 1]]
+    np.bitwise_or.at(out, (odd // CELLS, RANGES + odd % CELLS // 8), (1 << odd % 8).astype(np.uint8))
+    return out
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n, s1, s2, prefix, often, ranges`` for every row: size and hash of the set, its rare-first prefix, which of it is hot, and its counts by range."""
+    """``id, n, s1, s2, prefix, often, ranges`` for every row: size and hash of the set, its rare-first prefix, which of it is hot, and its profile (see ``_profile``)."""
     spark = docs.sparkSession
     counts = shingle_counts(docs, text)
     mean = float(np.mean(np.exp2(counts / 8.0) - 1))
@@ -97,8 +112,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 for i in (0, 1):
                     if some.any():
                         sums[i, some] = np.add.reduceat(shingling.mix(h, i + 2), begin[some])
-                at = owner * RANGES + (h >> np.uint64(57)).astype(np.int64)
-                ranges = np.minimum(np.bincount(at, minlength=docs_here * RANGES), 255).astype(np.uint8).reshape(docs_here, RANGES)
+                ranges = _profile(h, owner, docs_here)
                 rare = (scale.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 order = np.argsort(rare, kind="stable")
                 order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
@@ -129,9 +143,11 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _suffix_filter(ra: np.ndarray, rb: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Whether counts by range (pairs x RANGES) leave room for the overlap that sets of ``total`` shingles need."""
-    apart = np.abs(ra.astype(np.int16) - rb.astype(np.int16)).sum(1)
-    return apart <= total - 2 * -(-total * NUMER // (NUMER + DENOM))
+    """Whether profiles (pairs x WIDTH) leave room for the overlap that sets of ``total`` shingles need."""
+    most = total - 2 * -(-total * NUMER // (NUMER + DENOM))
+    near = np.abs(ra[:, :RANGES].astype(np.int16) - rb[:, :RANGES].astype(np.int16)).sum(1) <= most
+    near[near] = np.bitwise_count(ra[near, RANGES:] ^ rb[near, RANGES:]).sum(1, dtype=np.int64) <= most[near]
+    return near
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +167,7 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _pairs(b: pd.DataFrame) -> pd.DataFrame:
     found = [np.empty((2, 0), np.int64)]
     h, x, y, own, ids, n, pos, component = (b[c].to_numpy() for c in ("h", "x", "y", "own", "id", "n", "pos", "component"))
-    ranges = np.frombuffer(b"".join(b["ranges"]), np.uint8).reshape(len(b), RANGES)
+    ranges = np.frombuffer(b"".join(b["ranges"]), np.uint8).reshape(len(b), WIDTH)
     least_shared = np.concatenate(b["sketch"].to_numpy()).reshape(len(b), SKETCH)
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     i, step = np.arange(len(b)), 0
@@ -180,14 +196,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                x, y = (np.frombuffer(b"".join(p[r]), np.uint8).reshape(len(p), RANGES) for r in ("ra", "rb"))
+                x, y = (np.frombuffer(b"".join(p[r]), np.uint8).reshape(len(p), WIDTH) for r in ("ra", "rb"))
                 yield p.loc[_suffix_filter(x, y, (p["na"] + p["nb"]).to_numpy().astype(np.int64)), ["a", "b"]]
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, two = list(_sets(b.column(2))), list(_sets(b.column(3)))
             keep = []
-            for x, y in zip(one, two):
+            for x, y in zip(_sets(b.column(2)), _sets(b.column(3))):  # a step of texts at a time on either side
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and both * DENOM >= (len(x) + len(y) - both) * NUMER)
             for i in np.flatnonzero(keep):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sluice.llm import components, ngram_join
@@ -82,3 +83,25 @@ def test_frequent_shingles_by_any_join(spark, monkeypatch, documents, broadcast)
     docs = chains(5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {tuple(r) for r in ngram_join.link(df).collect()} == brute(docs)
+
+
+def test_near_misses_are_filtered_and_links_are_not():
+    """Pairs of 400 shingles: no link is lost, and of pairs of a family at some 0.72 few reach their texts."""
+    rng = np.random.default_rng(4)
+
+    def passed(common):
+        total, one, two = np.full(300, 800), [], []
+        for _ in total:
+            own = rng.integers(0, 2**63, 800 - common, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            one.append(np.sort(own[:400])), two.append(np.sort(np.r_[own[: common], own[400:]]))
+        profiles = [ngram_join._profile(np.concatenate(s), np.repeat(np.arange(300), 400), 300) for s in (one, two)]
+        return ngram_join._suffix_filter(*profiles, total).mean()
+
+    assert passed(356) == 1.0 and passed(400) == 1.0  # 356 of 444 is a link
+    assert passed(335) < 0.3  # 335 of 465 is none
+
+
+def test_profiles_of_empty_sets():
+    got = ngram_join._profile(np.array([5, 2**63], np.uint64), np.array([1, 1]), 3)
+    assert got.shape == (3, ngram_join.WIDTH) and not got[[0, 2]].any() and got[1, : ngram_join.RANGES].sum() == 2 == np.bitwise_count(got[1, ngram_join.RANGES :]).sum()
+    assert ngram_join._profile(np.empty(0, np.uint64), np.empty(0, np.int64), 2).shape == (2, ngram_join.WIDTH)
