@@ -9,7 +9,9 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts earlier is r
    to repeat, so a passage of any number of documents sends one row for each task.
 2. *Equal contexts.*  In a shuffle by minimizer all but the first of equal contexts are marked as repeats.
    Minimizers of one context only end here; most windows are neither repeated nor sorted.
-3. *Suffix sorting.*  Minimizers with several different contexts fetch those contexts' bytes.  They are sorted by the
+3. *Suffix sorting.*  Equal windows hold their minimizer at one place, and with it the ``SIDE`` bytes before it or those
+   behind it.  So only contexts of a minimizer that have either in common with a different one fetch their bytes; those
+   that merely share a minimizer of ``GRAM`` bytes don't.  They are sorted by the
    difference-cover algorithm (triples at sampled positions, recursion on their names, merging of the other
    suffixes, see ``suffix_array``), partition by partition, and adjacent suffixes are compared on their first
    ``LENGTH`` bytes: of equal ones all but the earliest window are marked.
@@ -46,6 +48,8 @@ _CONTEXT_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _UNBASES = tuple(pow(b, -1, 2**64) for b in _BASES)
 _PLACE_BITS = 24
+#: Bytes on one side of a minimizer that a window surely holds: whatever its place, there are so many before or behind it.
+SIDE = (LENGTH - GRAM) // 2
 NULL_ID = 2**63 - 1
 
 
@@ -56,14 +60,15 @@ def _sums(data: np.ndarray, table: np.ndarray, way: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts side by side: ``text, start, windows, minimizer, hash`` of each context, in order of place.
+    """Of texts side by side: ``text, start, windows, minimizer, hash, left, right`` of each context, in order of place.
 
     ``start`` is the first window's place in ``data``.  A minimizer is known by the hash of its string, a context
-    by that of its bytes.
+    by that of its bytes; ``left`` and ``right`` are hashes of the minimizer with the ``SIDE`` bytes before and behind it, 0
+    where the context ends sooner.
     """
     windows = np.diff(off) - LENGTH + 1
     if not (windows > 0).any():
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32))
     n, wide = len(data), LENGTH - GRAM + 1
     inverse = _power(_UNBASES[0], n)
     sums = _sums(data, _GRAM_BYTE, 0)
@@ -88,7 +93,29 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     whole = _sums(data, _CONTEXT_BYTE, 1)
     ends = start + length - 1 + LENGTH
     context = mix((whole[ends] - whole[start]) * _power(_UNBASES[1], n)[start], 5) + mix(length.astype(np.uint64), 6)
-    return doc[at], start, length, gram[mine[at].astype(np.int64)], context
+    middle = mine[at].astype(np.int64)
+    left = _side(whole, np.where(middle - SIDE >= start, middle - SIDE, -1))
+    right = _side(whole, np.where(middle + GRAM + SIDE <= ends, middle, -1))
+    return doc[at], start, length, gram[middle], context, left, right
+
+
+def _side(sums: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes, never 0, of the strings of ``GRAM + SIDE`` bytes that begin there, 0 for a begin of -1."""
+    there = np.flatnonzero(begin >= 0)
+    out, a = np.zeros(len(begin), np.uint32), begin[there]
+    out[there] = (mix((sums[a + GRAM + SIDE] - sums[a]) * _power(_UNBASES[1], len(sums))[a], 7) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    return out
+
+
+def _met(minimizer: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether other rows have the same minimizer and side, which must be there."""
+    order = np.lexsort((side, minimizer))
+    m, s = minimizer[order], side[order]
+    same = np.zeros(len(m) + 1, bool)
+    same[1:-1] = (m[1:] == m[:-1]) & (s[1:] == s[:-1]) & (s[1:] != 0)
+    out = np.empty(len(m), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
@@ -107,7 +134,7 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         first = last
 
 
-COLUMNS = {"minimizer": "<u8", "context": "<u8", "doc": "<i8", "twin": "<i8", "start": "<i8", "windows": "<i4"}
+COLUMNS = {"minimizer": "<u8", "context": "<u8", "doc": "<i8", "twin": "<i8", "start": "<i8", "windows": "<i4", "left": "<u4", "right": "<u4"}
 
 
 def _sent(kind: int, to: int, rows: dict[str, np.ndarray]) -> dict:
@@ -166,15 +193,16 @@ def mark_contexts(docs: DataFrame, parts: int) -> DataFrame:
             rows, first = _firsts(rows)
             known = _take(rows, np.flatnonzero(~first & ~_same_place(rows, first)))
             rows = _take(rows, np.flatnonzero(first))
-            known["minimizer"] = known["context"] = np.empty(0, np.uint64)  # a mark is a place
+            for c in ("minimizer", "context", "left", "right"):
+                known[c] = np.empty(0, COLUMNS[c])  # a mark is a place
             out = _dealt(0, (rows["minimizer"] >> _U(20)) % _U(parts), rows, parts)
             yield pd.DataFrame(out + _dealt(1, known["doc"] % parts, known, parts))
 
         for b in batches:
             ids, twins = b.column(0).to_numpy(), b.column(1).to_numpy()
             for first, data, off, shift in _pieces(b.column(2)):
-                doc, start, windows, minimizer, context = contexts(data, off)
-                held.append({"minimizer": minimizer, "context": context, "doc": ids[first + doc], "twin": twins[first + doc], "start": start - off[doc] + shift, "windows": windows})
+                doc, start, windows, minimizer, context, left, right = contexts(data, off)
+                held.append({"minimizer": minimizer, "context": context, "doc": ids[first + doc], "twin": twins[first + doc], "start": start - off[doc] + shift, "windows": windows, "left": left, "right": right})
             if sum(len(h["doc"]) for h in held) >= HELD:
                 yield from flush()
         yield from flush()
@@ -200,10 +228,7 @@ def mark_contexts(docs: DataFrame, parts: int) -> DataFrame:
             out += [(1, d, t, None, m) for d, t, m in _marks(_take(rows, np.flatnonzero(~first & ~_same_place(rows, first))))]
             rows = _take(rows, np.flatnonzero(first))
             m = rows["minimizer"]
-            again = np.zeros(len(m), bool)
-            again[1:] = m[1:] == m[:-1]
-            again[:-1] |= again[1:]
-            several = _take(rows, np.flatnonzero(again))
+            several = _take(rows, np.flatnonzero(_met(m, rows["left"]) | _met(m, rows["right"])))
             pairs = np.stack([several["start"], several["windows"]], axis=1).astype("<i8")
             out += [(2, int(d), int(t), int(x), p.tobytes()) for d, t, x, p in zip(several["doc"], several["twin"], several["minimizer"].view(np.int64), pairs)]
         for at in range(0, len(out), 20_000):

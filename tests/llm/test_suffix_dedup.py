@@ -85,3 +85,16 @@ def test_repeated_and_null_rows(spark, odd_documents, no_documents):
     base = "".join(random.Random(3).choices("abcdefghijklmnop ", k=300))
     got = suffix_dedup.dedup(spark.createDataFrame([(5, base), (5, base), (None, base), (9, base)], "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == [("5", 0), ("5", 0), ("9", 300), ("None", 300)]
+
+
+def test_contexts_that_share_a_minimizer_only_are_not_sorted(spark):
+    """Strings of a minimizer's length in otherwise different texts repeat no window; one byte in a passage leaves it repeated on either side."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    common = [text(24) for _ in range(20)]
+    rows = [(i, text(120) + c + text(120)) for i in range(6) for c in common]
+    told = lambda rows: suffix_dedup.mark_contexts(spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "xxhash64(text) AS twin", "text"), 8)
+    assert told(rows).count() == 0
+    check(spark, [(i, t) for i, (_, t) in enumerate(rows)])
+    passage = text(400)
+    assert told([(1, passage), (2, passage[:200] + "#" + passage[201:])]).where("kind = 2").count() > 0
