@@ -19,9 +19,14 @@ def bounded(key: Column, most: int = KEY_BYTES) -> Column:
     return F.when(F.octet_length(key) <= most, key).otherwise(F.concat(F.lit("sha256:"), F.sha2(key, 256)))
 
 
+def whole_key(*parts: Column) -> Column:
+    """The normalised parts, absent ones as ``UNKNOWN``, joined by the unit separator, however long."""
+    return F.concat_ws(SEPARATOR, *(F.coalesce(normal(p), F.lit("UNKNOWN")) for p in parts))
+
+
 def dedup_key(*parts: Column) -> Column:
-    """The normalised parts, absent ones as ``UNKNOWN``, joined by the unit separator."""
-    return bounded(F.concat_ws(SEPARATOR, *(F.coalesce(normal(p), F.lit("UNKNOWN")) for p in parts)))
+    """The key of the parts, or its digest if it is long."""
+    return bounded(whole_key(*parts))
 
 
 def normal_url(url: Column) -> Column:

@@ -63,3 +63,14 @@ def test_halves_of_what_is_found_go_to_the_even_number(spark, tmp_path):
     got = catalogue.QUERIES["discovery_floor"](spark, str(tmp_path)).collect()
     want = duckdb.connect().execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'").execute(catalogue.ORACLE_SQL["discovery_floor"]).fetchall()
     assert [tuple(r) for r in got] == want
+
+
+def test_long_keys_are_digested_once(spark, tmp_path):
+    """A first line beyond the bound of stored keys has the digest of the whole key, as in the SQL."""
+    from sluice.plans import catalogue
+
+    rows = [(1, "Word " * 500 + "\nx", "en"), (2, "word  " * 500, "en"), (3, "a", None), (4, " A\ny", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["dedup_key_groups"](spark, str(tmp_path)).collect()
+    want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(catalogue.ORACLE_SQL["dedup_key_groups"]).fetchall()
+    assert len(want) == 2 and sorted(map(tuple, got)) == sorted(want)
