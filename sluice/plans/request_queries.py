@@ -52,8 +52,7 @@ def assess_requests(t):
 WITH {REQUESTS_SQL} SELECT r.k AS request, CASE WHEN r.k % 7 = 0 THEN 'blocked-upstream' WHEN r.k % 5 = 0 AND l.one AND l.n = c.ones THEN 'insufficient-evidence' WHEN r.k IN (SELECT request FROM f) THEN 'needs-review' ELSE 'passed' END AS status
 FROM r JOIN l ON r.k = l.k JOIN (SELECT l_orderkey AS k, count(*) FILTER (l_linenumber = 1) AS ones FROM lineitem GROUP BY 1) c ON c.k = r.k""")
 def assess_request_status(t):
-    own, claims, attested, attested_claims = requested(t)
-    return assessment.request_status(own, claims, attested, assessment.request_findings(own, claims, attested, attested_claims))
+    return assessment.assessed(*requested(t))
 
 
 #: What is stored of orders, and two writers of each; the second one sees what the first has done if the number is odd.

@@ -48,3 +48,16 @@ def test_dry_runs_and_tables(spark):
     assert plan and "Filter" in "\n".join(plan)
     with pytest.raises(Exception, match="missing"):
         exporting.dry_run(spark, "SELECT missing FROM listed")
+
+
+def test_status_in_one_pass_is_that_of_the_findings(spark):
+    own = spark.createDataFrame([(i, "q", "s", [] if i == 5 else ["a", "b"]) for i in range(8)], "request long, query_digest string, selection_digest string, ids array<string>")
+    own = own.withColumn("selection_digest", assessment.selection_digest(own["query_digest"], own["ids"]))
+    attested = spark.createDataFrame([(i, "x" if i == 2 else "q", [] if i == 5 else ["b", "a"], "partial" if i == 3 else "complete") for i in range(7)], "request long, query_digest string, ids array<string>, search string")
+    claim = "request long, item long, field string, status string, value string, cited array<string>"
+    claims = spark.createDataFrame([(i, 1, "f", "known", "v", ["a", "b"]) for i in range(8) if i != 6], claim)
+    theirs = spark.createDataFrame([(i, 1, "f", "known", "w" if i == 4 else "v", ["b", "a"]) for i in range(8)] + [(1, 1, "f", "known", "v", ["a", "b"])], claim)
+    want = assessment.request_status(own, claims, attested, assessment.request_findings(own, claims, attested, theirs))
+    got = assessment.assessed(own, claims, attested, theirs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["status"] for r in got.collect()} == {"passed", "needs-review", "insufficient-evidence", "blocked-upstream"}
