@@ -13,9 +13,14 @@ from sluice.functions import values
 from sluice.shipping import ship
 
 
+def collapse(text: Column) -> Column:
+    """Runs of white space become one space; a text that has none but single spaces is looked at and left alone."""
+    return values._once(text, lambda t: F.when(t.rlike(r"[\t\n\x0B\f\r]|  "), F.regexp_replace(t, r"\s+", " ")).otherwise(t))
+
+
 def strip(markup: Column) -> Column:
     """Tags become spaces, white space collapses."""
-    return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"\s+", " "))
+    return F.trim(collapse(F.regexp_replace(markup, "<[^>]+>", " ")))
 
 
 def title(markup: Column) -> Column:

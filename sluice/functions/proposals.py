@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -41,14 +42,14 @@ PROPOSAL = "array<struct<field:string,value:map<string,string>,confidence:double
 
 
 def labelled_text(description: Column, markup: Column | None = None) -> Column:
-    """One line: the description, then the page with its definition lists and header cells as ``Label: value``."""
+    """One line: the description, then the page with its definition lists and header cells as ``Label: value``; both come stripped."""
     line = html.strip(F.coalesce(description, F.lit("")))
     if markup is not None:
         pairs = markup
         for name, of in (("dt", "dd"), ("th", "td")):
             pairs = F.regexp_replace(pairs, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>\s*<{of}\b[^>]*>(.*?)</{of}>", "$1: $2 ")
-        line = F.concat_ws(" ", line, html.strip(F.coalesce(pairs, F.lit(""))))
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+        line = F.trim(F.concat_ws(" ", line, html.strip(F.coalesce(pairs, F.lit("")))))
+    return line
 
 
 def day(text: Column) -> Column:
@@ -82,24 +83,29 @@ def _proposal(field: str, cells: dict[str, Column], path: Column | str, excerpt:
     return F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(SURE[field]).alias("confidence"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.trim(excerpt).alias("excerpt"))
 
 
+def _any_of(labels: str) -> str:
+    """One of ``labels``, behind a look at its first three letters: most places of a text fail there, before any label is tried."""
+    starts = re.split(r"\|(?![^(]*\))", labels)
+    return "(?=" + "".join(f"[{''.join(sorted({s[i] for s in starts}))}]" for i in range(3)) + f")(?:{labels})"
+
+
 def labelled(line: Column, field: str) -> Column:
     """The proposal of one label in a text of one line, null if it isn't there or says nothing.
 
     The first label counts.  Its value ends at the next label of any field or with the text and loses closing punctuation.
+    The text is searched once, for label and value; all else is read from these.
     """
-    label = rf"(?:{LABELS[field]})\s*:\s*"
-    raw = F.regexp_extract(line, rf"(?i){label}(.+)", 1)
-    return values._once(raw, lambda rest: _labelled(line, field, label, rest))
-
-
-def _labelled(line: Column, field: str, label: str, rest: Column) -> Column:
-    own = F.regexp_extract(rest, rf"(?i)^(.*?)(?:\s+(?:{STOPS})\s*:|$)", 1)
-    value = F.trim(F.regexp_replace(F.trim(own), r"[.,;:]+$", ""))
-    begin = F.length(line) - F.length(rest)  # the value's first character, counted from 0
-    mark = F.length(F.regexp_extract(F.substr(line, F.lit(1), begin), rf"(?i)({label})$", 1))
-    start = F.greatest(begin - mark - BEFORE, F.lit(0))
-    shown = F.substr(line, start + 1, begin - start + F.length(own) + BEHIND)
-    return values._once(F.nullif(READ[field](value), F.lit("")), lambda read: F.when((rest != "") & read.isNotNull(), _proposal(field, {field: read}, "description", shown)))
+    label = rf"{_any_of(LABELS[field])}\s*:\s*"
+    found = F.regexp_extract(line, rf"(?i)({label}(?=.).*?)(?:\s+{_any_of(STOPS)}\s*:|(?!.))", 1)
+    return values._once(found, lambda found: F.when(found != "", _labelled(line, field, label, found)))
+
+
+def _labelled(line: Column, field: str, label: str, found: Column) -> Column:
+    value = F.trim(F.regexp_replace(F.trim(F.regexp_extract(found, rf"(?i)^{label}(.+)", 1)), r"[.,;:]+$", ""))
+    # From the label's first character, counted from 0.
+    shown = lambda at: F.substr(line, F.greatest(at - BEFORE, F.lit(0)) + 1, F.least(at, F.lit(BEFORE)) + F.length(found) + BEHIND)
+    told = lambda read: _proposal(field, {field: read}, "description", values._once(F.instr(line, found) - 1, shown))
+    return values._once(values._once(value, READ[field]), lambda read: F.when(read != "", told(read)))
 
 
 def rated(line: Column) -> Column:

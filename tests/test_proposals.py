@@ -59,3 +59,23 @@ def test_furniture_is_no_description(spark):
     rows = ["Home | Menu | Contact - Privacybeleid inloggen registreren", "Accepteer cookies", "Accept the use of all our cookies please now", "Home is waar je hart is, zegt men hier"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
     assert [r[0] for r in df.orderBy("i").select(html.usable(F.col("t"))).collect()] == [None, None, None, rows[3]]
+
+
+def test_a_label_is_looked_for_once(spark):
+    """Each pass of a label's pattern over a long text counts: one finds label and value, and most places fail on a letter."""
+    text = "De organisatie start met een deadline en een locatie in de regio, aanvang en einde in overleg. " * 10
+    df = spark.range(1).select(F.concat(F.lit(text), F.lit("Klant: Gemeente Y Deadline: 1-2-2026")).alias("t")).localCheckpoint()
+    plan = df.select(proposals.proposals(F.col("t"), fields=("client", "closes")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Uiterste reactiedatum|Reactiedatum|Deadline|Closing date|Apply by|Sollicitatiedatum)") == 2  # in the text, and in what was found
+    got = {x["field"]: (x["value"], x["excerpt"]) for x in df.select(proposals.proposals(F.col("t"), fields=("client", "closes")).alias("x")).first()["x"]}
+    assert got == {"client": ({"client": "Gemeente Y"}, "n einde in overleg. Klant: Gemeente Y Deadline: 1-2-2026"), "closes": ({"closes": "2026-02-01"}, ". Klant: Gemeente Y Deadline: 1-2-2026")}
+
+
+@pytest.mark.parametrize("field", proposals.LABELS)
+def test_every_label_passes_the_look_at_its_letters(spark, field):
+    import re
+
+    forms = [re.sub(r"\(\?:[^)]*\)\?|.\?", "", x).replace(r"\/", "/") for x in re.split(r"\|(?![^(]*\))", proposals.LABELS[field])]
+    values = {"hours": "36 uur", "starts": "1-2-2026", "ends": "1-2-2026", "closes": "1-2-2026"}
+    df = spark.createDataFrame([(i, f"x {c}: {values.get(field, 'iets')}") for i, f in enumerate(forms) for c in (f, f.upper(), f.lower())], "i int, t string")
+    assert all(r["x"] is not None for r in df.select(proposals.labelled(F.col("t"), field).alias("x")).collect())
